@@ -19,7 +19,7 @@ def is_empty(text: ColumnLike) -> Column:
 
 def utf8_or_null(value: ColumnLike) -> Column:
     """Bytes (or text) to text; empty becomes null."""
-    return F.nullif(F.decode(_col(value).cast("binary"), F.lit("UTF-8")), F.lit(""))
+    return F.nullif(F.decode(_col(value).cast("binary"), "UTF-8"), F.lit(""))
 
 
 def unsigned_hex(value: ColumnLike) -> Column:

@@ -20,7 +20,7 @@ _PAIRS = pa.list_(pa.int64())
 
 def frame_order() -> list[Column]:
     """Start ascending, end descending, then id."""
-    return [F.col("startTime"), F.col("startTrace"), F.desc("endTime"), F.desc("endTrace"), F.col("frameId")]
+    return [F.col("startTime"), F.col("startTrace"), -F.col("endTime"), -F.col("endTrace"), F.col("frameId")]
 
 
 def order_frames(frames: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def endpoint_order() -> list[Column]:
     first, then begins of frames that last, outermost first, then frames of no length."""
     phase = F.when(F.col("isInstant"), 2).when(F.col("isBegin"), 1).otherwise(0)
     level = F.when(~F.col("isBegin") & ~F.col("isInstant"), -F.col("depth")).otherwise(F.col("depth"))
-    return [F.col("time"), F.col("trace"), phase, level, F.col("frameId"), F.desc("isBegin")]
+    return [F.col("time"), F.col("trace"), phase, level, F.col("frameId"), F.when(F.col("isBegin"), 0).otherwise(1)]
 
 
 def order_slice_endpoints(endpoints: DataFrame, *keys: str) -> DataFrame:

@@ -26,9 +26,10 @@ def symbol_matches(locations: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     wanted = wanted.select("symbol").distinct()
     lengths = wanted.agg(F.collect_set(F.length("symbol"))).scalar()
-    names = locations.filter(~X.is_empty("symbol")).select(F.col("symbol").alias("locationSymbol")).distinct()
+    names = (locations.filter(~X.is_empty("symbol")).select(F.col("symbol").alias("locationSymbol"))
+             .distinct().withColumn("lengths", lengths))
     name = F.col("locationSymbol")
-    fitting = F.filter(lengths, lambda size: size <= F.length(name))
+    fitting = F.filter("lengths", lambda size: size <= F.length(name))
     pieces = F.flatten(F.transform(fitting, lambda size: F.transform(
         F.sequence(F.lit(1), F.length(name) - size + 1), lambda at: name.substr(at, size))))
     return (names.select("locationSymbol", F.explode(F.array_distinct(pieces)).alias("symbol"))

@@ -151,8 +151,11 @@ def sampled_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = location_count(spark, sf_dir)
     first = _symbol(_group((F.col("tid") * 8 + F.col("k") % 40) % count))
     second = _symbol(_group((F.col("tid") * 8 + (F.col("k") * 3) % 40) % count))
-    stack = F.filter(F.array(F.lit("main"), first, second), lambda s: s.isNotNull())
-    return events(spark, sf_dir).filter(F.col("event_type") == "view").select(
+    stack = F.col("stack")
+    named = F.filter(stack, lambda s: s.isNotNull())
+    views = events(spark, sf_dir).filter(F.col("event_type") == "view").withColumn(
+        "stack", F.array(F.lit("main"), first, second)).withColumn("stack", named)
+    return views.select(
         F.col("seq").alias("sampleId"), "tid", "time", F.hex(F.col("k")).alias("ip"),
         F.filter(stack, lambda s, i: (i == 0) | (s != F.get(stack, i - 1))).alias("symbols"),
     )
@@ -176,3 +179,73 @@ def address_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/lib/d"), (F.col("l_suppkey") % 3).cast("string")).alias("dso"),
         (F.col("l_partkey") * 97 + F.col("l_linenumber")).cast("decimal(20,0)").alias("address"),
     )
+
+
+def observed() -> Column:
+    return F.timestamp_micros(whole(F.col("time"), 1000))
+
+
+def snapshot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One telemetry line per event; some short, some with bad items or a bad total."""
+    k, seq = F.col("k"), F.col("seq")
+
+    def text(value: Column) -> Column:
+        return value.cast("string")
+
+    def named(value: Column) -> Column:
+        return F.base64(value.cast("binary"))
+
+    key = F.concat(F.lit("pid="), text(F.col("pid")), F.lit("/tid="), text(F.col("tid")), F.lit("/branches.parquet"))
+    status = F.when(k % 10 == 0, F.lit("CLOSED")).otherwise(F.lit("BUFFERING"))
+    files = F.concat(F.concat_ws(",", named(key), text(k), text(seq), status),
+                     F.when(k % 7 == 0, F.lit(";bad,1")).otherwise(F.lit("")))
+    elapsed = seq * (1 + k % 2) * F.lit(0.5)
+    stages = F.concat_ws(",", named(F.col("event_type")), text(seq), text(elapsed))
+    queues = F.concat(named(F.lit("pending")), F.lit(","), text(k), F.lit(",512;"),
+                      named(F.lit("resolved")), F.lit(","), text(99 - k), F.lit(",512"))
+    total = F.when(k % 20 == 2, F.lit("x")).otherwise(text(seq + 1))
+    long_form = F.concat_ws("|", total, text(F.col("value")), F.lit("1704067200000000000"),
+                            text(F.col("time")), files, stages, queues)
+    short_form = F.concat_ws("|", total, text(F.col("value")), files)
+    return events(spark, sf_dir).select(
+        "seq", observed().alias("observed"), F.when(k % 20 == 1, short_form).otherwise(long_form).alias("value"))
+
+
+def stage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counter per event type that mostly grows."""
+    return events(spark, sf_dir).select(
+        F.col("event_type").alias("stage"), observed().alias("observed"), "seq",
+        (F.col("seq") * (1 + F.col("k") % 2)).alias("counter"), "value")
+
+
+def sampled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiler text: one block per event, leaf first; only `view` blocks are cpu-clock samples."""
+    count = location_count(spark, sf_dir)
+    first = _symbol(_group((F.col("tid") * 8 + F.col("k") % 40) % count))
+    second = _symbol(_group((F.col("tid") * 8 + (F.col("k") * 3) % 40) % count))
+    event = F.when(F.col("event_type") == "view", F.lit("cpu-clock:u:")).otherwise(F.lit("cycles:"))
+    micros = whole(F.col("time"), 1000)
+    stamp = F.concat((whole(micros, 1_000_000)).cast("string"), F.lit("."),
+                     F.lpad((micros % 1_000_000).cast("string"), 6, "0"), F.lit(":"))
+    header = F.concat(F.lit("app "), F.col("tid").cast("string"), F.lit(" "), stamp, F.lit(" 250000 "), event)
+
+    def line(symbol: Column) -> Column:
+        return F.concat(F.lit("\n    "), F.lower(F.hex(F.col("seq") + 4096)), F.lit(" "),
+                        F.coalesce(symbol, F.lit("[unknown]")), F.lit("+0x1f (/lib/app)"))
+
+    return events(spark, sf_dir).select(
+        "seq", F.concat(header, line(second), line(first), line(first), line(F.lit("main")),
+                        line(F.lit("_start"))).alias("value"))
+
+
+def line_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symboliser answers per (dso, address): some unknown, some with trailing notes."""
+    key = F.col("p_partkey")
+    file = F.concat(F.lit("/src/"), F.lower("p_type"), F.lit(".c:"))
+    answer = (F.when(key % 11 == 0, F.lit("??:0")).when(key % 11 == 1, F.lit("??:7"))
+              .when(key % 11 == 2, F.concat(file, F.lit("?")))
+              .when(key % 11 == 3, F.concat(file, F.col("p_size").cast("string"), F.lit(" (discriminator 2)")))
+              .when(key % 11 == 4, F.concat(file, F.lit("0")))
+              .otherwise(F.concat(file, F.col("p_size").cast("string"))))
+    return table(spark, sf_dir, "part").select(
+        _dso(_group(key)).alias("dso"), ((key + 1) * 16).cast("decimal(20,0)").alias("address"), answer.alias("value"))

@@ -21,7 +21,7 @@ def _typed(df: DataFrame, schema: T.StructType, keep_empty: tuple[str, ...] = ()
         if field.name not in df.columns:
             value = F.lit(None)
         elif isinstance(field.dataType, T.StringType):
-            value = (F.decode(F.col(field.name).cast("binary"), F.lit("UTF-8")) if field.name in keep_empty
+            value = (F.decode(F.col(field.name).cast("binary"), "UTF-8") if field.name in keep_empty
                      else X.utf8_or_null(field.name))
         else:
             value = F.col(field.name)
