@@ -80,10 +80,18 @@ def restart(frames: Iterable[list], time: int, trace: int, cpu: int) -> None:
 
 
 def fold_chunk(rows, losses, state, is_last: bool, counters: Counters) -> list[tuple]:
-    """Replay a chunk. `rows` are tuples in thread order, `losses` (time, cpu) in time order,
-    `state` is (active kind, last trace, last cpu, last time, user stack, kernel stack) or None.
+    """Frames that a chunk emits; see `fold_open`."""
+    return fold_open(rows, losses, state or (-1, -1, 0, 0, [], []), is_last, counters)[0]
+
+
+def fold_open(rows, losses, state, is_last: bool, counters: Counters | None = None) -> tuple[list[tuple], tuple]:
+    """Replay rows (tuples in thread order) and losses ((time, cpu) in time order).
+
+    `state` is (active kind, last trace, last cpu, last time, user stack, kernel stack); gives
+    the frames emitted and the state after the last row.
     """
-    active, last_trace, last_cpu, last_time, user, kernel = state or (-1, -1, 0, 0, [], [])
+    counters = counters or Counters()
+    active, last_trace, last_cpu, last_time, user, kernel = state
     stacks = (user, kernel)
     frames: list[tuple] = []
 
@@ -133,7 +141,7 @@ def fold_chunk(rows, losses, state, is_last: bool, counters: Counters) -> list[t
         next_loss += 1
     if is_last:
         close_active(last_time, max(last_trace, 0), last_cpu, S.REASON_END_OF_INPUT)
-    return frames
+    return frames, (active, last_trace, last_cpu, last_time, user, kernel)
 
 
 class Summary:

@@ -13,23 +13,23 @@ from stackweave.operators.branches import (classify_branches, losses_by_chunk, t
 from stackweave.operators.depths import normalize_depths
 from stackweave.session import durable
 
-_ROW_FIELDS = ["trace", "time", "cpu", "kind", "action", "caller", "callee", "same",
+ROW_FIELDS = ["trace", "time", "cpu", "kind", "action", "caller", "callee", "same",
                "callerLocation", "calleeLocation", "callerNamed", "callerMain", "calleeMain"]
-_FRAME_FIELDS = ["kind", "depth", "startTime", "endTime", "startTrace", "endTrace", "locationId",
+FRAME_FIELDS = ["kind", "depth", "startTime", "endTime", "startTrace", "endTrace", "locationId",
                  "startCpu", "endCpu", "startReason", "endReason"]
 _COUNT_FIELDS = ["frames", "skippedReturns", "ignoredReturns", "resyncs", "droppedFrames"]
 _SUMMARY_SCHEMA = (
     "tid long, chunk long, lastChunk long, active long, lastTrace long, lastTime long, lastCpu long, first array<long>, "
     + ", ".join(f"{k}Steps array<long>, {k}Cleared long, {k}Restart array<long>" for k in ("user", "kernel")))
 _RAW_SCHEMA = "tid long, chunk long, n long, " + ", ".join(
-    f"{c} long" for c in _FRAME_FIELDS + _COUNT_FIELDS)
+    f"{c} long" for c in FRAME_FIELDS + _COUNT_FIELDS)
 
 _ROW, _LOSS, _STATE = 0, 1, 2
 
 
 
-def _fold_input(positioned: DataFrame) -> DataFrame:
-    """Integer-only rows for the fold, named as the helper names them."""
+def fold_columns() -> list[Column]:
+    """Integer columns for the fold from classified rows, named as the helper names them."""
     action = (F.when(F.col("isCall") & F.col("isStackCall"), fold.CALL)
               .when(F.col("isReturn"), fold.RETURNS).otherwise(fold.NOTHING))
 
@@ -45,10 +45,7 @@ def _fold_input(positioned: DataFrame) -> DataFrame:
         "callerNamed": F.col("ipHasSymbol"), "callerMain": F.col("ipIsMain"),
         "calleeMain": of_target("addressIsMain", "ipIsMain"),
     }
-    return positioned.select(
-        "tid", "chunk", "lastChunk", F.lit(_ROW).alias("tag"), F.col("position").alias("ord"),
-        *[values[name].cast("long").alias(name) for name in _ROW_FIELDS],
-        _no_state())
+    return [values[name].cast("long").alias(name) for name in ROW_FIELDS]
 
 
 def _no_state() -> Column:
@@ -66,7 +63,7 @@ def _split(table: pa.Table) -> tuple[list, list, list | None]:
     tags = table.column("tag").to_numpy()
     row_count, loss_count = int((tags == _ROW).sum()), int((tags == _LOSS).sum())
     rows = list(zip(*[table.column(name).slice(0, row_count).to_numpy().tolist()
-                      for name in _ROW_FIELDS]))
+                      for name in ROW_FIELDS]))
     losses = list(zip(*[table.column(name).slice(row_count, loss_count).to_numpy().tolist()
                         for name in ("time", "cpu")]))
     states = table.column("state").slice(row_count + loss_count).to_pylist()
@@ -99,11 +96,11 @@ def _fold(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     is_last = key[1].as_py() == key[2].as_py()
     frames = fold.fold_chunk(rows, losses, fold.unpack_state(state) if state else None, is_last, counters)
     count = len(frames)
-    columns = list(zip(*frames)) if frames else [()] * len(_FRAME_FIELDS)
+    columns = list(zip(*frames)) if frames else [()] * len(FRAME_FIELDS)
     # Row 0 carries the chunk's counters, rows 1.. its frames in emission order.
     data = {"tid": [key[0].as_py()] * (count + 1), "chunk": [key[1].as_py()] * (count + 1),
             "n": range(count + 1)}
-    data.update({name: [None, *values] for name, values in zip(_FRAME_FIELDS, columns)})
+    data.update({name: [None, *values] for name, values in zip(FRAME_FIELDS, columns)})
     counts = [count, counters.skipped, counters.ignored, counters.resyncs, counters.dropped]
     data.update({name: [value, *[None] * count] for name, value in zip(_COUNT_FIELDS, counts)})
     return pa.table({name: pa.array(values, pa.int64()) for name, values in data.items()})
@@ -117,10 +114,12 @@ def fold_branches(branches: DataFrame, locations: DataFrame, losses: DataFrame,
     summarised chunk by chunk, so no task ever holds more than one chunk of rows.
     """
     positioned = thread_positions(branches, chunk_rows)
-    rows = _fold_input(classify_branches(positioned, locations))
+    rows = classify_branches(positioned, locations).select(
+        "tid", "chunk", "lastChunk", F.lit(_ROW).alias("tag"), F.col("position").alias("ord"),
+        *fold_columns(), _no_state())
     loss_rows = losses_by_chunk(positioned, losses).select(
         "tid", "chunk", "lastChunk", F.lit(_LOSS).alias("tag"),
-        *[_fill(name) for name in ("ord", *_ROW_FIELDS)], _no_state())
+        *[_fill(name) for name in ("ord", *ROW_FIELDS)], _no_state())
     merged = rows.unionByName(loss_rows)
 
     summaries = (merged.filter("lastChunk > 0").groupBy("tid", "chunk", "lastChunk")
@@ -128,7 +127,7 @@ def fold_branches(branches: DataFrame, locations: DataFrame, losses: DataFrame,
     states = summaries.groupBy("tid").applyInArrow(
         _entries, "tid long, chunk long, lastChunk long, state array<long>")
     state_rows = states.select("tid", "chunk", "lastChunk", F.lit(_STATE).alias("tag"),
-                               *[F.lit(0).cast("long").alias(name) for name in ("ord", *_ROW_FIELDS)],
+                               *[F.lit(0).cast("long").alias(name) for name in ("ord", *ROW_FIELDS)],
                                "state")
     return (merged.unionByName(state_rows).groupBy("tid", "chunk", "lastChunk")
             .applyInArrow(_fold, _RAW_SCHEMA))

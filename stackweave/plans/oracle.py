@@ -283,8 +283,8 @@ SELECT seq, tid FROM (SELECT *, lag(ends) OVER (PARTITION BY tid ORDER BY rn) AS
 WHERE ends AND NOT (coalesce(before, false) AND NOT begins)""")
 
 
-def sql(body: str, *needs: str) -> str:
-    """`body` preceded by the CTEs it needs, in dependency order."""
+def sql(body: str, *needs: str, swap: dict[str, str] | None = None) -> str:
+    """`body` preceded by the CTEs it needs, in dependency order; `swap` rewrites CTE texts."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -303,7 +303,8 @@ def sql(body: str, *needs: str) -> str:
     def clause(name: str) -> str:
         short = name.removeprefix("RECURSIVE ")
         kept = "" if name.startswith("RECURSIVE ") else "MATERIALIZED "
-        return f"{short} AS {kept}({CTES[name][1].strip()})"
+        text = (swap or {}).get(name, "{0}").format(CTES[name][1].strip())
+        return f"{short} AS {kept}({text})"
 
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(clause(n) for n in order) + "\n" + body
 
@@ -582,4 +583,13 @@ UNION ALL SELECT 'resolved', max_by(99 - k, us), 512 FROM snaps WHERE longForm""
 SELECT b AS bucket, round(avg(value), 6) AS mean, count(*) AS points FROM (
   SELECT v.b, e.value FROM (SELECT count(*) AS n FROM ev), range(97) v(b) JOIN ev e ON e.seq >= v.b * n // 97 AND e.seq < (v.b + 1) * n // 97) GROUP BY b""", "ev")
     o["stream_event_totals"] = sql("SELECT epoch_us(date_trunc('hour', ts)) AS start, count(*) AS events FROM ev GROUP BY 1", "ev")
+    # streams
+    o["stream_ingest_samples"] = sql("SELECT pid, tid, id, perfId, ipLocationId, addressLocationId FROM flat", "flat")
+    single = "SELECT * REPLACE (tid * 100 + pid AS tid) FROM ({0})"
+    o["stream_reconstruct_stacks"] = sql("""
+SELECT tid, row_number() OVER (PARTITION BY tid ORDER BY frameId) AS n, depth, startTime, endTime, startTrace, endTrace, locationId, startCpu, endCpu
+FROM rawframes""", "rawframes", swap={"cl": single, "loss": single})
+    o["stream_file_status"] = sql("""
+SELECT file, status, seq AS flushed, CASE WHEN status = 'CLOSED' OR pus IS NULL THEN 0 ELSE rate END AS rate, us AS observed FROM filerates""", "filerates")
+    o["stream_rate_totals"] = sql("SELECT epoch_us(date_trunc('hour', ts)) AS start, count(*) AS events, round(count(*) / 3600.0, 9) AS rate FROM ev GROUP BY 1", "ev")
     return o

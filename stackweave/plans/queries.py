@@ -15,6 +15,7 @@ from stackweave.plans import derive as D
 from stackweave.plans.trace import trace
 from stackweave.session import durable
 from stackweave.sources import readers, sinks
+from stackweave.streaming import ingest as SI, reconstruct as SR, telemetry as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -876,3 +877,73 @@ def downsample_history(spark, d):
 def stream_event_totals(spark, d):
     """Batch form of the streaming totals: events and current rate per hour."""
     return M.event_totals(D.stage_counters(spark, d), length="1 hour").select(F.unix_micros("start").alias("start"), "events")
+
+
+# ---- streams: the whole table runs through a streaming query -------------------------------
+
+def _drain(stream: DataFrame, path: str) -> DataFrame:
+    """Run an append stream over all available input and read what it wrote."""
+    writer = (stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state")
+              .format("parquet").option("path", f"{path}/out").trigger(availableNow=True))
+    running = writer.start()
+    running.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _as_stream(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+@query
+def stream_ingest_samples(spark, d):
+    root = scratch(spark)
+    stream = _as_stream(D.raw_samples(spark, d), f"{root}/in")
+    SI.stream_ingest_samples(stream, f"{root}/trace", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return SI.ingested_samples(spark, f"{root}/trace").select(
+        F.col("pid").cast("long").alias("pid"), F.col("tid").cast("long").alias("tid"), "id", "perfId",
+        "ipLocationId", "addressLocationId")
+
+
+@query
+def stream_reconstruct_stacks(spark, d):
+    """Each (pid, tid) is a thread here: its rows arrive in time order. A last heartbeat of another
+    thread, a day later, moves the watermark past all rows."""
+    root, t = scratch(spark), trace(spark, d)
+    day = 86_400_000_000_000
+    single = (F.col("tid") * 100 + F.col("pid")).alias("tid")
+    rows = t.branches.select(single, "id", "time", "cpu", "flags", "cpumode", "ipLocationId", "addressLocationId")
+    beat = rows.agg((F.max("time") + day).alias("time")).select(
+        F.lit(-1).cast("long").alias("tid"), F.lit(1).cast("long").alias("id"), "time",
+        *[F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[3:]])
+    branches = _as_stream(rows.unionByName(beat), f"{root}/branches")
+    losses = _as_stream(t.losses.select(single, "time", "cpu").unionByName(beat.select("tid", "time", "cpu")), f"{root}/losses")
+    frames = SR.stream_reconstruct_stacks(branches, t.locations, losses, "0 seconds")
+    return _drain(frames, f"{root}/frames").filter("tid >= 0").drop("kind", "startReason", "endReason").withColumn("n", F.col("n"))
+
+
+@query
+def stream_file_status(spark, d):
+    """All status rows of the stream, with the rate against the file's previous row."""
+    root = scratch(spark)
+    stream = _as_stream(_file_rows(spark, d).select("file", "status", "buffered", "flushed", "observed"), f"{root}/in")
+    # Processing-time timeouts ask for further batches for ever; here the input is finite.
+    idle_batches = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(idle_batches, "false")
+    try:
+        out = _drain(ST.file_status_stream(stream), f"{root}/status")
+    finally:
+        spark.conf.unset(idle_batches)
+    return out.filter("status <> 'EXPIRED'").select("file", "status", "flushed", "rate", F.unix_micros("observed").alias("observed"))
+
+
+@query
+def stream_rate_totals(spark, d):
+    """Hourly totals by the streaming operator; the last heartbeat closes all windows."""
+    root = scratch(spark)
+    rows = D.stage_counters(spark, d).select("observed")
+    beat = rows.agg((F.max("observed") + F.expr("interval 2 days")).alias("observed"))
+    stream = _as_stream(rows.unionByName(beat), f"{root}/in")
+    totals = ST.stream_event_totals(stream, length="1 hour", delay="0 seconds")
+    return _drain(totals, f"{root}/totals").select(F.unix_micros("start").alias("start"), "events",
+                                                   F.round("rate", 9).alias("rate"))
