@@ -78,8 +78,7 @@ def sample_frame_containment(samples: DataFrame, by_symbol: DataFrame, tolerance
     are formed outside the edge cells.
     """
     best = F.struct("depth", "startTime", file_order().alias("file"))
-    frames = _padded(by_symbol, tolerance).select("symbol", "lo", "hi", best.alias("best"),
-                                                  F.struct(*_FRAME).alias("frame"))
+    frames = _padded(by_symbol, tolerance).select("symbol", "lo", "hi", best.alias("best"))
     cell_lo, cell_hi = F.shiftright("lo", grain_bits), F.shiftright("hi", grain_bits)
     frames = frames.withColumn("first", cell_lo + 1).withColumn("past", cell_hi)
 
@@ -92,23 +91,28 @@ def sample_frame_containment(samples: DataFrame, by_symbol: DataFrame, tolerance
         right = F.when(some & (to_block % 2 == 1), F.struct(level.alias("level"), (to_block - 1).alias("block")))
         return F.array(F.coalesce(left, none), F.coalesce(right, none))
 
-    levels = F.sequence(F.lit(0), F.lit(62 - grain_bits))
+    cells = F.greatest(F.col("past") - F.col("first"), F.lit(1))
+    levels = F.sequence(F.lit(0), F.length(F.conv(cells.cast("string"), 10, 2)))
     blocks = F.array_compact(F.flatten(F.transform(levels, blocks_at)))
-    inner = (frames.select("symbol", "best", "frame", F.explode(blocks).alias("b"))
+    inner = (frames.select("symbol", "best", F.explode(blocks).alias("b"))
              .groupBy("symbol", F.col("b.level").alias("level"), F.col("b.block").alias("block"))
-             .agg(F.min("best").alias("best"), F.min_by("frame", "best").alias("frame")))
+             .agg(F.min("best").alias("best")))
     used = inner.agg(F.collect_set("level")).scalar()
     points = samples.select("sampleId", "symbol", "time", F.shiftright("time", grain_bits).alias("cell"))
     in_blocks = (points.withColumn("level", F.explode(used))
                  .withColumn("block", _shift(F.col("cell"), F.col("level")))
                  .join(inner, ["symbol", "level", "block"])
-                 .select("sampleId", "symbol", "best", "frame"))
+                 .select("sampleId", "symbol", "best"))
     edges = (frames.withColumn("cell", F.explode(F.array_distinct(F.array(F.col("first") - 1, F.col("past")))))
-             .select("symbol", "cell", "lo", "hi", "best", "frame"))
+             .select("symbol", "cell", "lo", "hi", "best"))
     in_edges = (points.join(edges, ["symbol", "cell"]).filter("time between lo and hi")
-                .select("sampleId", "symbol", "best", "frame"))
-    return (in_blocks.unionByName(in_edges).groupBy("sampleId", "symbol")
-            .agg(F.min_by("frame", "best").alias("frame")).select("sampleId", "symbol", "frame.*"))
+                .select("sampleId", "symbol", "best"))
+    won = in_blocks.unionByName(in_edges).groupBy("sampleId", "symbol").agg(F.min("best").alias("best"))
+    file = "best.file."
+    return won.select("sampleId", "symbol", F.col(file + "frameId").alias("frameId"), F.col(file + "tid").alias("tid"),
+                      F.col(file + "kind").alias("kind"), "best.depth", "best.startTime",
+                      (-F.col(file + "e")).alias("endTime"), F.col(file + "startTrace").alias("startTrace"),
+                      (-F.col(file + "n")).alias("endTrace"))
 
 
 def containing_frames(samples: DataFrame, by_symbol: DataFrame, tolerance: int = TOLERANCE_NS,
@@ -135,32 +139,57 @@ def containing_frames(samples: DataFrame, by_symbol: DataFrame, tolerance: int =
 
 # ---- nesting -------------------------------------------------------------------------------
 
+def _enclosed(base: DataFrame, asking: DataFrame, pairs: DataFrame, thread: list[str], sign: int) -> DataFrame:
+    """(base, asking) symbol pairs of which some asking frame finds a base frame.
+
+    With sign 1 the base frames are parents: of those begun by the asking frame's start the
+    furthest end must reach its end, at a smaller depth. With sign -1 they are children: of those
+    begun at or after its start the nearest end must not pass its end, at a greater depth, which
+    is the same search on the mirrored time axis.
+    """
+    def mirrored(frames: DataFrame, symbol: str) -> DataFrame:
+        def at(side: str) -> Column:
+            return F.struct((F.col(f"{side}Time") * sign).alias("t"), (F.col(f"{side}Trace") * sign).alias("n"))
+
+        return frames.select(F.col("symbol").alias(symbol), *thread, "depth", at("start").alias("start"),
+                             at("end").alias("end"))
+
+    own = (mirrored(base, "base").join(pairs.select("base").distinct(), "base", "left_semi")
+           .withColumnRenamed("depth", "level"))
+    levels = own.groupBy("base").agg(F.collect_set("level").alias("levels"))
+    # Of frames with one start and depth, only the easiest end matters.
+    asked = (mirrored(asking, "asking").groupBy("asking", *thread, "depth", "start").agg(F.min("end").alias("end"))
+             .join(pairs, "asking").join(levels, "base"))
+    fitting = F.filter("levels", lambda level: (level - F.col("depth")) * sign < 0)
+    keys, order = ["base", *thread, "level"], ["start", "side", "asking"]
+    merged = own.select(*keys, "start", F.lit(0).alias("side"), F.lit("").alias("asking"), "end",
+                        F.col("end").alias("reach")).unionByName(
+        asked.withColumn("level", F.explode(fitting)).select(
+            *keys, "start", F.lit(1).alias("side"), "asking", "end", F.lit(None).cast("struct<t:bigint,n:bigint>")
+            .alias("reach")))
+    cut = scans.range_chunks(merged, [*keys, *order])
+    reached = scans.split_running_max(cut, keys, order, "reach", "reached")
+    return reached.filter("side = 1 and reached >= end").select("base", "asking").distinct()
+
+
 def nested_overlap(by_symbol: DataFrame, pairs: DataFrame, same_thread: bool = False) -> DataFrame:
     """For each (parent, child) symbol pair: does some shallower parent frame enclose a child frame?
 
-    Per pair and parent depth the furthest end of the parents begun so far is carried along the
-    start order; a child is enclosed if that end reaches its own. No frame pairs are formed.
+    Per pair the symbol with fewer frames asks, the other's frames enter once for all its pairs.
+    Per base symbol and depth the furthest end so far is carried along the start order; no frame
+    pairs are formed.
     """
-    start = F.struct(F.col("startTime").alias("t"), F.col("startTrace").alias("n"))
-    end = F.struct(F.col("endTime").alias("t"), F.col("endTrace").alias("n"))
     thread = ["tid"] if same_thread else []
+    sizes = by_symbol.groupBy("symbol").agg(F.count(F.lit(1)).alias("frames"))
     pairs = pairs.select("parent", "child").distinct()
-    frames = by_symbol.select("symbol", *thread, "depth", start.alias("start"), end.alias("end"))
-    parents = (pairs.join(frames.withColumnRenamed("symbol", "parent"), "parent")
-               .withColumnRenamed("depth", "level"))
-    levels = parents.select("parent", "child", "level").distinct()
-    children = (levels.join(frames.withColumnRenamed("symbol", "child"), "child")
-                .filter(F.col("level") < F.col("depth")).drop("depth"))
-    none = F.lit(None).cast("struct<t:bigint,n:bigint>")
-    merged = (parents.select("parent", "child", *thread, "level", "start", F.lit(0).alias("side"),
-                             F.col("end").alias("parentEnd"), none.alias("childEnd"))
-              .unionByName(children.select("parent", "child", *thread, "level", "start", F.lit(1).alias("side"),
-                                           none.alias("parentEnd"), F.col("end").alias("childEnd"))))
-    keys = ["parent", "child", *thread, "level"]
-    order = ["start", "side", "childEnd"]
-    cut = scans.range_chunks(merged, [*keys, *order])
-    reached = scans.split_running_max(cut, keys, order, "parentEnd", "reached")
-    hits = reached.filter("side = 1 and reached >= childEnd").select("parent", "child").distinct()
+    sized = (pairs.join(sizes.select(F.col("symbol").alias("parent"), F.col("frames").alias("parents")), "parent")
+             .join(sizes.select(F.col("symbol").alias("child"), F.col("frames").alias("children")), "child"))
+    few_children = sized.filter("children <= parents").select(F.col("parent").alias("base"), F.col("child").alias("asking"))
+    few_parents = sized.filter("children > parents").select(F.col("child").alias("base"), F.col("parent").alias("asking"))
+    hits = (_enclosed(by_symbol, by_symbol, few_children, thread, 1)
+            .select(F.col("base").alias("parent"), F.col("asking").alias("child"))
+            .unionByName(_enclosed(by_symbol, by_symbol, few_parents, thread, -1)
+                         .select(F.col("asking").alias("parent"), F.col("base").alias("child"))))
     return pairs.join(hits.withColumn("hit", F.lit(True)), ["parent", "child"], "left").select(
         "parent", "child", F.coalesce("hit", F.lit(False)).alias("overlaps"))
 
