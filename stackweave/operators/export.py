@@ -82,6 +82,12 @@ def thread_comm_chain(branches: DataFrame, chunk_rows: int = scans.CHUNK_ROWS) -
                 .withColumn("rank", F.row_number().over(window)))
 
     leading = runs(rows.filter(F.col("comm").isNotNull()), chunk).filter(F.col("rank") <= MAX_NAME_PARTS + 1)
+    # A chunk of r runs adds at least r - 1 names; chunks after enough names cannot add any.
+    changes = leading.groupBy("tid", "chunk").agg((F.max("rank") - 1).alias("changes"))
+    before = Window.partitionBy("tid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    needed = (changes.withColumn("so_far", F.coalesce(F.sum("changes").over(before), F.lit(0)))
+              .filter(F.col("so_far") < MAX_NAME_PARTS).select("tid", "chunk"))
+    leading = leading.join(needed, ["tid", "chunk"])
     chain = runs(leading.drop("before", "rank"), thread).filter(F.col("rank") <= MAX_NAME_PARTS)
     names = chain.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("rank", "comm"))).alias("parts"))
     joined = F.array_join(F.transform("parts", lambda p: p["comm"]), " -> ")

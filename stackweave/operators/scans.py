@@ -30,11 +30,11 @@ def _order(order: Sequence[str | Column]) -> list[Column]:
 
 
 def _carried(df: DataFrame, summary: DataFrame, on: list[str]) -> DataFrame:
-    """Join one summary row per chunk to its rows; null keys meet null keys."""
-    renamed = summary.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c)
-                               for c in summary.columns])
-    condition = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]
-    return df.join(renamed, condition, "left").drop(*[f"__{c}" for c in on])
+    """Join one summary row per chunk to its rows (keys are not null).
+
+    Plain equality on (keys, chunk): a shuffle for the join also serves the window that follows.
+    """
+    return df.join(summary, on, "left")
 
 
 def with_chunk(df: DataFrame, position: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:

@@ -204,17 +204,39 @@ class Summary:
                 return
             self._barrier(SAME_RETURN, index, function)
             return
+        if self._find(function) >= 0:
+            self.remove(index, function)
+        elif closed_world:
+            if known > 1:
+                self.steps.pop()
+        else:
+            self._barrier(RETURN, index, function)
+
+    def remove(self, index: int, function: int) -> None:
         at = self._find(function)
         if at >= 0:
             entered = self.steps[at][0] == ENTER
             del self.steps[at:]
             if entered:
                 self._barrier(REMOVE, index, function)
-        elif closed_world:
-            if known > 1:
-                self.steps.pop()
-        else:
-            self._barrier(RETURN, index, function)
+        elif not (self.cleared and self.known_from == 0):
+            self._barrier(REMOVE, index, function)
+
+    def absorb(self, index: int, steps: list[int]) -> None:
+        """Append the steps of a later chunk."""
+        width = FRAME_WIDTH + 1
+        for at in range(0, len(steps), width):
+            op, frame = steps[at], steps[at + 1:at + width]
+            if op == PUSH:
+                self.push(index, frame)
+            elif op == ENTER:
+                self.enter(index, frame[0], frame)
+            elif op == CUT_TO:
+                self.enter(index, frame[0], None)
+            elif op == REMOVE:
+                self.remove(index, frame[0])
+            else:
+                self.leave(index, frame[0], op == SAME_RETURN)
 
     def flat(self) -> list[int]:
         out: list[int] = []
@@ -259,8 +281,11 @@ def summarise_chunk(rows, losses) -> dict:
         lose()
         active = -1
     trace, time, cpu = rows[-1][:3]
-    facts = {"active": active, "lastTrace": trace, "lastTime": time, "lastCpu": cpu,
-             "first": list(first)}
+    return _facts(sides, list(first), active, trace, time, cpu)
+
+
+def _facts(sides, first, active, trace, time, cpu) -> dict:
+    facts = {"active": active, "lastTrace": trace, "lastTime": time, "lastCpu": cpu, "first": first}
     for name, side in zip(("user", "kernel"), sides):
         facts[f"{name}Steps"] = side.flat()
         facts[f"{name}Cleared"] = int(side.cleared)
@@ -268,6 +293,27 @@ def summarise_chunk(rows, losses) -> dict:
     return facts
 
 
+def combine_summaries(summaries: list[dict]) -> dict:
+    """The summary of several consecutive chunks as one."""
+    sides = (Summary(), Summary())
+    active = None
+    for number, facts in enumerate(summaries):
+        # Restarts come before the chunk's steps and only reach steps of earlier chunks.
+        at = 2 * number
+        kind, time, trace, cpu = facts["first"]
+        if active is not None and active != kind:
+            sides[kind].restart(at, time, trace, cpu)
+        for name, side in zip(("user", "kernel"), sides):
+            if facts[f"{name}Cleared"]:
+                side.clear()
+            if facts[f"{name}Restart"]:
+                side.restart(at, *facts[f"{name}Restart"])
+            side.absorb(at + 1, facts[f"{name}Steps"])
+        active = facts["active"]
+    last = summaries[-1]
+    return _facts(sides, summaries[0]["first"], active, last["lastTrace"], last["lastTime"], last["lastCpu"])
+
+
 def _replay(stack: list, steps: list[int], counters: Counters) -> None:
     width = FRAME_WIDTH + 1
     for at in range(0, len(steps), width):
@@ -288,10 +334,10 @@ def _replay(stack: list, steps: list[int], counters: Counters) -> None:
                 del stack[index:]
 
 
-def entry_states(summaries: Iterable[dict]):
-    """Entry state of each chunk of one thread, from the summaries in order."""
-    stacks: tuple[list, list] = ([], [])
-    active, last = -1, (-1, 0, 0)
+def entry_states(summaries: Iterable[dict], initial: list[int] | None = None):
+    """Entry state of each of consecutive chunks, from their summaries and the state before them."""
+    active, *last, user, kernel = unpack_state(initial) if initial else (-1, -1, 0, 0, [], [])
+    stacks = (user, kernel)
     ignored = Counters()
     for facts in summaries:
         yield [active, *last, len(stacks[0]), *(v for s in stacks for f in s for v in f)]

@@ -25,6 +25,8 @@ _RAW_SCHEMA = "tid long, chunk long, n long, " + ", ".join(
     f"{c} long" for c in FRAME_FIELDS + _COUNT_FIELDS)
 
 _ROW, _LOSS, _STATE = 0, 1, 2
+# Chunks per combined run.
+CHUNK_FAN = 256
 
 
 
@@ -74,20 +76,46 @@ def _summarise(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     rows, losses, _ = _split(table)
     facts = fold.summarise_chunk(rows, losses)
     facts.update(tid=key[0].as_py(), chunk=key[1].as_py(), lastChunk=key[2].as_py())
-    names = [part.split()[0] for part in _SUMMARY_SCHEMA.split(", ")]
-    kinds = [pa.list_(pa.int64()) if "array" in part else pa.int64() for part in _SUMMARY_SCHEMA.split(", ")]
-    return pa.table({n: pa.array([facts[n]], k) for n, k in zip(names, kinds)})
+    return _fact_table([facts])
+
+
+def _fact_table(facts: list[dict]) -> pa.Table:
+    columns = [part.split() for part in _SUMMARY_SCHEMA.split(", ")]
+    return pa.table({name: pa.array([f[name] for f in facts], pa.list_(pa.int64()) if "array" in kind else pa.int64())
+                     for name, kind in columns})
+
+
+def _combine(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    facts = fold.combine_summaries(table.sort_by("chunk").to_pylist())
+    facts.update(tid=key[0].as_py(), chunk=key[1].as_py(), lastChunk=0)
+    return _fact_table([facts])
+
+
+def _states(facts: list[dict], initial: list[int] | None) -> pa.Table:
+    numbers = {name: pa.array([f[name] for f in facts], pa.int64()) for name in ("tid", "chunk", "lastChunk")}
+    return pa.table({**numbers, "state": pa.array(list(fold.entry_states(facts, initial)), pa.list_(pa.int64()))})
 
 
 def _entries(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    facts = table.sort_by("chunk").to_pylist()
-    states = list(fold.entry_states(facts))
-    return pa.table({
-        "tid": pa.array([f["tid"] for f in facts], pa.int64()),
-        "chunk": pa.array([f["chunk"] for f in facts], pa.int64()),
-        "lastChunk": pa.array([f["lastChunk"] for f in facts], pa.int64()),
-        "state": pa.array(states, pa.list_(pa.int64())),
-    })
+    return _states(table.sort_by("chunk").to_pylist(), None)
+
+
+def _entries_from(key: tuple[pa.Scalar, ...], chunks: pa.Table, entries: pa.Table) -> pa.Table:
+    return _states(chunks.sort_by("chunk").to_pylist(), entries.column("state")[0].as_py())
+
+
+def _chunk_states(summaries: DataFrame, fan: int) -> DataFrame:
+    """Entry state of every chunk of the long threads.
+
+    Runs of `fan` chunks are combined side by side, one row per run is scanned over the thread,
+    and the runs then find their chunks' states side by side.
+    """
+    schema = "tid long, chunk long, lastChunk long, state array<long>"
+    summaries = durable(summaries.withColumn("run", scans.whole(F.col("chunk"), fan)))
+    runs = summaries.groupBy("tid", "run").applyInArrow(_combine, _SUMMARY_SCHEMA)
+    starts = runs.groupBy("tid").applyInArrow(_entries, schema).withColumnRenamed("chunk", "run")
+    return (summaries.groupBy("tid", "run").cogroup(starts.groupBy("tid", "run"))
+            .applyInArrow(_entries_from, schema))
 
 
 def _fold(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -107,7 +135,7 @@ def _fold(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def fold_branches(branches: DataFrame, locations: DataFrame, losses: DataFrame,
-                  chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
+                  chunk_rows: int = scans.CHUNK_ROWS, fan: int = CHUNK_FAN) -> DataFrame:
     """Raw fold output: per (tid, chunk) a counter row (n = 0) and the frames (n = 1..).
 
     Threads that fit one chunk are folded in a single grouped pass. Longer threads are first
@@ -122,15 +150,18 @@ def fold_branches(branches: DataFrame, locations: DataFrame, losses: DataFrame,
         *[_fill(name) for name in ("ord", *ROW_FIELDS)], _no_state())
     merged = rows.unionByName(loss_rows)
 
-    summaries = (merged.filter("lastChunk > 0").groupBy("tid", "chunk", "lastChunk")
+    whole_group = ["tid", "chunk", "lastChunk"]
+    longest = (branches.groupBy("tid", "pid").agg(F.max("id").alias("rows"))
+               .groupBy("tid").agg(F.sum("rows").alias("rows")).agg(F.max("rows")).first()[0] or 0)
+    if longest < chunk_rows:
+        return merged.groupBy(*whole_group).applyInArrow(_fold, _RAW_SCHEMA)
+
+    summaries = (merged.filter("lastChunk > 0").groupBy(*whole_group)
                  .applyInArrow(_summarise, _SUMMARY_SCHEMA))
-    states = summaries.groupBy("tid").applyInArrow(
-        _entries, "tid long, chunk long, lastChunk long, state array<long>")
-    state_rows = states.select("tid", "chunk", "lastChunk", F.lit(_STATE).alias("tag"),
+    state_rows = _chunk_states(summaries, fan).select("tid", "chunk", "lastChunk", F.lit(_STATE).alias("tag"),
                                *[F.lit(0).cast("long").alias(name) for name in ("ord", *ROW_FIELDS)],
                                "state")
-    return (merged.unionByName(state_rows).groupBy("tid", "chunk", "lastChunk")
-            .applyInArrow(_fold, _RAW_SCHEMA))
+    return merged.unionByName(state_rows).groupBy(*whole_group).applyInArrow(_fold, _RAW_SCHEMA)
 
 
 def frame_ids(raw: DataFrame) -> DataFrame:
@@ -170,8 +201,8 @@ class Reconstruction:
 
 
 def reconstruct(branches: DataFrame, locations: DataFrame, losses: DataFrame,
-                chunk_rows: int = scans.CHUNK_ROWS) -> Reconstruction:
-    raw = durable(fold_branches(branches, locations, losses, chunk_rows))
+                chunk_rows: int = scans.CHUNK_ROWS, fan: int = CHUNK_FAN) -> Reconstruction:
+    raw = durable(fold_branches(branches, locations, losses, chunk_rows, fan))
     return Reconstruction(classify_branches(branches, locations), losses, raw, chunk_rows)
 
 
