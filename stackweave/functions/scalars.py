@@ -112,7 +112,7 @@ def quality_bits(dso: ColumnLike, symbol: ColumnLike, file: ColumnLike, line: Co
 
 def percent_text(numerator: ColumnLike, denominator: ColumnLike) -> Column:
     share = _col(numerator).cast("double") / F.nullif(_col(denominator), F.lit(0)).cast("double")
-    return F.coalesce(F.format_string("%.2f%%", share * 100), F.lit("0.00%"))
+    return F.when(_col(denominator) != 0, F.format_string("%.2f%%", share * 100)).otherwise(F.lit("0.00%"))
 
 
 def key_strength(build_id: ColumnLike, dso: ColumnLike) -> Column:

@@ -131,6 +131,10 @@ def read_stack_ranges(spark: SparkSession, root: str) -> DataFrame:
     return _load_or_empty(spark, f"{root}/*_stackranges.parquet", S.STACK_RANGE)
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 # ---- text ----------------------------------------------------------------------------------
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -153,7 +157,7 @@ def read_symbol_table(lines: DataFrame) -> DataFrame:
 
 def parse_source_line(text: Column) -> Column:
     """`file:line…` to {file, line}; `??`, no digits or line 0 is unknown (null)."""
-    value, pattern = F.trim(text), r"^(.+):(\d+)[^:]*$"
+    value, pattern = _stripped(text), r"^(.+):(\d+)[^:]*$"
     file, number = F.regexp_extract(value, pattern, 1), F.regexp_extract(value, pattern, 2).try_cast("long")
     known = (file != "") & (file != "??") & number.between(1, 4294967295)
     return F.when(known, F.struct(file.alias("file"), number.alias("line")))
@@ -187,7 +191,7 @@ def parse_sampled_stacks(records: DataFrame, wanted: list[str]) -> DataFrame:
                .filter(F.col("text").rlike(r"^\S")))
     lines = F.split("text", r"\r?\n")
     header = F.element_at(lines, 1)
-    parts = F.filter(F.split(F.trim(header), " +"), lambda p: p != "")
+    parts = F.filter(F.split(_stripped(header), " +"), lambda p: p != "")
     is_time = lambda p: p.rlike(r"^\d+\.\d+:$")
     times = F.filter(parts, is_time)
     first_time = F.array_position(parts, F.get(times, F.lit(0)))
@@ -201,7 +205,7 @@ def parse_sampled_stacks(records: DataFrame, wanted: list[str]) -> DataFrame:
         F.get(tail, F.array_position(tail, header_ip).cast("int")))
 
     def line_symbol(line: Column) -> Column:
-        words = F.split(F.trim(line), " +")
+        words = F.split(_stripped(line), " +")
         return F.when((F.size(words) >= 2) & is_hex(F.get(words, F.lit(0))),
                       X.strip_symbol_offset(F.get(words, F.lit(1))))
 
