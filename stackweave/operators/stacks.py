@@ -134,6 +134,14 @@ def _fold(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({name: pa.array(values, pa.int64()) for name, values in data.items()})
 
 
+def _spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Shuffle on the group keys into all shuffle partitions.
+
+    The fold is bound by Python time, so partitions must not be merged by their size in bytes.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def fold_branches(branches: DataFrame, locations: DataFrame, losses: DataFrame,
                   chunk_rows: int = scans.CHUNK_ROWS, fan: int = CHUNK_FAN) -> DataFrame:
     """Raw fold output: per (tid, chunk) a counter row (n = 0) and the frames (n = 1..).
@@ -154,14 +162,15 @@ def fold_branches(branches: DataFrame, locations: DataFrame, losses: DataFrame,
     longest = (branches.groupBy("tid", "pid").agg(F.max("id").alias("rows"))
                .groupBy("tid").agg(F.sum("rows").alias("rows")).agg(F.max("rows")).first()[0] or 0)
     if longest < chunk_rows:
-        return merged.groupBy(*whole_group).applyInArrow(_fold, _RAW_SCHEMA)
+        return _spread(merged, whole_group).groupBy(*whole_group).applyInArrow(_fold, _RAW_SCHEMA)
 
-    summaries = (merged.filter("lastChunk > 0").groupBy(*whole_group)
+    summaries = (_spread(merged.filter("lastChunk > 0"), whole_group).groupBy(*whole_group)
                  .applyInArrow(_summarise, _SUMMARY_SCHEMA))
     state_rows = _chunk_states(summaries, fan).select("tid", "chunk", "lastChunk", F.lit(_STATE).alias("tag"),
                                *[F.lit(0).cast("long").alias(name) for name in ("ord", *ROW_FIELDS)],
                                "state")
-    return merged.unionByName(state_rows).groupBy(*whole_group).applyInArrow(_fold, _RAW_SCHEMA)
+    return (_spread(merged.unionByName(state_rows), whole_group).groupBy(*whole_group)
+            .applyInArrow(_fold, _RAW_SCHEMA))
 
 
 def frame_ids(raw: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -13,7 +12,7 @@ from stackweave.operators import (branches as B, depths, export as E, locations
                                   sampled as P, samples as R, scans, stacks, telemetry as M)
 from stackweave.plans import derive as D
 from stackweave.plans.trace import trace
-from stackweave.session import durable
+from stackweave.session import durable, shared_folder
 from stackweave.sources import readers, sinks
 from stackweave.streaming import ingest as SI, reconstruct as SR, telemetry as ST
 
@@ -26,12 +25,6 @@ def query(function: Query) -> Query:
     return function
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder next to the checkpoints, reachable from all executors."""
-    durable(spark.range(0))
-    return f"{spark.sparkContext.getCheckpointDir()}/run-{uuid.uuid4().hex}"
-
-
 def longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
@@ -51,7 +44,7 @@ def _wide(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def read_branches(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     sinks.write_samples(R.flatten_samples(_wide(spark, d)), root)
     return readers.read_branches(spark, root).select(
         "id", "pid", "tid", "time", "flags", "ip", "addr", "haveAddress", "ipSym", "addressSym", "ipComm"
@@ -60,7 +53,7 @@ def read_branches(spark, d):
 
 @query
 def read_events(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     sinks.write_samples(R.flatten_samples(_wide(spark, d)), root)
     return readers.read_events(spark, root).groupBy("pid", "tid", "eventComponent").agg(
         F.count(F.lit(1)).alias("rows"), F.max("id").alias("lastId"))
@@ -68,7 +61,7 @@ def read_events(spark, d):
 
 @query
 def read_source_locations(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     table = trace(spark, d).locations
     # Each id twice: the later row must win.
     doubled = table.withColumn("symbol", F.lit("old")).withColumn("turn", F.lit(0)).unionByName(
@@ -80,14 +73,14 @@ def read_source_locations(spark, d):
 
 @query
 def read_aux_loss(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     sinks.write_aux_loss(trace(spark, d).losses.select(*S.AUX_LOSS.names), root)
     return readers.read_aux_loss(spark, f"{root}/below/deeper")
 
 
 @query
 def read_stack_frames(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     sinks.write_stack_frames(trace(spark, d).frames, root)
     return frame_rows(readers.read_stack_frames(spark, root))
 
@@ -104,7 +97,7 @@ def read_line_table(spark, d):
 
 @query
 def parse_sampled_stacks(spark, d):
-    path = scratch(spark)
+    path = shared_folder(spark)
     D.sampled_text(spark, d).select("value").write.option("lineSep", "\n\n").text(path)
     records = readers.sampled_stack_records(spark, path)
     return readers.parse_sampled_stacks(records, ["main", "fn1", "fn2", "fn3", "fn8", "fn9"]).select(
@@ -125,7 +118,7 @@ def read_metric_snapshots(spark, d):
 
 @query
 def read_stack_ranges(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     sinks.write_stack_ranges(trace(spark, d).frames, root)
     return readers.read_stack_ranges(spark, root)
 
@@ -134,7 +127,7 @@ def read_stack_ranges(spark, d):
 
 @query
 def write_samples(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     sinks.write_samples(R.flatten_samples(_wide(spark, d)), root)
     return (spark.read.option("basePath", root).parquet(f"{root}/pid=*/tid=*/*")
             .select(F.col("pid").cast("long").alias("pid"), F.col("tid").cast("long").alias("tid"),
@@ -143,7 +136,7 @@ def write_samples(spark, d):
 
 @query
 def write_source_locations(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     sinks.write_source_locations(L.build_source_locations(R.gate_branch_target(D.raw_samples(spark, d))), root)
     return readers.read_source_locations(spark, root).select(
         "id", F.col("relativeAddress").cast("long").alias("relativeAddress"), "symbol",
@@ -152,7 +145,7 @@ def write_source_locations(spark, d):
 
 @query
 def write_aux_loss(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     sinks.write_aux_loss(trace(spark, d).losses.select(*S.AUX_LOSS.names), root)
     sinks.write_aux_loss(D.aux_loss(spark, d).select(*S.AUX_LOSS.names), root)
     return spark.read.parquet(f"{root}/aux_loss.parquet").withColumn("flags", F.col("flags").cast("long"))
@@ -160,14 +153,14 @@ def write_aux_loss(spark, d):
 
 @query
 def write_stack_frames(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     sinks.write_stack_frames(trace(spark, d).frames, root)
     return frame_rows(spark.read.parquet(f"{root}/stack_frames.parquet"))
 
 
 @query
 def write_stack_ranges(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     sinks.write_stack_ranges(trace(spark, d).frames, root, segment=3)
     return spark.read.parquet(f"{root}/segment3_stackranges.parquet").groupBy("startTrace").agg(
         F.count(F.lit(1)).alias("ranges"), F.max("endTrace").alias("lastTrace"))
@@ -175,7 +168,7 @@ def write_stack_ranges(spark, d):
 
 @query
 def write_trace_events(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     t = trace(spark, d)
     events = E.trace_event_export(t.frames, t.branches, t.locations, t.losses)
     sinks.write_trace_events(events, f"{root}/events", "json")
@@ -191,7 +184,7 @@ def _report(spark, d, variant="all"):
 
 @query
 def write_quality_csv(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     sinks.write_quality_csv(_report(spark, d, 'a,"b"'), f"{root}/csv")
     return (spark.read.option("header", "true").option("escape", '"').csv(f"{root}/csv")
             .select("variant", F.col("source_locs").cast("long").alias("source_locs"),
@@ -201,7 +194,7 @@ def write_quality_csv(spark, d):
 
 @query
 def write_quality_markdown(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     sinks.write_quality_markdown(_report(spark, d), f"{root}/md")
     return spark.read.text(f"{root}/md")
 
@@ -897,7 +890,7 @@ def _as_stream(df: DataFrame, path: str) -> DataFrame:
 
 @query
 def stream_ingest_samples(spark, d):
-    root = scratch(spark)
+    root = shared_folder(spark)
     stream = _as_stream(D.raw_samples(spark, d), f"{root}/in")
     SI.stream_ingest_samples(stream, f"{root}/trace", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return SI.ingested_samples(spark, f"{root}/trace").select(
@@ -909,7 +902,7 @@ def stream_ingest_samples(spark, d):
 def stream_reconstruct_stacks(spark, d):
     """Each (pid, tid) is a thread here: its rows arrive in time order. A last heartbeat of another
     thread, a day later, moves the watermark past all rows."""
-    root, t = scratch(spark), trace(spark, d)
+    root, t = shared_folder(spark), trace(spark, d)
     day = 86_400_000_000_000
     single = (F.col("tid") * 100 + F.col("pid")).alias("tid")
     rows = t.branches.select(single, "id", "time", "cpu", "flags", "cpumode", "ipLocationId", "addressLocationId")
@@ -925,7 +918,7 @@ def stream_reconstruct_stacks(spark, d):
 @query
 def stream_file_status(spark, d):
     """All status rows of the stream, with the rate against the file's previous row."""
-    root = scratch(spark)
+    root = shared_folder(spark)
     stream = _as_stream(_file_rows(spark, d).select("file", "status", "buffered", "flushed", "observed"), f"{root}/in")
     # Processing-time timeouts ask for further batches for ever; here the input is finite.
     idle_batches = "spark.sql.streaming.noDataMicroBatches.enabled"
@@ -940,7 +933,7 @@ def stream_file_status(spark, d):
 @query
 def stream_rate_totals(spark, d):
     """Hourly totals by the streaming operator; the last heartbeat closes all windows."""
-    root = scratch(spark)
+    root = shared_folder(spark)
     rows = D.stage_counters(spark, d).select("observed")
     beat = rows.agg((F.max("observed") + F.expr("interval 2 days")).alias("observed"))
     stream = _as_stream(rows.unionByName(beat), f"{root}/in")

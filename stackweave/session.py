@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,20 +27,29 @@ def build_session(master: str | None = None, app: str = "stackweave", **conf: st
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder of `spark.checkpoint.dir`, which all executors reach.
 
-    Used where a result is read more than once and must not be computed twice (fold output,
-    range-partitioned chunks whose boundaries must stay put). The files live in the folder of
-    `spark.checkpoint.dir`, so they survive lost executors. Only a local session may fall back
-    to a folder of its own.
+    Only a local session may fall back to a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="stackweave-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write `df` as a table to the shared folder and read it back.
+
+    Used where a result is read more than once and must not be computed twice (fold output,
+    range-partitioned chunks whose boundaries must stay put). The table survives lost executors,
+    and its readers load only the columns they need.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
