@@ -199,9 +199,3 @@ def symbol_match(actual: ColumnLike, wanted: ColumnLike) -> Column:
 
 def stack_kind(cpumode: ColumnLike) -> Column:
     return F.when(_col(cpumode) == S.CPU_MODE_USER, F.lit(S.KIND_USER)).otherwise(F.lit(S.KIND_KERNEL))
-
-
-def before_or_equal(left: tuple[str, str], right: tuple[str, str]) -> Column:
-    """(time, trace) order."""
-    return F.struct(F.col(left[0]).alias("t"), F.col(left[1]).alias("n")) <= F.struct(
-        F.col(right[0]).alias("t"), F.col(right[1]).alias("n"))

@@ -16,7 +16,6 @@ def _micros(observed: Column) -> Column:
     return F.unix_micros(observed)
 
 
-
 # ---- snapshot lines ------------------------------------------------------------------------
 
 def _items(part: Column, width: int, build) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from stackweave import schemas as S
 from stackweave.functions import scalars as X
 from stackweave.operators import (branches as B, depths, export as E, locations as L, quality as Q,
-                                  sampled as P, samples as R, scans, stacks, telemetry as M)
+                                  sampled as P, samples as R, scans, telemetry as M)
 from stackweave.plans import derive as D
 from stackweave.plans.trace import trace
 from stackweave.session import durable, shared_folder
@@ -912,7 +912,7 @@ def stream_reconstruct_stacks(spark, d):
     branches = _as_stream(rows.unionByName(beat), f"{root}/branches")
     losses = _as_stream(t.losses.select(single, "time", "cpu").unionByName(beat.select("tid", "time", "cpu")), f"{root}/losses")
     frames = SR.stream_reconstruct_stacks(branches, t.locations, losses, "0 seconds")
-    return _drain(frames, f"{root}/frames").filter("tid >= 0").drop("kind", "startReason", "endReason").withColumn("n", F.col("n"))
+    return _drain(frames, f"{root}/frames").filter("tid >= 0").drop("kind", "startReason", "endReason")
 
 
 @query

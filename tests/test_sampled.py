@@ -3,8 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from stackweave.operators import sampled as P
 
 FRAME = "symbol string, frameId long, tid long, kind int, depth long, startTime long, endTime long, startTrace long, endTrace long"
