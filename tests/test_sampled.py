@@ -3,11 +3,11 @@
 import random
 
 import pytest
+
 from stackweave.operators import sampled as P
 
 FRAME = "symbol string, frameId long, tid long, kind int, depth long, startTime long, endTime long, startTrace long, endTrace long"
 
-
 def random_frames(seed, count=150):
     rng, rows = random.Random(seed), []
     for frame_id in range(1, count + 1):
@@ -16,24 +16,19 @@ def random_frames(seed, count=150):
                      start + rng.choice([0, 2, 50, 700, 2500]), rng.randint(1, 3), rng.randint(3, 5)))
     return rows
 
-
 def holds(frame, time, tolerance):
     return max(frame[5] - tolerance, 0) <= time <= frame[6] + tolerance
 
-
 def file_order(f):
     return (f[2], f[3], f[5], f[7], -f[6], -f[8], f[1])
 
-
 def encloses(p, c):
     return p[4] < c[4] and (p[5], p[7]) <= (c[5], c[7]) and (c[6], c[8]) <= (p[6], p[8])
 
-
 def best_alone(frames, symbol, time, tolerance):
     found = [f for f in frames if f[0] == symbol and holds(f, time, tolerance)]
     return min(found, key=lambda f: (f[4], f[5], file_order(f)))[1] if found else None
 
-
 def walk(frames, symbols, time, tolerance):
     if len(symbols) > 1:
         leaves = [f for f in frames if f[0] == symbols[-1] and holds(f, time, tolerance)]
@@ -48,7 +43,6 @@ def walk(frames, symbols, time, tolerance):
                 return [f[1] for f in chain]
     return [best_alone(frames, s, time, tolerance) for s in symbols]
 
-
 @pytest.mark.parametrize("seed, grain", [(1, 0), (2, 4), (3, 16)])
 def test_containment(spark, seed, grain):
     frames = random_frames(seed)
@@ -59,7 +53,6 @@ def test_containment(spark, seed, grain):
     wanted = {(i, s): best_alone(frames, s, t, 20) for i, t, s in samples}
     assert found == {k: v for k, v in wanted.items() if v is not None}
 
-
 @pytest.mark.parametrize("seed", [1, 2])
 def test_chains(spark, seed):
     frames, rng = random_frames(seed), random.Random(seed)
@@ -71,7 +64,6 @@ def test_chains(spark, seed):
         chains.setdefault(r.sampleId, []).append(r.frameId)
     assert chains == {i: walk(frames, s, t, 20) for i, _, t, s in samples}
 
-
 @pytest.mark.parametrize("same_thread", [False, True])
 def test_overlaps(spark, same_thread):
     for seed in (1, 2):
@@ -82,7 +74,6 @@ def test_overlaps(spark, same_thread):
                               for p in frames if p[0] == a for c in frames if c[0] == b) for a, b in pairs}
         assert {(r.parent, r.child): r.overlaps for r in got.collect()} == wanted
 
-
 def test_symbol_pieces(spark):
     locations = spark.createDataFrame([("main",), ("main_loop",), ("xleafx",), ("leaf",), (None,)], "symbol string")
     wanted = spark.createDataFrame([("main",), ("leaf",), ("none",)], "symbol string")
