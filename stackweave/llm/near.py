@@ -187,7 +187,7 @@ class Signer:
         if not found:
             return np.zeros(0, U)
         f = np.array(found, U)
-        return W.mix(f[:, 0] + W.mix(f[:, 1] + W.mix(f[:, 2] + f[:, 3] * U(0x9E3779B97F4A7C15) + U(band) * U(0xD6E8FEB86659FD93))))
+        return W.mix(f[:, 0] + W.mix(f[:, 1] + W.mix(f[:, 2] + f[:, 3] * U(0x9E3779B97F4A7C15) + U(band * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))))
 
 
 def signatures(docs: DataFrame, size: int, signer) -> DataFrame:
