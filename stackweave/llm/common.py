@@ -47,3 +47,19 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
 def row_hash(text: Column) -> Column:
     """Tells rows of one doc_id apart by their text; null and empty count as the same text."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def id_buckets(df: DataFrame, rows_per_bucket: int, most: int) -> tuple[Column, int]:
+    """A column that numbers ranges of doc_id in ascending order, null ids last, and the number of ranges.
+
+    Ranges are cut at approximate quantiles; at most `most` numbers reach the driver. Equal ids share a range.
+    """
+    ids = df.select("doc_id")
+    buckets = max(1, min(most, ids.count() // rows_per_bucket))
+    found = ids.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10000)).first()[0] if buckets > 1 else None
+    splits = sorted(set(found or []))
+    if not splits:
+        return F.when(F.col("doc_id").isNull(), 1).otherwise(0), 2
+    cuts = F.array(*[F.lit(s) for s in splits])
+    inside = F.size(F.filter(cuts, lambda s: s < F.col("doc_id")))
+    return F.when(F.col("doc_id").isNull(), len(splits) + 1).otherwise(inside), len(splits) + 2

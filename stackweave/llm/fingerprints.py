@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stackweave.llm.common import row_hash
+from stackweave.llm.common import id_buckets, row_hash
 
 LANES, STEP = 3, 20
 _ONES = sum(1 << STEP * i for i in range(LANES))
@@ -75,18 +75,11 @@ def with_next(docs: DataFrame, columns: list[str], rows_per_bucket: int = 2000)
     Ids are cut into buckets at approximate quantiles, MAX_BUCKETS at most. Each bucket also gets a copy of the first
     document of the bucket after it, so one window per bucket finds every next document and no task holds all rows.
     """
-    ids = docs.select("doc_id", "row")
-    count = ids.count()
-    buckets = max(1, min(MAX_BUCKETS, count // rows_per_bucket))
-    splits = []
-    if buckets > 1:
-        splits = sorted(set(ids.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10000)).first()[0] or []))
-    cuts = F.array(*[F.lit(s) for s in splits]) if splits else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(cuts, lambda s: s < F.col("doc_id")))) if splits else F.when(F.col("doc_id").isNull(), -1).otherwise(0)
-    placed = docs.withColumn("bucket", bucket.cast("int"))
+    bucket, _ = id_buckets(docs, rows_per_bucket, MAX_BUCKETS)
+    placed = docs.withColumn("bucket", bucket)
     heads = placed.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id"), "row")).alias("head"))
     heads = heads.select("bucket", "head.*").collect()  # one row of numbers per bucket
-    heads.sort(key=lambda h: -h["bucket"])
+    heads.sort(key=lambda h: (h["doc_id"] is not None, h["bucket"]), reverse=True)
     kind = docs.schema["doc_id"].dataType.simpleString()
     ghosts = [(heads[(i + 1) % len(heads)]["doc_id"], heads[(i + 1) % len(heads)]["row"], h["bucket"]) for i, h in enumerate(heads)]
     ghosts = docs.sparkSession.createDataFrame(ghosts, f"g_doc {kind}, g_row long, bucket int")
