@@ -31,7 +31,7 @@ from stackweave.llm.common import id_buckets, pieces, row_hash, stored
 from stackweave.llm.tokens import Encoder
 
 U = np.uint64
-SCALE, LANES, CHECK, BLOCK = 20, 512, 1 << 16, 1 << 17
+SCALE, LANES, CHECK, BLOCK = 20, 2048, 1 << 17, 1 << 18
 _LOW = U(1 << 31)
 _WORD = U(0xFFFFFFFF)
 
