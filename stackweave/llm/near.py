@@ -11,10 +11,11 @@ few; here the prefix is extended where it reaches frequent tokens, and those are
 
 Documents with one set are one node (joined before the shuffle, any number of copies costs nothing). The smaller set
 of a pair looks up a shorter prefix (index role) than the larger (probe role); combinations are kept apart by size
-band, which also decides the number of subclasses. Each list of sets that share a signature is first linked
-to a leader (smallest set first, a new leader where sizes leave its reach). Verified links make provisional
-components; after that every remaining pair of a list that spans two components is formed and verified. Pairs inside a
-component cannot change the result, so a group of near copies costs one pair for each member, not one for each pair.
+band, which also decides the number of subclasses. A short list of sets that share a signature gives all its pairs
+that lengths, roles and positions allow. A long list is first linked to leaders (smallest set first, a new leader where
+sizes leave its reach). Verified links make provisional components; after that every remaining pair of a long list
+that spans two components is formed and verified. Pairs inside a component cannot change the result, and a parity bitmap of each set bounds what a pair can share, so a
+large group of near copies costs a bounded number of pairs for each member, not one for each pair.
 
 The frequency table is a sum, over all documents, of repeats that tasks see; at most `frequent` tokens of highest count
 are kept. It decides only the order of tokens, never which links are found.
@@ -39,6 +40,8 @@ from stackweave.llm.components import components
 U = np.uint64
 PAIR_FROM, TRIPLE_FROM = 64, 4096  # repeats from which tokens are indexed as pairs, as triples
 _FLUSH = 4 << 20
+BROADCAST_ROWS = 500_000
+LEADER_ROUNDS = 2
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -65,17 +68,22 @@ def set_id(tokens: np.ndarray) -> int:
     return int(W.mix(total + np.array([len(tokens)], U) * U(0x9FB21C651E98DF25)).view(np.int64)[0])
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """1024 bits, each the parity of the tokens that fall on it: two sets differ in as many tokens as bits at least."""
+    return np.packbits((np.bincount((tokens >> U(54)).astype(np.int64), minlength=1024) & 1).astype(bool)).view(np.int64)
+
+
 def document_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, row, n_shingles, set): one row per document row."""
+    """(doc_id, row, n_shingles, set, bits): one row per document row."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
             sets = shingle_sets(texts, size)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())],
-                                             ["doc_id", "row", "n_shingles", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
+                                              pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "row", "n_shingles", "set", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", row_hash(F.col("text")).alias("row")).mapInArrow(find, f"doc_id {kind}, row long, n_shingles long, set long")
+    return docs.select("doc_id", "text", row_hash(F.col("text")).alias("row")).mapInArrow(find, f"doc_id {kind}, row long, n_shingles long, set long, bits array<long>")
 
 
 def repeated_tokens(docs: DataFrame, size: int) -> DataFrame:
@@ -213,61 +221,120 @@ def signatures(docs: DataFrame, size: int, signer) -> DataFrame:
     return docs.select("text").mapInArrow(find, "sig long, set long, n int, pos int, role byte")
 
 
-def shared_lists(signed: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Rows of signatures that several sets have, each with the leader it is to be compared with (or null).
+def candidates(signed: DataFrame, threshold: tuple[int, int], longest: int = 64) -> DataFrame:
+    """Pairs, and rows of long lists: (sig, set, n, pos, role, leader).
 
-    Rows are sorted by signature inside their partition and streamed, so a list of any length needs no memory.
+    A signature's list of at most `longest` sets gives its pairs at once (sig null, the pair in set and leader). A longer
+    list keeps its rows, each with the leader that it is to be compared with first (or null). Rows come sorted by
+    signature and are streamed, so a list of any length takes no more memory than `longest` rows.
     """
     a, b = threshold
+    names = ("sig", "set", "n", "pos", "role")
+
+    def fits(n, p, role, m, q, other):
+        """Whether two sets may be similar: roles, lengths and positions (the first set is not the larger one)."""
+        return ((other > 1) & (role != 2) & (b * n >= a * m) & ((p < 0) | (q < 0) | (np.minimum(n - p, m - q) * (a + b) >= a * (n + m)))
+                | (n == m) & (role > 1) & (other != 2) & ((p < 0) | (q < 0) | (np.minimum(n - p, m - q) * (a + b) >= a * (n + m))))
+
+    def pairs(sig, node, n, pos, role):
+        found = []
+        for step in range(1, longest):
+            at = np.flatnonzero(sig[step:] == sig[:-step]) if step < len(sig) else np.zeros(0, np.int64)
+            if not len(at):
+                break
+            to = at + step
+            good = (node[at] != node[to]) & fits(n[at], pos[at], role[at], n[to], pos[to], role[to])
+            found.append((node[at[good]], node[to[good]]))
+        return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = leader = None  # the last row, not yet known to be shared; (sig, n, set, pos)
+        held, long, leader = None, None, None  # rows of a list that may go on; the signature of a long list; its leader
+
+        def rows(columns, mask) -> tuple[list[np.ndarray], np.ndarray]:
+            nonlocal leader
+            kept = [c[mask] for c in columns]
+            leaders = np.zeros(len(kept[0]), np.int64)
+            for i, (s, x, size, p) in enumerate(zip(*(c.tolist() for c in kept[:4]))):
+                if leader is None or leader[0] != s or leader[2] * b < a * size:
+                    leader = (s, x, size, p)
+                elif x != leader[1] and (p < 0 or leader[3] < 0 or min(size - p, leader[2] - leader[3]) * (a + b) >= a * (size + leader[2])):
+                    leaders[i] = leader[1]
+            return kept, leaders
+
+        def out(columns, done: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, long
+            sig = columns[0]
+            starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            lengths = np.diff(np.append(starts, len(sig)))
+            lasting = lengths > longest
+            lasting[0] |= long is not None and sig[0] == long
+            stop = len(sig)
+            if not done:
+                long = sig[-1] if lasting[-1] else None
+                stop = len(sig) if lasting[-1] else int(starts[-1])
+                held = None if lasting[-1] else [c[stop:] for c in columns]
+            mask = np.repeat(lasting, lengths)
+            kept, leaders = rows(columns, mask)
+            if len(leaders):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, kept), pa.array(leaders, mask=leaders == 0)], [*names, "leader"])
+            mask = ~mask & np.repeat(lengths > 1, lengths)
+            mask[stop:] = False
+            x, y = pairs(*(c[mask] for c in columns))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(x), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.int8()), pa.array(y)],
+                                                 [*names, "leader"])
+
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "n", "set", "pos", "role")]
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             if held is not None:
-                columns = [np.concatenate(([h], c)) for h, c in zip(held, columns)]
-            sig, n, node, pos, role = columns
-            same = np.zeros(len(sig) + 1, bool)
-            same[1:-1] = (sig[1:] == sig[:-1]) & (node[1:] != node[:-1])
-            shared = same[:-1] | same[1:]
-            before = leader is not None and len(sig) and leader[0] == sig[0]
-            shared[:1] |= bool(before)
-            keep = np.flatnonzero(shared)
-            leaders = np.zeros(len(keep), np.int64)
-            for i, k in enumerate(keep.tolist()):
-                s, size, x, p = int(sig[k]), int(n[k]), int(node[k]), int(pos[k])
-                if leader is None or leader[0] != s or leader[1] * b < a * size:
-                    leader = (s, size, x, p)
-                elif x != leader[2]:
-                    need = -(-a * (size + leader[1]) // (a + b))
-                    if p < 0 or leader[3] < 0 or min(size - p, leader[1] - leader[3]) >= need:
-                        leaders[i] = leader[2]
-            held = None
-            if len(sig) and not shared[-1]:
-                held = [c[-1] for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep]), pa.array(n[keep]), pa.array(pos[keep]), pa.array(role[keep]),
-                                              pa.array(leaders, mask=leaders == 0)], ["sig", "set", "n", "pos", "role", "leader"])
+                columns = [np.concatenate(pair) for pair in zip(held, columns)]
+            if len(columns[0]):
+                yield from out(columns, False)
+        if held is not None and len(held[0]):
+            yield from out(held, True)
 
     ordered = signed.repartition("sig").sortWithinPartitions("sig", "n", "set")
     return ordered.mapInArrow(run, "sig long, set long, n int, pos int, role byte, leader long")
 
 
-def token_table(docs: DataFrame, sets: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(set, tokens): the token arrays of the wanted sets, each from one of its documents."""
-    chosen = sets.join(wanted, "set").groupBy("set").agg(F.min_by("doc_id", F.struct("doc_id", "row")).alias("doc_id"), F.min(F.struct("doc_id", "row"))["row"].alias("row"))
+def _room(a: int, b: int) -> str:
+    """SQL: whether the parity bits of two sets leave room for the threshold."""
+    return (f"(x_n + y_n - aggregate(zip_with(x_bits, y_bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)) * {a + b} >= {2 * a} * (x_n + y_n)")
+
+
+def token_table(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """(set, tokens): the token arrays of the chosen sets, each from its first document (d, r)."""
+    count, copies = chosen.agg(F.count(F.lit(1)), F.max("copies")).first()
+    few = count <= BROADCAST_ROWS  # 24 bytes each; beyond that the texts are shuffled
+    place = chosen.select("set", "d", "r")
     texts = docs.select("doc_id", "text", row_hash(F.col("text")).alias("row"))
-    named = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["doc_id"]) & (texts["row"] == chosen["row"])).select("set", "text")
+    named = texts.join(F.broadcast(place) if few else place, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("set", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], ["set", "tokens"])
 
-    return stored(named.mapInArrow(find, "set long, tokens binary").dropDuplicates(["set"]))
+    found = named.mapInArrow(find, "set long, tokens binary")
+    return stored(found.dropDuplicates(["set"]) if (copies or 0) > 1 else found)
+
 
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets meet the threshold, as a stored table.
 
-def verified(pairs: DataFrame, tokens: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets meet the threshold, as a stored table."""
+    Pairs that the parity bits rule out go first; token arrays are fetched for the others only.
+    """
     a, b = threshold
+    pairs = stored(pairs)
+    named = sets.join(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "set")
+    chosen = stored(named.groupBy("set", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n")).groupBy("set").agg(
+        F.min_by(F.struct(F.col("doc_id").alias("d"), F.col("row").alias("r"), "copies", "bits", "n"), F.struct("doc_id", "row")).alias("one")).select("set", "one.*"))
+
+    def side(name: str, prefix: str) -> DataFrame:
+        return chosen.select(F.col("set").alias(name), *[F.col(c).alias(f"{prefix}_{c}") for c in ("bits", "n")])
+
+    pairs = stored(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(_room(a, b)).select("a", "b"))
+    left_over = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    tokens = token_table(docs, stored(chosen.join(left_over, "set", "left_semi")), size)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,25 +359,112 @@ def near_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     sets = stored(document_sets(docs, size))
     table = context.broadcast(frequency_table(docs, size, frequent))
     signed = signatures(docs, size, lambda: Signer(*table.value, threshold, pair_from, triple_from))
-    lists = stored(shared_lists(signed, threshold))
-    tokens = token_table(docs, sets, lists.select("set").distinct(), size)
-    stars = lists.filter("leader IS NOT NULL").select(F.col("leader").alias("a"), F.col("set").alias("b")).distinct()
-    links = verified(stars, tokens, threshold)
-    for _ in range(2):  # provisional components, then those of all links
-        roots = stored(components(links))
-        if _:
-            break
-        marked = lists.join(roots, lists["set"] == roots["node"], "left").select("sig", "set", "n", "pos", "role", F.coalesce("root", "set").alias("root"))
+    found = stored(candidates(signed, threshold))
+    first = found.filter("leader IS NOT NULL").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
+    links = verified(first, docs, sets, size, threshold)
+    roots = stored(components(links))
+    lists = found.filter("sig IS NOT NULL").select("sig", "set", "n", "pos", "role").distinct()
+    wanted = sets.join(lists.select("set").distinct(), "set").dropDuplicates(["set"]).select("set", "bits")
+    lists = stored(lists.join(wanted, "set"))
+    a, b = threshold
+    fits = (f"x_root != y_root AND least(x_n, y_n) * {b} >= {a} * greatest(x_n, y_n) AND "
+            f"(x_pos < 0 OR y_pos < 0 OR least(x_n - x_pos, y_n - y_pos) * {a + b} >= {a} * (x_n + y_n)) AND {_room(a, b)}")
+    ordered = signed.repartition("sig").sortWithinPartitions("sig", "n", "set")
+    return ordered.mapInArrow(run, "sig long, set long, n int, pos int, role byte, leader long")
+
+
+def _room(a: int, b: int) -> str:
+    """SQL: whether the parity bits of two sets leave room for the threshold."""
+    return (f"(x_n + y_n - aggregate(zip_with(x_bits, y_bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)) * {a + b} >= {2 * a} * (x_n + y_n)")
+
+
+def token_table(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """(set, tokens): the token arrays of the chosen sets, each from its first document (d, r)."""
+    count, copies = chosen.agg(F.count(F.lit(1)), F.max("copies")).first()
+    few = count <= BROADCAST_ROWS  # 24 bytes each; beyond that the texts are shuffled
+    place = chosen.select("set", "d", "r")
+    texts = docs.select("doc_id", "text", row_hash(F.col("text")).alias("row"))
+    named = texts.join(F.broadcast(place) if few else place, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("set", "text")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], ["set", "tokens"])
+
+    found = named.mapInArrow(find, "set long, tokens binary")
+    return stored(found.dropDuplicates(["set"]) if (copies or 0) > 1 else found)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets meet the threshold, as a stored table.
+
+    Pairs that the parity bits rule out go first; token arrays are fetched for the others only.
+    """
+    a, b = threshold
+    pairs = stored(pairs)
+    named = sets.join(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "set")
+    chosen = stored(named.groupBy("set", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n")).groupBy("set").agg(
+        F.min_by(F.struct(F.col("doc_id").alias("d"), F.col("row").alias("r"), "copies", "bits", "n"), F.struct("doc_id", "row")).alias("one")).select("set", "one.*"))
+
+    def side(name: str, prefix: str) -> DataFrame:
+        return chosen.select(F.col("set").alias(name), *[F.col(c).alias(f"{prefix}_{c}") for c in ("bits", "n")])
+
+    pairs = stored(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(_room(a, b)).select("a", "b"))
+    left_over = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    tokens = token_table(docs, stored(chosen.join(left_over, "set", "left_semi")), size)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("ta"), batch.column("tb")):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                joined = np.sort(np.concatenate((x, y)), kind="stable")
+                both = int((joined[1:] == joined[:-1]).sum())
+                good.append(b * both >= a * (len(joined) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left = tokens.select(F.col("set").alias("a"), F.col("tokens").alias("ta"))
+    right = tokens.select(F.col("set").alias("b"), F.col("tokens").alias("tb"))
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"))
+
+
+def near_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (3, 4), frequent: int = 1 << 20,
+                    pair_from: int = PAIR_FROM, triple_from: int = TRIPLE_FROM) -> DataFrame:
+    """(doc_id, row, n_shingles, set, component_id) of every document row; `threshold` is a fraction, 3/4 for 0.75."""
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    context = docs.sparkSession.sparkContext
+    sets = stored(document_sets(docs, size))
+    table = context.broadcast(frequency_table(docs, size, frequent))
+    signed = signatures(docs, size, lambda: Signer(*table.value, threshold, pair_from, triple_from))
+    found = stored(candidates(signed, threshold))
+    first = found.filter("leader IS NOT NULL").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
+    links = verified(first, docs, sets, size, threshold)
+    roots = stored(components(links))
+    lists = found.filter("sig IS NOT NULL").select("sig", "set", "n", "pos", "role").distinct()
+    wanted = sets.join(lists.select("set").distinct(), "set").dropDuplicates(["set"]).select("set", "bits")
+    lists = stored(lists.join(wanted, "set"))
+    a, b = threshold
+    fits = (f"x_root != y_root AND least(x_n, y_n) * {b} >= {a} * greatest(x_n, y_n) AND "
+            f"(x_pos < 0 OR y_pos < 0 OR least(x_n - x_pos, y_n - y_pos) * {a + b} >= {a} * (x_n + y_n)) AND "
+            f"(x_n + y_n - aggregate(zip_with(x_bits, y_bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)) * {a + b} >= {2 * a} * (x_n + y_n)")
+    ordered = "(x_n > y_n OR x_n = y_n AND x_set > y_set)"
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("sig", *[F.col(c).alias(f"{name}_{c}") for c in ("set", "n", "pos", "root", "bits")])
+
+    for turn in range(LEADER_ROUNDS + 1):
+        marked = lists.join(roots, lists["set"] == roots["node"], "left").select("sig", "set", "n", "pos", "role", "bits", F.coalesce("root", "set").alias("root"))
         split = marked.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("sig")
-        marked = stored(marked.join(split, "sig"))
-        x = marked.filter("role > 1").select("sig", *[F.col(c).alias("x_" + c) for c in ("set", "n", "pos", "root")])
-        y = marked.filter("role != 2").select("sig", *[F.col(c).alias("y_" + c) for c in ("set", "n", "pos", "root")])
-        a, b = threshold
-        remaining = x.join(y, "sig").filter(
-            f"x_root != y_root AND {b} * y_n >= {a} * x_n AND (x_n > y_n OR x_n = y_n AND x_set > y_set) AND "
-            f"(x_pos < 0 OR y_pos < 0 OR least(x_n - x_pos, y_n - y_pos) * {a + b} >= {a} * (x_n + y_n))")
-        remaining = remaining.select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b")).distinct()
-        links = links.unionByName(verified(remaining, tokens, threshold))
+        lists = stored(marked.join(split, "sig"))
+        if lists.isEmpty():
+            break
+        if turn < LEADER_ROUNDS:  # a few leaders for the whole corpus: few different pairs for each member
+            chosen = lists.groupBy("sig").agg(F.min_by(F.struct("set", "n", "pos", "root", "bits"), F.xxhash64("set", F.pmod("sig", F.lit(8)), F.lit(turn))).alias("y"))
+            pairs = side(lists, "x").join(chosen.select("sig", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("set", "n", "pos", "root", "bits")]), "sig").filter(fits)
+        else:  # whatever still spans two components
+            pairs = side(lists.filter("role > 1"), "x").join(side(lists.filter("role != 2"), "y"), "sig").filter(f"{fits} AND {ordered}")
+        new = verified(pairs.select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b")).distinct(), docs, sets, size, threshold)
+        roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)))
+        lists = lists.drop("root")
     named = sets.join(roots, sets["set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set"))
     smallest = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least_doc"))
     return named.join(smallest, "root", "left").select("doc_id", "row", "n_shingles", "set", F.when(F.col("n_shingles") > 0, F.col("least_doc")).otherwise(F.col("doc_id")).alias("component_id"))
