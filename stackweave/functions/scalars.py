@@ -18,8 +18,8 @@ def is_empty(text: ColumnLike) -> Column:
 
 
 def utf8_or_null(value: ColumnLike) -> Column:
-    """Bytes (or text) to text; empty becomes null."""
-    return F.nullif(F.decode(_col(value).cast("binary"), "UTF-8"), F.lit(""))
+    """Bytes (or text) to text; bytes that are not UTF-8 become replacement characters, empty becomes null."""
+    return F.nullif(F.make_valid_utf8(_col(value).cast("string")), F.lit(""))
 
 
 def unsigned_hex(value: ColumnLike) -> Column:

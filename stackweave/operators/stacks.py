@@ -146,8 +146,8 @@ def fold_branches(branches: DataFrame, locations: DataFrame, losses: DataFrame,
                   chunk_rows: int = scans.CHUNK_ROWS, fan: int = CHUNK_FAN) -> DataFrame:
     """Raw fold output: per (tid, chunk) a counter row (n = 0) and the frames (n = 1..).
 
-    Threads that fit one chunk are folded in a single grouped pass. Longer threads are first
-    summarised chunk by chunk, so no task ever holds more than one chunk of rows.
+    Threads of several chunks are first summarised chunk by chunk, so no task ever holds more than one
+    chunk of rows; threads that fit one chunk have nothing to summarise. All take the same path.
     """
     positioned = thread_positions(branches, chunk_rows)
     rows = classify_branches(positioned, locations).select(
@@ -156,14 +156,9 @@ def fold_branches(branches: DataFrame, locations: DataFrame, losses: DataFrame,
     loss_rows = losses_by_chunk(positioned, losses).select(
         "tid", "chunk", "lastChunk", F.lit(_LOSS).alias("tag"),
         *[_fill(name) for name in ("ord", *ROW_FIELDS)], _no_state())
-    merged = rows.unionByName(loss_rows)
+    merged = durable(rows.unionByName(loss_rows))  # read twice: by the summaries of long threads and by the fold
 
     whole_group = ["tid", "chunk", "lastChunk"]
-    longest = (branches.groupBy("tid", "pid").agg(F.max("id").alias("rows"))
-               .groupBy("tid").agg(F.sum("rows").alias("rows")).agg(F.max("rows")).first()[0] or 0)
-    if longest < chunk_rows:
-        return _spread(merged, whole_group).groupBy(*whole_group).applyInArrow(_fold, _RAW_SCHEMA)
-
     summaries = (_spread(merged.filter("lastChunk > 0"), whole_group).groupBy(*whole_group)
                  .applyInArrow(_summarise, _SUMMARY_SCHEMA))
     state_rows = _chunk_states(summaries, fan).select("tid", "chunk", "lastChunk", F.lit(_STATE).alias("tag"),

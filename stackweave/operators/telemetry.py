@@ -102,8 +102,8 @@ def rate_from_counter(rows: DataFrame, key: str, observed: str, counter: str, ou
 def overall_rate(snapshots: DataFrame, observed: str = "observed") -> DataFrame:
     """Events over the time between first and last observation with events."""
     seen = snapshots.filter("totalEvents > 0").agg(
-        F.max_by("totalEvents", observed).alias("events"), F.min(observed).alias("first"),
-        F.max(observed).alias("last"), F.max_by("currentRate", observed).alias("current"))
+        F.max_by("totalEvents", F.struct(observed, "totalEvents")).alias("events"), F.min(observed).alias("first"),
+        F.max(observed).alias("last"), F.max_by("currentRate", F.struct(observed, "totalEvents", "currentRate")).alias("current"))
     seconds = (_micros(F.col("last")) - _micros(F.col("first"))) / F.lit(1e6)
     return seen.select("events", F.when(seconds > 0, F.bround(F.col("events") / seconds))
                        .otherwise(F.col("current").cast("long")).cast("long").alias("overallRate"))
@@ -131,8 +131,8 @@ def file_status(files: DataFrame, observed: str = "observed") -> DataFrame:
     """Last status, counts and rate per file; a closed file has rate 0 and a closing time."""
     rated = rate_from_counter(files, "file", observed, "flushed")
     last = rated.groupBy("file").agg(
-        F.max_by(F.struct("status", "buffered", "flushed"), observed).alias("s"),
-        F.max_by("rate", F.when(F.col("rate").isNotNull(), F.col(observed))).alias("lastRate"),
+        F.max_by(F.struct("status", "buffered", "flushed"), F.struct(observed, "flushed", "buffered", "status")).alias("s"),
+        F.max_by("rate", F.when(F.col("rate").isNotNull(), F.struct(observed, "flushed", "rate"))).alias("lastRate"),
         F.max(F.when(F.col("status") == "CLOSED", F.col(observed))).alias("closedAt"),
         F.max(observed).alias("lastActivity"))
     return last.select("file", "s.*", F.when(F.col("s.status") == "CLOSED", F.lit(0))

@@ -496,6 +496,7 @@ SELECT frameId, CAST(sum(CASE WHEN before IS NULL OR startKey >= before THEN 1 E
   SELECT *, max(endKey) OVER (PARTITION BY tid, kind ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM numbered)""", "numbered")
     # stateful
     o["reconstruct_stacks"] = sql(f"SELECT {_FRAME} FROM rawframes", "rawframes")
+    o["reconstruct_stacks_split"] = o["reconstruct_stacks"]
     o["fold_order"] = sql("SELECT seq, tid, rn AS position FROM ordered", "ordered")
     o["switch_kind"] = _reasons("startReason = 1")
     o["push_call"] = _reasons("startReason = 0")

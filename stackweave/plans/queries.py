@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from stackweave import schemas as S
 from stackweave.functions import scalars as X
 from stackweave.operators import (branches as B, depths, export as E, locations as L, quality as Q,
-                                  sampled as P, samples as R, scans, telemetry as M)
+                                  sampled as P, samples as R, scans, stacks, telemetry as M)
 from stackweave.plans import derive as D
 from stackweave.plans.trace import trace
 from stackweave.session import durable, shared_folder
@@ -552,6 +552,13 @@ def reconstruct_stacks(spark, d):
     return frame_rows(trace(spark, d).reconstruction.raw_frames())
 
 
+@query
+def reconstruct_stacks_split(spark, d):
+    """The same frames with chunks of 16 rows, so that every thread is split and its states are combined."""
+    known = trace(spark, d)
+    return frame_rows(stacks.reconstruct(known.branches, known.locations, known.losses, chunk_rows=16, fan=2).raw_frames())
+
+
 @query
 def normalize_depths(spark, d):
     return frame_rows(depths.normalize_depths(trace(spark, d).reconstruction.raw_frames()))

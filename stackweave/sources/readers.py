@@ -21,7 +21,7 @@ def _typed(df: DataFrame, schema: T.StructType, keep_empty: tuple[str, ...] = ()
         if field.name not in df.columns:
             value = F.lit(None)
         elif isinstance(field.dataType, T.StringType):
-            value = (F.decode(F.col(field.name).cast("binary"), "UTF-8") if field.name in keep_empty
+            value = (F.make_valid_utf8(F.col(field.name).cast("string")) if field.name in keep_empty
                      else X.utf8_or_null(field.name))
         else:
             value = F.col(field.name)
@@ -74,14 +74,17 @@ def read_events(spark: SparkSession, root: str, component: str = "*") -> DataFra
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        if component == "*":
-            # Not recursive: dimension files next to the threads must stay out.
-            df = spark.read.parquet(f"{root}/pid=*/tid=*/*.parquet")
-        else:
+        try:
+            # Threads at the root: directories become partition columns, so filters on pid and tid prune files.
+            df = spark.read.option("basePath", root).parquet(f"{root}/pid=*/tid=*/{component}.parquet")
+            pid, tid = F.col("pid").cast("string").try_cast("long"), F.col("tid").cast("string").try_cast("long")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND" or component == "*":
+                raise
             df = (spark.read.option("recursiveFileLookup", "true")
                   .option("pathGlobFilter", f"{component}.parquet").parquet(root))
-        path = F.col("_metadata.file_path")
-        pid, tid = X.partition_value(path, "pid"), X.partition_value(path, "tid")
+            path = F.col("_metadata.file_path")
+            pid, tid = X.partition_value(path, "pid"), X.partition_value(path, "tid")
         stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.parquet$", 1)
     columns = [c for c in _typed(df, S.TRACE_SAMPLE)]
     by_name = dict(zip(S.TRACE_SAMPLE.names, columns))
@@ -164,9 +167,13 @@ def parse_source_line(text: Column) -> Column:
 
 
 def read_line_table(lines: DataFrame) -> DataFrame:
-    """Symboliser answers (dso, address, value) to (dso, address, file, line)."""
-    return (lines.withColumn("s", parse_source_line(F.col("value"))).filter("s is not null")
-            .select("dso", "address", "s.file", "s.line"))
+    """Symboliser answers (dso, address, value) to (dso, address, file, line), the first answer per address.
+
+    Answers are ordered by a column `line` where there is one, else by their text.
+    """
+    order = F.struct("line" if "line" in lines.columns else "value", F.col("value").alias("text"))
+    known = lines.withColumn("s", parse_source_line(F.col("value"))).filter("s is not null")
+    return known.groupBy("dso", "address").agg(F.min_by("s", order).alias("s")).select("dso", "address", "s.file", "s.line")
 
 
 def sampled_stack_records(spark: SparkSession, path: str) -> DataFrame:
