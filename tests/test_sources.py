@@ -119,3 +119,21 @@ def test_csv_quotes_only_where_needed(spark, tmp_path):
                                                 ("=x", ("=x", "=x")), ("a=", ("a=", "a="))])
 def test_variant_arguments(argument, expected):
     assert quality.parse_variant(argument) == expected
+
+
+def test_bad_bytes_and_repeated_answers(spark):
+    from stackweave.functions import scalars
+    from stackweave.sources import readers
+    text = spark.createDataFrame([(bytearray(b"fo\xff"),), (bytearray(b""),)], "name binary").select(scalars.utf8_or_null("name").alias("t")).collect()
+    assert [r.t for r in text] == ["fo�", None]
+    lines = spark.createDataFrame([("d", 5, "b.c:9", 2), ("d", 5, "a.c:7", 1), ("d", 6, "??:0", 3)], "dso string, address long, value string, line long")
+    assert [tuple(r) for r in readers.read_line_table(lines).collect()] == [("d", 5, "a.c", 7)]
+
+
+def test_native_layout_prunes_threads(spark, tmp_path):
+    from stackweave.sources import readers
+    for tid in (5, 6):
+        spark.range(3).selectExpr("id").write.parquet(f"{tmp_path}/pid=1/tid={tid}/branches.parquet")
+    found = readers.read_branches(spark, str(tmp_path)).filter("tid = 5")
+    assert found.count() == 3
+    assert "tid" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [", 1)[1].split("]", 1)[0]
