@@ -139,7 +139,7 @@ def raw_blocks(docs: DataFrame, path: str, end: int, rows_per_file: int, max_fil
             held, size, block, start = [ids[n:]], size - n, block + 1, start + n
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, types)], names)
 
-        for batch, texts in pieces(batches, size=3 << 19):
+        for batch, texts in pieces(batches, size=1 << 19):
             ids, counts = encoder.encode(texts)
             bounds = np.concatenate(([0], np.cumsum(counts)))
             files, keys = batch.column("file").to_pylist(), batch.column("doc_id").to_pylist()
