@@ -31,7 +31,7 @@ from stackweave.llm.common import id_buckets, pieces, row_hash, stored
 from stackweave.llm.tokens import Encoder
 
 U = np.uint64
-SCALE, LANES, CHECK, BLOCK = 20, 2048, 1 << 17, 1 << 18
+SCALE, LANES, CHECK, BLOCK = 20, 1024, 1 << 16, 1 << 17
 _LOW = U(1 << 31)
 _WORD = U(0xFFFFFFFF)
 
@@ -110,7 +110,10 @@ def _kind(docs: DataFrame) -> tuple[str, pa.DataType]:
 
 
 def raw_blocks(docs: DataFrame, path: str, end: int, rows_per_file: int, max_files: int) -> DataFrame:
-    """(file, block, start in the file, n_ids, docs, lengths, skipped, open, ids): the ids of every range, in order."""
+    """(file, block, start in the file, n_ids, docs, lengths, skipped, open, ids): the ids of every range, in order.
+
+    An id takes two bytes where the vocabulary allows, else four. Rows stay small (256 KB, or 512): large ones fill the heap.
+    """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     number, files = id_buckets(docs, rows_per_file, max_files)
     kind, arrow = _kind(docs)
@@ -122,6 +125,7 @@ def raw_blocks(docs: DataFrame, path: str, end: int, rows_per_file: int, max_fil
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
+        width = "<u2" if max(encoder.tokenizer.get_vocab(True).values(), default=0) < 1 << 16 and end < 1 << 16 else "<u4"
         file, block, start, skipped = None, 0, 0, 0
         held, docs_held, lengths, size = [], [], [], 0  # of the block that is being filled
 
@@ -132,7 +136,7 @@ def raw_blocks(docs: DataFrame, path: str, end: int, rows_per_file: int, max_fil
             ends = np.cumsum(lengths)
             last = int(np.searchsorted(ends, n))
             inside = lengths[:last] + [n - int(ends[last] - lengths[last])]
-            out = [file, block, start, n, docs_held[:last + 1], inside, skipped, going or int(ends[last]) > n, ids[:n].astype("<u4").tobytes()]
+            out = [file, block, start, n, docs_held[:last + 1], inside, skipped, going or int(ends[last]) > n, ids[:n].astype(width).tobytes()]
             rest = int(ends[last]) - n
             skipped = (skipped if last == 0 else 0) + inside[-1] if rest else 0
             docs_held, lengths = (docs_held[last:], [rest, *lengths[last + 1:]]) if rest else (docs_held[last + 1:], lengths[last + 1:])
@@ -160,21 +164,27 @@ def raw_blocks(docs: DataFrame, path: str, end: int, rows_per_file: int, max_fil
     return ordered.mapInArrow(cut, f"file int, block int, start long, n_ids int, docs array<{kind}>, lengths array<int>, skipped long, open boolean, ids binary")
 
 
+def raw_ids(ids: pa.BinaryScalar, count: int) -> np.ndarray:
+    """The `count` ids of a raw block, two or four bytes each."""
+    body = ids.as_buffer()
+    return np.frombuffer(body, f"<u{body.size // count}")
+
+
 def frequencies(blocks: DataFrame) -> np.ndarray:
     """Frequency of each id, counted over all blocks; a task sends one row per id it meets."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+            for ids, n in zip(batch.column("ids"), batch.column("n_ids").to_pylist()):
+                found = np.bincount(raw_ids(ids, n))
                 if len(found) > len(total):
                     total = np.concatenate((total, np.zeros(len(found) - len(total), np.int64)))
                 total[:len(found)] += found
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["symbol", "count"])
 
-    rows = blocks.select("ids").mapInArrow(count, "symbol int, count long").groupBy("symbol").agg(F.sum("count").alias("count")).toArrow()
+    rows = blocks.select("ids", "n_ids").mapInArrow(count, "symbol int, count long").groupBy("symbol").agg(F.sum("count").alias("count")).toArrow()
     symbols = rows["symbol"].to_numpy()
     counts = np.zeros(int(symbols.max()) + 1 if len(symbols) else 1, np.int64)
     counts[symbols] = rows["count"].to_numpy()
@@ -199,11 +209,11 @@ def write_token_files(docs: DataFrame, path: str, end: int = 0, rows_per_file: i
         for batch in batches:
             for i in range(len(batch)):
                 one = batch.slice(i, 1)
-                body = one.column("ids")[0].as_buffer()
-                states, payload, marks = coder.encode(np.frombuffer(body, "<u4"))
+                ids = raw_ids(one.column("ids")[0], one.column("n_ids")[0].as_py()).astype("<u4")
+                states, payload, marks = coder.encode(ids)
                 start = one.column("start")[0].as_py() + offsets[one.column("file")[0].as_py()]
                 columns = [pa.array([start], pa.int64()) if c == "start" else one.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([states]), pa.array([payload]), pa.array([marks]), pa.array([zlib.crc32(body)], pa.int64())],
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([states]), pa.array([payload]), pa.array([marks]), pa.array([zlib.crc32(ids.tobytes())], pa.int64())],
                                                  [*names, "states", "payload", "checkpoints", "crc"])
 
     kind, _ = _kind(docs)
