@@ -19,7 +19,7 @@ from stackweave.llm import words as W
 
 LETTER, NUMBER, OTHER, SPACE, BEYOND = range(5)
 _TABLE = 0x2070  # code points that are cut here; 1 to 3 bytes
-_MEMO = 250_000
+_MEMO = 500_000
 _ENDINGS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")  # fixed values: endings cut with their apostrophe
 
 
