@@ -4,8 +4,18 @@ Bootstrapping: base matches are seed instances. Every seed and every other ident
 more, outside base matches) is an instance with lexical patterns: the word before, the two words before, the word
 after. Instances and patterns form a bipartite graph over all documents. Spark scores it in rounds: a pattern's
 confidence is the summed score of its distinct instances over their number plus one (patterns of fewer than
-`support` distinct seeds count nothing); an instance's score is one minus the product of what its patterns leave in
-doubt. Tokens that reach `accept` are new spans of kind `id`.
+`support` distinct known instances count nothing); an instance's score is one minus the product of what its patterns
+leave in doubt. Instances that reach `accept` are new spans of kind `id`, and known from the next round on.
+
+Values of any form are taken from slots. For them a pattern's confidence is stricter: the scores of its known instances
+over the number of all distinct tokens in its places, identifier-like or not. In the places of patterns that reach
+`trust` so, a slot is the run of tokens from an opening to a closing pattern in one clause (no token before the last
+ends in punctuation or a line, none after the first is opened itself); with one side marked, the neighbouring tokens
+with digits; else one token. Such values are spans in their slots only, as a short value means something else
+elsewhere. Both kinds are scored until a round accepts no new value and moves no score by 0.001.
+
+Patterns with `support` known instances are collected to the driver and sent to the tasks. A task holds their distinct
+tokens only while these are few enough for `trust`, so at most in proportion to the known instances.
 
 Offsets are code points, ends exclusive. Null texts are empty: no spans. Repeated rows, and rows with null ids, get
 the result of their text. Joins go by document and text hash; hot patterns are reduced by grouped sums before a join.
@@ -15,10 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stackweave.llm.common import pieces, row_hash, stored
 
@@ -29,6 +40,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a match can start at the
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
+_ANY = re.compile(r"\S+")
 _EDGE = " \t\n\r.,;:!?|()[]{}<>\"'"
 _BEFORE, _AFTER = re.compile(r"(\S+)\s+(\S+)\s*$|(\S+)\s*$"), re.compile(r"\s*(\S+)")
 _REACH = 200  # code points of context beside an instance in which its neighbouring words are looked for
@@ -95,7 +107,7 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, bo
         token = m.group()
         value = token.strip(_EDGE)
         start = m.start() + len(token) - len(token.lstrip(_EDGE))
-        if len(value) <= 64 and sum("0" <= c <= "9" for c in value) >= 5 and not any(a < start + len(value) and start < b for a, b in taken):
+        if sum("0" <= c <= "9" for c in value) >= 5 and not any(a < start + len(value) and start < b for a, b in taken):
             out.append((value, False, start, start + len(value), _patterns(text, start, start + len(value))))
     return out
 
@@ -103,6 +115,9 @@ def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, bo
 _FOUND = pa.list_(pa.struct([("value", pa.string()), ("seed", pa.bool_()), ("start", pa.int64()), ("stop", pa.int64()), ("patterns", pa.list_(pa.string()))]))
 
 
+_SLOTS = pa.list_(pa.struct([("value", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("patterns", pa.list_(pa.string()))]))
+
+
 def extract(docs: DataFrame) -> DataFrame:
     """(doc_id, row, base, found) of every document row."""
 
@@ -121,32 +136,187 @@ def extract(docs: DataFrame) -> DataFrame:
         find, f"doc_id {kind}, row long, base array<string>, found array<struct<value:string,seed:boolean,start:bigint,stop:bigint,patterns:array<string>>>")
 
 
-def discover(found: DataFrame, rounds: int = 3, support: int = 3, trust: float = 0.5, accept: float = 0.75) -> DataFrame:
-    """(value, score) of the identifiers that trusted patterns find; `found` has value, seed, patterns.
+def _marks(low: list[str], i: int) -> tuple[list[str], list[str]]:
+    """Patterns that open and that close at token i of the lower-cased, stripped tokens of a text."""
+    opens = []
+    if i and (last := low[i - 1]):
+        opens.append(f"before {last}")
+        if i > 1:
+            opens.append(f"before {low[i - 2]} {last}")
+    return opens, [f"after {low[i + 1]}"] if i + 1 < len(low) and low[i + 1] else []
+
+
+def slots(text: str, trusted: set[str]) -> list[tuple[str, int, int, list[str]]]:
+    """(value, start, end, patterns) of the slots that `trusted` patterns mark outside base matches."""
+    low = [w.strip(_EDGE) for w in text.lower().split()]
+    marks = [tuple(any(p in trusted for p in side) for side in _marks(low, i)) for i in range(len(low))]
+    if not any(a or b for a, b in marks):
+        return []
+    tokens, spans = [], []
+    for m in _ANY.finditer(text):
+        left = len(m.group()) - len(m.group().lstrip(_EDGE))
+        tokens.append((m.start() + left, max(m.start() + left, m.start() + len(m.group().rstrip(_EDGE))), m.end()))
+    taken = [(a, b) for _, a, b in base_spans(text)]
+    ends = [i + 1 == len(tokens) or tokens[i][1] < tokens[i][2] or "\n" in text[tokens[i][2]:tokens[i + 1][0]] or "\r" in text[tokens[i][2]:tokens[i + 1][0]] for i in range(len(tokens))]
+    digits = [any("0" <= c <= "9" for c in text[a:b]) for a, b, _ in tokens]
+    closed = set()
+    for i, (opening, _) in enumerate(marks):
+        if opening:
+            j = i
+            while not marks[j][1] and not ends[j] and not marks[j + 1][0]:
+                j += 1
+            if marks[j][1]:
+                closed.add(j)
+            else:
+                j = i
+                while digits[j] and not ends[j] and digits[j + 1]:
+                    j += 1
+            spans.append((i, j))
+    for j, (_, closing) in enumerate(marks):
+        if closing and j not in closed:
+            i = j
+            while digits[i] and i and not ends[i - 1] and digits[i - 1]:
+                i -= 1
+            spans.append((i, j))
+    out = []
+    for i, j in sorted(set(spans)):
+        a, b = tokens[i][0], tokens[j][1]
+        if a < b and not any(x < b and a < y for x, y in taken):
+            out.append((text[a:b], a, b, _patterns(text, a, b)))
+    return out
+
+
+def _strict(docs: DataFrame, edges: DataFrame, known: DataFrame, support: int, trust: float) -> dict[str, float]:
+    """Confidence of patterns that reach `trust` among all tokens in their places, whatever these look like."""
+    mine = edges.join(known, "value")
+    counts = mine.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total")).filter(F.col("n") >= support)
+    table = {r["pattern"]: (r["n"], r["total"]) for r in counts.collect()}
+    if not table:
+        return {}
+    context = docs.sparkSession.sparkContext
+    limits = context.broadcast({p: n + int(n / trust) for p, (n, _) in table.items()})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, dead = dict(limits.value), []
+        held: dict[str, set[str]] = {}
+        last = Counter(p.rsplit(" ", 1)[1] for p in open_ if p.startswith("before "))
+        next_ = {p[6:] for p in open_ if p.startswith("after ")}
+
+        def meet(pattern: str, value: str) -> None:
+            if pattern in open_ and (value := value.strip(_EDGE)):
+                seen = held.setdefault(pattern, set())
+                seen.add(value)
+                if len(seen) > open_[pattern]:
+                    dead.append(pattern)
+                    del open_[pattern], held[pattern]
+                    word = pattern.rsplit(" ", 1)[1]
+                    if pattern.startswith("after "):
+                        next_.discard(word)
+                    elif last[word] == 1:
+                        del last[word]
+                    else:
+                        last[word] -= 1
+
+        for _, texts in pieces(batches):
+            for text in texts.to_pylist():
+                values, low = text.split(), [w.strip(_EDGE) for w in text.lower().split()]
+                for i, word in enumerate(low):
+                    if word in last and i + 1 < len(low):
+                        meet(f"before {word}", values[i + 1])
+                        if i:
+                            meet(f"before {low[i - 1]} {word}", values[i + 1])
+                    if i and word in next_:
+                        meet(f"after {word}", values[i - 1])
+        pairs = [(p, v) for p, vs in held.items() for v in vs] + [(p, None) for p in dead]
+        for k in range(0, len(pairs), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*pairs[k:k + 10_000])], ["pattern", "token"])
+
+    tokens = stored(docs.select("text").mapInArrow(count, "pattern string, token string").distinct())
+    words = F.split(F.col("value"), r"\s+")
+    edge = mine.select("pattern", F.when(F.col("pattern").startswith("before "), F.element_at(words, 1)).otherwise(F.element_at(words, -1)).alias("token"))
+    edge = edge.select("pattern", F.btrim("token", F.lit(_EDGE)).alias("token")).distinct()
+    other = tokens.join(edge, ["pattern", "token"], "left_anti").groupBy("pattern").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("token").isNull()).alias("dead"))
+    others = {r["pattern"]: (r["n"], r["dead"]) for r in other.collect()}
+    limits.destroy()
+    out = {}
+    for p, (n, total) in table.items():
+        more, dead = others.get(p, (0, False))
+        if not dead and (share := total / (n + more + 1)) >= trust:
+            out[p] = share
+    return out
+
+
+def discover(found: DataFrame, docs: DataFrame, rounds: int | None = None, support: int = 3, trust: float = 0.5, accept: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """((value, score) of accepted identifier-like tokens, (doc_id, row, start, stop) of accepted slots).
 
-    Patterns need `support` distinct seeds and a confidence of `trust` to speak for an instance.
+    `found` has value, seed, patterns; `docs` has doc_id, text, row. Patterns need `support` distinct known instances and
+    a confidence of `trust` to speak for an instance. `rounds` ends the rounds early.
     """
-    edges = stored(found.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("value", "pattern").agg(F.max("seed").alias("seed")))
-    seeds = edges.groupBy("value").agg(F.max("seed").alias("known"))
-    scores = stored(seeds.select("value", F.col("known").cast("double").alias("score")))
-    for _ in range(rounds):
-        confidence = edges.join(scores, "value").groupBy("pattern").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds")
-        ).filter((F.col("seeds") >= support) & (F.col("confidence") >= trust))
-        scores = stored(edges.join(confidence, "pattern").groupBy("value").agg(
-            F.max("seed").alias("known"), (1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("doubt")
-        ).select("value", F.when(F.col("known"), 1.0).otherwise(F.col("doubt")).alias("score")).unionByName(
-            seeds.filter("known").select("value", F.lit(1.0).alias("score"))).groupBy("value").agg(F.max("score").alias("score")))
-    return scores.filter(F.col("score") >= accept).join(seeds.filter("NOT known"), "value", "left_semi")
+    spark = docs.sparkSession
+
+    def doubt():
+        return (1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score")
+
+    def extract_slots(trusted: dict[str, float]) -> DataFrame:
+        patterns = spark.sparkContext.broadcast(set(trusted))
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in pieces(batches):
+                found = [[dict(zip(("value", "start", "stop", "patterns"), x)) for x in slots(text, patterns.value)] for text in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(found, _SLOTS)], ["doc_id", "row", "found"])
+
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        return stored(docs.select("doc_id", "text", "row").mapInArrow(find, f"doc_id {kind}, row long, found array<struct<value:string,start:bigint,stop:bigint,patterns:array<string>>>").select(
+            "doc_id", "row", F.inline("found")))
+
+    base = stored(found.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("value", "pattern").agg(F.max("seed").alias("seed")))
+    tokens = stored(found.groupBy("value").agg(F.max("seed").alias("seed")))
+    nothing = spark.createDataFrame([], "value string, score double")
+    scores = known = stored(tokens.filter("seed").select("value", F.lit(1.0).alias("score")))
+    edges, size, done, marked, accepted_slots = base.select("value", "pattern"), known.count(), 0, None, nothing
+    while rounds is None or done < rounds:
+        done += 1
+        support_of = edges.join(known.select("value", F.lit(1).alias("known")), "value", "left").join(scores, "value", "left").groupBy("pattern").agg(
+            (F.sum(F.coalesce("score", F.lit(0.0))) / (F.count(F.lit(1)) + 1)).alias("confidence"), F.count("known").alias("support"))
+        confidence = support_of.filter((F.col("support") >= support) & (F.col("confidence") >= trust)).select("pattern", "confidence")
+        soft = base.join(confidence, "pattern").groupBy("value").agg(doubt())
+        before = scores
+        scores = stored(soft.unionByName(known).groupBy("value").agg(F.max("score").alias("score")))
+        moved = scores.withColumnRenamed("score", "now").join(before, "value", "left").agg(F.max(F.col("now") - F.coalesce("score", F.lit(0.0)))).first()[0] or 0.0
+        grown = stored(scores.filter(F.col("score") >= accept))
+        total = grown.count()
+        if total == size and moved < 0.001 or rounds is not None and done == rounds:
+            strict = _strict(docs, edges, grown, support, trust)
+            if strict:
+                marked = extract_slots(strict)
+                table = spark.createDataFrame(list(strict.items()), "pattern string, confidence double")
+                spans = marked.select("value", F.explode("patterns").alias("pattern")).distinct()
+                accepted_slots = stored(spans.join(table, "pattern").groupBy("value").agg(doubt()).filter(F.col("score") >= accept).unionByName(accepted_slots).groupBy("value").agg(F.max("score").alias("score")))
+                edges = stored(edges.unionByName(spans.join(accepted_slots, "value", "left_semi")).distinct())
+                grown = stored(grown.unionByName(accepted_slots).groupBy("value").agg(F.max("score").alias("score")))
+                total = grown.count()
+            if total == size:
+                known = grown
+                break
+            scores = stored(scores.unionByName(grown).groupBy("value").agg(F.max("score").alias("score")))
+        known, size = grown, total
+    ids = known.join(tokens.filter("NOT seed"), "value", "left_semi")
+    if marked is None:
+        return ids, docs.select("doc_id", "row", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop")).limit(0)
+    return ids, marked.join(accepted_slots, "value", "left_semi").select("doc_id", "row", "start", "stop")
 
 
 def find_personal(docs: DataFrame, **options) -> DataFrame:
     """One row per document row: doc_id, row, base and spans as lists of kind:start:end."""
-    table = stored(extract(docs.select("doc_id", F.col("text").cast("string").alias("text"))))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    table = stored(extract(docs))
     found = table.select("doc_id", "row", F.inline("found"))
-    new = discover(found, **options)
-    more = found.filter("NOT seed").join(new, "value").groupBy("doc_id", "row").agg(
-        F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("more")).withColumnsRenamed({"doc_id": "d", "row": "r"})
+    new, places = discover(found, docs.withColumn("row", row_hash(F.col("text"))), **options)
+    spans = found.filter("NOT seed").join(new, "value", "left_semi").select("doc_id", "row", "start", "stop").unionByName(places).distinct()
+    earlier = Window.partitionBy("doc_id", "row").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("reach", F.coalesce(F.max("stop").over(earlier), F.lit(-1))).filter("stop > reach")  # not inside another
+    more = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("more")).withColumnsRenamed({"doc_id": "d", "row": "r"})
     joined = table.drop("found").join(more, table["doc_id"].eqNullSafe(more["d"]) & (table["row"] == more["r"]), "left")
     ids = F.transform(F.coalesce("more", F.array().cast("array<struct<start:bigint,stop:bigint>>")), lambda s: F.concat_ws(":", F.lit("id"), s["start"], s["stop"]))
     return joined.select("doc_id", "row", "base", F.concat("base", ids).alias("spans"))

@@ -149,3 +149,14 @@ def test_discovery(table):
     assert got[9].spans == "" and got[10].spans == "" and got[0].spans.startswith("email:9:")
     masked = {r.doc_id: r.text for r in personal.mask_personal(table(texts)).collect()}
     assert masked[8] == "my login ******** is mine" and masked[10] is None
+
+
+def test_discovery_of_any_form(table):
+    key = "k" + "7" * 80
+    texts = [f"my login a{i}@b.example is mine" for i in range(8)] + [
+        "my login DE89 3704 0044 is mine", "my login bluebird is mine", "my login AB1234 is mine", f"my login {key} is mine", "the bluebird sang", None]
+    # only the discovered ids above and below stand after "account"; base matches never do
+    texts += [f"my login {n}00000 is mine" for n in (11, 12, 13, 14)] + [f"own account {n}00000 closed" for n in (11, 12, 13, 14)] + ["own account 9988776 closed"]
+    got = {r.doc_id: r.spans for r in personal.personal_report(table(texts)).collect()}
+    assert [got[i] for i in (8, 9, 10, 11)] == ["id:9:23", "id:9:17", "id:9:15", f"id:9:{9 + len(key)}"]
+    assert got[12] == got[13] == "" and got[18] == "id:12:19"
