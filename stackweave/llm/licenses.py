@@ -1,12 +1,16 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, its set the distinct words of the line after lower-casing A-Z. A template matches a
-block that holds at least `threshold` of the template's words. Words of templates are counted over all documents
-and ordered by that frequency, rarest first, with the same order on both sides:
+A block is a window of consecutive words of a text after lower-casing A-Z, wherever its lines break. Windows of one
+template are as long as the template plus the words a match may lack, and start at every word. A template matches a
+window that holds at least `threshold` of its distinct words. Words of templates are counted over all documents and
+ordered by that frequency, rarest first, with the same order on both sides:
 
 * prefix: a match must hold one of the first |T| - ceil(threshold |T|) + 1 template words, so only those are looked up;
-* length: a block of fewer than ceil(threshold |T|) distinct words cannot match;
-* position: after the first common word, what is left of the template and of the block's template words must suffice.
+* length: a text of fewer than ceil(threshold |T|) words cannot match;
+* position: so many template words must stand within a window's length of the word looked up.
+
+The SQL takes lines for blocks. Both agree where a notice stands on a line of its own, as in the given tables; the SQL
+misses notices that are wrapped, and finds templates whose words are scattered over a long line.
 
 Survivors are verified on the words. The templates are a parameter of fixed size, so the join needs no shuffle:
 one job counts words, one scans. Besides, base phrases are found wherever their words stand consecutively.
@@ -17,6 +21,7 @@ Null texts are empty: no words, no labels, score 0. Repeated rows and null ids g
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,7 +109,9 @@ class _Index:
         self.lookup = _Lookup(self.vocabulary)
         rank = {w: i for i, w in enumerate(self.vocabulary)}
         self.templates = [(label, sorted({rank[w] for w in text.split()})) for label, text in templates]
+        self.sets = [set(t) for _, t in self.templates]
         self.need = [-(-percent * len(t) // 100) for _, t in self.templates]
+        self.length = [len(text.split()) + len(t) - n for (_, text), (_, t), n in zip(templates, self.templates, self.need)]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for k, (_, ranks) in enumerate(self.templates):
             for position, r in enumerate(ranks[:len(ranks) - self.need[k] + 1]):
@@ -112,27 +119,43 @@ class _Index:
         self.starts = np.zeros(len(self.vocabulary), bool)
         self.starts[list(self.prefix)] = True
 
-    def match(self, ranks: list[int], size: int) -> dict[int, float]:
-        """Template number to containment for a block with these template words (sorted) and `size` distinct words."""
-        seen, found, held = set(), {}, set(ranks)
-        for at, r in enumerate(ranks):
-            for k, position in self.prefix.get(r, ()):
-                template = self.templates[k][1]
-                if k in seen or size < self.need[k] or min(len(ranks) - at, len(template) - position) < self.need[k]:
-                    seen.add(k)
+    def match(self, at: list[int], ranks: list[int], size: int) -> list[tuple[int, int, int, float]]:
+        """(template, first word, end, containment) of matching windows of a text of `size` words that holds these template
+        words at these places, ascending; of windows that overlap, the first with most words."""
+        found: dict[int, list[tuple[int, int, float]]] = {}
+        for here, r in zip(at, ranks):
+            for k, _ in self.prefix.get(r, ()):
+                template, need, length = self.sets[k], self.need[k], self.length[k]
+                low, high = bisect_left(at, here - length + 1), bisect_right(at, here + length - 1)
+                if size < need or high - low < need:
                     continue
-                seen.add(k)
-                both = sum(t in held for t in template)
-                if both >= self.need[k]:
-                    found[k] = both / len(template)
-        return found
+                held: dict[int, int] = {}
+                first, best = low, (0, 0, 0)
+                for last in range(low, high):
+                    if ranks[last] in template:
+                        held[ranks[last]] = held.get(ranks[last], 0) + 1
+                    while at[last] - at[first] >= length:
+                        if (gone := ranks[first]) in template:
+                            held[gone] -= 1
+                            if not held[gone]:
+                                del held[gone]
+                        first += 1
+                    if len(held) > best[0]:
+                        best = (len(held), at[first], at[last] + 1)
+                if best[0] >= need:
+                    mine, window = found.setdefault(k, []), (best[1], best[2], best[0] / len(template))
+                    if mine and window[0] < mine[-1][1]:
+                        mine[-1] = max(mine[-1], window, key=lambda w: w[2])
+                    else:
+                        mine.append(window)
+        return [(k, *w) for k in sorted(found) for w in found[k]]
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, percent: int = 80) -> DataFrame:
     """One row per document row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
     `percent` is the containment threshold. `score` is 1 with a base phrase, else the largest containment.
-    `matches` lists every matching block: template, first word, number of words, containment.
+    `matches` lists every matching window: template, first word, number of words, containment.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = template_word_counts(docs, sorted({w for _, text in templates for w in text.split()}))
@@ -153,19 +176,11 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                     if a + len(plain) <= words.first[row + 1] and all(words.text(a + i, True) == p for i, p in enumerate(plain)):
                         base[row].append((a - int(words.first[row]), label))
             places, known = index.lookup.find(words.hashes)
-            breaks = np.flatnonzero(words.data == 10)
-            line = np.searchsorted(breaks, words.starts[places])
             row = np.searchsorted(words.first, places, "right") - 1
-            block = line.astype(np.int64) + row * (len(breaks) + 1)
-            for b in np.unique(block[index.starts[known]]).tolist():
-                mine = slice(*np.searchsorted(block, [b, b + 1]))
-                r, l = int(row[mine][0]), int(line[mine][0])
-                low = max(int(breaks[l - 1]) if l else 0, int(words.offsets[r]))
-                high = min(int(breaks[l]) if l < len(breaks) else len(words.data), int(words.offsets[r + 1]))
-                first, last = np.searchsorted(words.starts, [low, high])
-                size = len(np.unique(words.hashes[first:last]))
-                for k, share in index.match(sorted(set(known[mine].tolist())), size).items():
-                    matches[r].append({"label": index.templates[k][0], "first_word": int(first - words.first[r]), "n_words": int(last - first), "containment": share})
+            for r in np.unique(row[index.starts[known]]).tolist():
+                mine = slice(*np.searchsorted(row, [r, r + 1]))
+                for k, first, end, share in index.match((places[mine] - words.first[r]).tolist(), known[mine].tolist(), int(words.first[r + 1] - words.first[r])):
+                    matches[r].append({"label": index.templates[k][0], "first_word": first, "n_words": end - first, "containment": share})
             found_base = [sorted({label for _, label in b}) for b in base]
             labels = [",".join(sorted({*f, *(m["label"] for m in ms)})) for f, ms in zip(found_base, matches)]
             starts = [[p for p, _ in b] for b in base]

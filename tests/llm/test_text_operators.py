@@ -160,3 +160,12 @@ def test_discovery_of_any_form(table):
     got = {r.doc_id: r.spans for r in personal.personal_report(table(texts)).collect()}
     assert [got[i] for i in (8, 9, 10, 11)] == ["id:9:23", "id:9:17", "id:9:15", f"id:9:{9 + len(key)}"]
     assert got[12] == got[13] == "" and got[18] == "id:12:19"
+
+
+def test_wrapped_licenses(table):
+    notice = ("Copyright 2020 X\n\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\n"
+              "documentation files (the Software), to deal in it.\n")
+    scattered = " ".join(w + " x" * 40 for w in "released under the bsd license".split())
+    got = {r.doc_id: r for r in licenses.scan_licenses(table([notice, scattered, "Released under\nthe BSD\n license"])).collect()}
+    assert got[0].labels == "mit" and got[0].score == 1 and [(m.first_word, m.n_words) for m in got[0].matches] == [(3, 20)]
+    assert got[1].labels == "" and got[2].labels == "bsd,mit"  # four of the five words of the MIT sentence too
