@@ -6,7 +6,8 @@ each source gets is a multinomial draw, conditioned on the sources' totals so th
 target: the shards form a binary tree, and at each node the slots of the left half are drawn without replacement from
 those of the node, with a seed of the node's own. A shard finds its counts and its first slot per source by walking
 from the root, so no shard waits for another and reruns agree. Slot k of a source takes block perm(k mod B) of its B
-blocks, a keyed Feistel permutation of the index: each pass over a source takes every block once.
+blocks, a keyed Feistel permutation of the index: each pass over a source takes every block once. The last slot of a
+source takes only the words of its block that are still due, so a source is taken to its target, rounded to a word.
 
 Targets: sources ordered by code point (null last) weigh 5, 2, 1, repeating; the sum of all sizes is shared by weight;
 a source stops at `repeat` times its size and the excess is shared again. No document is taken more often than that.
@@ -50,14 +51,26 @@ def targets(sizes: np.ndarray, weights: np.ndarray, repeat: float) -> np.ndarray
 def permute(index: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray:
     """A keyed permutation of 0 .. count-1 for each index: a Feistel network on the least even number of bits, walked
     until the value is in range."""
+    return _feistel(index, count, key, False)
+
+
+def unpermute(index: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The inverse of `permute`: the place at which each value stands."""
+    return _feistel(index, count, key, True)
+
+
+def _feistel(index: np.ndarray, count: np.ndarray, key: np.ndarray, inverse: bool) -> np.ndarray:
     half = (np.ceil(np.log2(np.maximum(count, 2))).astype(np.uint64) + W.U(1)) // W.U(2)
     mask = (W.U(1) << half) - W.U(1)
     out, todo = index.astype(np.uint64), np.arange(len(index))
     while len(todo):
         h, m, k = half[todo], mask[todo], key[todo]
         left, right = out[todo] >> h, out[todo] & m
-        for step in range(4):
-            left, right = right, left ^ (W.mix(right + W.U(step << 56) + k) & m)
+        for step in range(3, -1, -1) if inverse else range(4):
+            if inverse:
+                left, right = right ^ (W.mix(left + W.U(step << 56) + k) & m), left
+            else:
+                left, right = right, left ^ (W.mix(right + W.U(step << 56) + k) & m)
         out[todo] = (left << h) | right
         todo = todo[out[todo] >= count[todo].astype(np.uint64)]
     return out.astype(np.int64)
@@ -127,12 +140,23 @@ def placed(sized: DataFrame) -> DataFrame:
 
 
 def filled_slots(spark, sources: pd.DataFrame, block: int, shard: int, seed: int) -> DataFrame:
-    """(shard, slot, number, pass, block): the block of source `number` that fills each slot of the output."""
+    """(shard, slot, number, turn, block, take): the block of source `number` that fills each slot of the output, and how
+    many of its words are taken, from its first."""
     sizes, wanted = sources["size"].to_numpy(np.int64), sources["target"].to_numpy()
     blocks = -(-sizes // block)
     full = np.where(sizes > 0, np.floor(wanted / np.maximum(sizes, 1) + 1e-9), 0).astype(np.int64)
-    rest = np.rint((wanted - full * sizes) / block).astype(np.int64)
-    totals = np.where(sizes > 0, full * blocks + np.clip(rest, 0, blocks), 0)
+    rest = np.clip(np.rint(wanted).astype(np.int64) - full * sizes, 0, sizes)
+    lacks = blocks * block - sizes  # words by which a source's last block is short
+
+    def keys(number: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        return W.mix(number.astype(np.uint64) * W.U(0x9E3779B97F4A7C15) + turn.astype(np.uint64) + W.U(seed << 32))
+
+    short = np.zeros(len(sizes), np.int64)  # where the short block stands in the last pass
+    some = np.flatnonzero(sizes > 0)
+    short[some] = unpermute(blocks[some] - 1, blocks[some], keys(some, full[some]))
+    last = -(-rest // block)
+    last += last * block - lacks * (short < last) < rest
+    totals = full * blocks + last
     shards = max(1, int(-(-totals.sum() // shard)))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,12 +167,13 @@ def filled_slots(spark, sources: pd.DataFrame, block: int, shard: int, seed: int
                 k = np.arange(len(number)) - np.repeat(np.cumsum(held) - held, held) + before[number]
                 count = blocks[number]
                 turn = k // count
-                key = W.mix(number.astype(np.uint64) * W.U(0x9E3779B97F4A7C15) + turn.astype(np.uint64) + W.U(seed << 32))
+                due = rest[number] - (k % count * block - lacks[number] * (short[number] < k % count))
                 yield pd.DataFrame({"shard": s, "slot": np.random.Generator(np.random.PCG64([seed, 1, int(s)])).permutation(len(number)), "number": number.astype(np.int32),
-                                    "turn": turn.astype(np.int32), "block": permute(k % count, count, key)})
+                                    "turn": turn.astype(np.int32), "block": permute(k % count, count, keys(number, turn)),
+                                    "take": np.where(turn < full[number], block, np.minimum(due, block))})
 
     tasks = max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, shards, 1, tasks).mapInPandas(fill, "shard long, slot long, number int, turn int, block long")
+    return spark.range(0, shards, 1, tasks).mapInPandas(fill, "shard long, slot long, number int, turn int, block long, take long")
 
 
 def mix(docs: DataFrame, block: int = 128, shard: int = 1024, seed: int = 20240229, weights: tuple[float, ...] = WEIGHTS, repeat: int = 3) -> tuple[DataFrame, pd.DataFrame, DataFrame]:
@@ -165,7 +190,8 @@ def mix(docs: DataFrame, block: int = 128, shard: int = 1024, seed: int = 202402
     spread = streams.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))).withColumns({
         "first_word": F.greatest(F.col("block") * block - F.col("start"), F.lit(0)), "last_word": F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))})
     slots = filled_slots(spark, sources, block, shard, seed)
-    return sized, sources, slots.join(spread.drop("start", "size"), ["number", "block"]).drop("number", "block")
+    taken = slots.join(spread.drop("size"), ["number", "block"]).withColumn("last_word", F.least("last_word", F.col("block") * block + F.col("take") - F.col("start")))
+    return sized, sources, taken.filter("last_word > first_word").drop("number", "block", "take", "start")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:

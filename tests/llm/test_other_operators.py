@@ -120,3 +120,16 @@ def test_token_files(spark, monkeypatch):
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
     wanted = sorted((i is None, i or 0, zlib.crc32(np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], "<u4").tobytes())) for i, t in texts)
     assert sorted((r.doc_id is None, r.doc_id or 0, r.ids_crc32) for r in got) == wanted
+
+
+def test_mix_of_sources_smaller_than_a_block(spark):
+    n, count, key = np.arange(100), np.full(100, 100), np.full(100, 9, np.uint64)
+    assert (mixing.unpermute(mixing.permute(n, count, key), count, key) == n).all()
+    rows = [(i, "w " * (50 if i < 300 else 150 + i % 7), f"s{i % 320}") for i in range(330)]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = {}, {}
+    for r in got:
+        source = rows[r.doc_id][2]
+        taken[source], target[source] = taken.get(source, 0) + r.taken, r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= 0.51 for s in taken) and min(taken.values()) > 0
