@@ -353,7 +353,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, thre
 
 def near_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (3, 4), frequent: int = 1 << 20,
                     pair_from: int = PAIR_FROM, triple_from: int = TRIPLE_FROM) -> DataFrame:
-    """(doc_id, row, n_shingles, set, component_id) of every document row; `threshold` is a fraction, 3/4 for 0.75."""
+    """(doc_id, row, n_shingles, set, root, component_id) of every document row; rows of one root are one component; `threshold` is a fraction, 3/4 for 0.75."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     context = docs.sparkSession.sparkContext
     sets = stored(document_sets(docs, size))
@@ -429,7 +429,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, thre
 
 def near_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (3, 4), frequent: int = 1 << 20,
                     pair_from: int = PAIR_FROM, triple_from: int = TRIPLE_FROM) -> DataFrame:
-    """(doc_id, row, n_shingles, set, component_id) of every document row; `threshold` is a fraction, 3/4 for 0.75."""
+    """(doc_id, row, n_shingles, set, root, component_id) of every document row; rows of one root are one component; `threshold` is a fraction, 3/4 for 0.75."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     context = docs.sparkSession.sparkContext
     sets = stored(document_sets(docs, size))
@@ -467,7 +467,7 @@ def near_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
         lists = lists.drop("root")
     named = sets.join(roots, sets["set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set"))
     smallest = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least_doc"))
-    return named.join(smallest, "root", "left").select("doc_id", "row", "n_shingles", "set", F.when(F.col("n_shingles") > 0, F.col("least_doc")).otherwise(F.col("doc_id")).alias("component_id"))
+    return named.join(smallest, "root", "left").select("doc_id", "row", "n_shingles", "set", "root", F.when(F.col("n_shingles") > 0, F.col("least_doc")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def near_report(docs: DataFrame, **options) -> DataFrame:
@@ -476,11 +476,12 @@ def near_report(docs: DataFrame, **options) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each component: that of the smallest id (of repeated rows, the one of least text hash).
+    """`docs` with one document of each component: that of the smallest id (of repeated ids, the one of least text hash).
 
-    Documents with an empty set and documents without an id stay.
+    Documents with an empty set stay, and so do documents without an id, which stand for no component.
     """
-    kept = near_components(docs, **options).filter("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.min("row").alias("__row"))
+    kept = near_components(docs, **options).filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("one")).select(
+        F.col("one.doc_id").alias("doc_id"), F.col("one.row").alias("__row"))
     empty = F.length(F.trim(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\t\n\x0b\x0c\r", "     "))) == 0
     marked = docs.withColumn("__row", row_hash(F.col("text").cast("string")))
     loose = marked.filter(empty | F.col("doc_id").isNull()).drop("__row")

@@ -169,3 +169,9 @@ def test_wrapped_licenses(table):
     got = {r.doc_id: r for r in licenses.scan_licenses(table([notice, scattered, "Released under\nthe BSD\n license"])).collect()}
     assert got[0].labels == "mit" and got[0].score == 1 and [(m.first_word, m.n_words) for m in got[0].matches] == [(3, 20)]
     assert got[1].labels == "" and got[2].labels == "bsd,mit"  # four of the five words of the MIT sentence too
+
+
+def test_keep_one_of_each_with_repeated_ids(table):
+    one, two, three = ("one two three four five six", "alpha beta gamma delta epsilon zeta", "red green blue black white grey")
+    kept = near.keep_one_of_each(table([one, two, one, two, three, one, None], ids=[5, 5, 9, 8, 5, 5, 7])).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(5, one), (5, two), (5, three), (7, "")])
