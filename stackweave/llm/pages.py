@@ -6,9 +6,11 @@ A host's pages are told apart by their main content, so thousands of copies of o
 few: a subtree must be on a set share of the pages, so at most (subtrees of a page / share) of them exist.
 
 The text is what remains of the article (article, else main, else body) without elements that say what they are:
-navigation, page headers and footers, asides, forms, notices, adverts, comments, scripts and styles. Paragraphs, headings,
-list items and other text blocks of an article are never taken for templates, however often they recur, since articles
-are copied between pages; where a page has no article, any recurring subtree goes.
+navigation, page headers and footers, asides, forms, notices, adverts, comments, scripts and styles. Articles are copied
+between pages, so a paragraph, quotation or other running text of an article counts once per distinct pair of neighbours
+rather than per page: copies and near copies do not add up, a notice amid different texts does. Headings, list items, table
+cells, terms and definitions of an article are never taken for templates, as one short label ("Yes", "Summary") means
+something else on every page; where a page has no article, any recurring subtree goes.
 
 Character references are decoded, white space (ASCII) becomes one space, blocks are joined by one space. A null html is
 empty, so is the text of a page without content. A null url is a host of its own. Repeated rows and null ids are kept.
@@ -35,6 +37,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
                    "hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br option caption".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption caption".split())
+LABELS = TEXT_BLOCKS - {"p", "blockquote", "pre", "figcaption", "caption"}
 CLOSES_P = BLOCKS - {"br", "body", "html", "li", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "option", "caption"} | {"p"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCES = frozenset("ul ol dl table article section div body main".split())
@@ -155,19 +158,29 @@ def content_roots(root: Node) -> list[Node]:
     return found["article"] or found["main"][:1] or found["body"][:1] or [root]
 
 
-def candidates(root: Node) -> list[int]:
-    """Hashes of the subtrees that may be a template: elements with text, but no text blocks of an article or main."""
+def _around(node: Node) -> dict[int, int]:
+    """For each child element by id, a hash of its nearest neighbours with text."""
+    shown = [(id(c), str(c.hash)) if isinstance(c, Node) else (None, _SPACE.sub(" ", c).strip()) for c in node.children]
+    shown = [(i, h) for i, h in shown if h not in ("", "0")]
+    sides = ["", *(h for _, h in shown), ""]
+    return {i: xxhash.xxh64_intdigest(f"{sides[k]}\0{sides[k + 2]}") - (1 << 63) for k, (i, _) in enumerate(shown) if i is not None}
+
+
+def candidates(root: Node) -> list[tuple[int, int | None]]:
+    """(hash, neighbours) of the subtrees that may be a template: elements with text. Only text blocks of an article or
+    main have neighbours; its labels and data (LABELS) are left out."""
     roots = content_roots(root)
     chosen = {id(r) for r in roots}
     safe = roots[0].tag in ("article", "main") or roots[0].role == "main"
-    out, todo = set(), [(root, False)]
+    out, todo = set(), [(root, False, 0)]
     while todo:
-        node, inside = todo.pop()
+        node, inside, around = todo.pop()
         inside = inside or (safe and id(node) in chosen)
-        if node.hash and id(node) not in chosen and node.tag in BLOCKS and not (inside and node.tag in TEXT_BLOCKS):
-            out.add(node.hash)
-        todo += [(c, inside) for c in node.children if isinstance(c, Node)]
-    return sorted(out)
+        if node.hash and id(node) not in chosen and node.tag in BLOCKS and not (inside and node.tag in LABELS):
+            out.add((node.hash, around if inside and node.tag in TEXT_BLOCKS else None))
+        beside = _around(node) if inside else {}
+        todo += [(c, inside, beside.get(id(c), 0)) for c in node.children if isinstance(c, Node)]
+    return sorted(out, key=lambda x: (x[0], x[1] is not None, x[1] or 0))
 
 
 def main_text(root: Node, templates: frozenset[int]) -> str:
@@ -184,7 +197,7 @@ def main_text(root: Node, templates: frozenset[int]) -> str:
             if node is not top:
                 if is_boilerplate(node, True):
                     continue
-                if node.hash in templates and node.tag in BLOCKS and not (safe and node.tag in TEXT_BLOCKS):
+                if node.hash in templates and node.tag in BLOCKS and not (safe and node.tag in LABELS):
                     continue
             if node.tag in BLOCKS:
                 parts.append(" ")
@@ -209,12 +222,15 @@ def site_templates(pages: DataFrame, share: float = 0.3, least: int = 5) -> Data
                 hash_subtrees(root)
                 contents.append(xxhash.xxh64_intdigest(main_text(root, frozenset())) - (1 << 63))
                 hashes.append(candidates(root))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(contents, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "content", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(contents, pa.int64()), 
+                                              pa.array([[{"hash": h, "around": a} for h, a in x] for x in hashes], pa.list_(pa.struct([("hash", pa.int64()), ("around", pa.int64())])))], ["host", "content", "hashes"])
 
-    found = stored(pages.select(page_host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(find, "host string, content long, hashes array<long>"))
+    found = stored(pages.select(page_host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(find, "host string, content long, hashes array<struct<hash:bigint,around:bigint>>"))
     different = found.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counted = found.select("host", "content", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return counted.join(different, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    seen = found.select("host", "content", F.inline("hashes")).distinct()
+    other = seen.select("host", "hash", F.coalesce("around", "content").alias("place"), F.col("around").isNull().alias("outside")).distinct()  # copied articles are one place
+    counted = other.groupBy("host", "hash", "outside").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return counted.join(different, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("hash").alias("templates"))
 
 
 def extract_pages(pages: DataFrame, share: float = 0.3, least: int = 5) -> DataFrame:

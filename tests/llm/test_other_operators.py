@@ -133,3 +133,12 @@ def test_mix_of_sources_smaller_than_a_block(spark):
         taken[source], target[source] = taken.get(source, 0) + r.taken, r.target
         assert r.taken <= 3 * r.size
     assert all(abs(taken[s] - target[s]) <= 0.51 for s in taken) and min(taken.values()) > 0
+
+
+def test_notice_in_articles(spark):
+    notice = "<p>Please read our terms</p>"
+    rows = [(i, f"http://h.example/{i}", f"<article><h2>Summary</h2><p>Page {i} begins</p>{notice}<p>Page {i} ends</p></article>") for i in range(8)]
+    rows += [(10 + i, f"http://c.example/{i}", f"<article><p>One</p><p>Copied text</p><p>Two</p><p>Edit {i}</p></article>") for i in range(8)]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(8)] == [f"Summary Page {i} begins Page {i} ends" for i in range(8)]
+    assert all(got[10 + i].startswith("One Copied text ") for i in range(8))
