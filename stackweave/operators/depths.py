@@ -2,9 +2,10 @@
 
 In start order, a frame closes every open frame that ended by its start and every one that ends
 before it does. What stays open is therefore a stack of non-increasing end points, and the
-smallest unused depth is its size. That makes the computation splittable: a range-partitioned
-chunk leaves behind the stack of its own frames, of which later chunks keep the entries that
-reach at least as far as they do.
+smallest unused depth is its size. That makes the computation splittable: a chunk of consecutive
+frames leaves behind the stack of its own frames, of which later chunks keep the entries that
+reach at least as far as they do. Joining two stacks that way is associative, so the stacks open
+before each chunk come from a two-level scan (`scans.entry_states`) over chunks of bounded rows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ def order_frames(frames: DataFrame) -> DataFrame:
     return frames.orderBy(*_KEYS, *frame_order())
 
 
+def number_frames(frames: DataFrame, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
+    """Add `position`: the frame's place in `order_frames`, without a sort of the whole table."""
+    return scans.track_numbers(frames, "startTime", frame_order(), "position", chunk_rows)
+
+
 def _open_frames(table: pa.Table, stack: list[tuple]) -> tuple[list[int], list[tuple]]:
     """Depths of the frames in order, given the (endTime, endTrace) stack open before them."""
     table = table.sort_by([("startTime", "ascending"), ("startTrace", "ascending"),
@@ -46,24 +52,17 @@ def _local_stack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     _, stack = _open_frames(table, [])
     flat = [v for end in stack for v in end]
     return pa.table({"tid": [key[0]], "kind": pa.array([key[1].as_py()], pa.int32()),
-                     "chunk": pa.array([key[2].as_py()], pa.int32()), "ends": pa.array([flat], _PAIRS)})
+                     "chunk": pa.array([key[2].as_py()], pa.int64()), "ends": pa.array([flat], _PAIRS)})
 
 
-def _entry_stacks(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    table = table.sort_by("chunk")
-    carried: list[tuple] = []
-    entries = []
-    for flat in table.column("ends").to_pylist():
-        entries.append([v for end in carried for v in end])
-        local = list(zip(flat[::2], flat[1::2]))
-        # The bottom entry of a local stack is the furthest end of its chunk.
-        carried = [end for end in carried if end >= local[0]] + local
-    return pa.table({"tid": table.column("tid"), "kind": table.column("kind"),
-                     "chunk": table.column("chunk"), "entry": pa.array(entries, _PAIRS)})
+def _join_stacks(below: list[int] | None, own: list[int]) -> list[int]:
+    """The stack left by two stretches of frames; an own stack's bottom entry is the furthest end of its stretch."""
+    kept = [v for t, n in zip((below or [])[::2], (below or [])[1::2]) if (t, n) >= (own[0], own[1]) for v in (t, n)]
+    return kept + own
 
 
 def _depths(key: tuple[pa.Scalar, ...], frames: pa.Table, entries: pa.Table) -> pa.Table:
-    flat = entries.column("entry")[0].as_py() if entries.num_rows else []
+    flat = (entries.column("entry")[0].as_py() if entries.num_rows else None) or []
     frames = frames.sort_by([("startTime", "ascending"), ("startTrace", "ascending"),
                              ("endTime", "descending"), ("endTrace", "descending"), ("frameId", "ascending")])
     depths, _ = _open_frames(frames, list(zip(flat[::2], flat[1::2])))
@@ -71,30 +70,29 @@ def _depths(key: tuple[pa.Scalar, ...], frames: pa.Table, entries: pa.Table) ->
     return frames.set_column(at, "depth", pa.array(depths, pa.int64())).drop_columns(["chunk"])
 
 
-def normalize_depths(frames: DataFrame) -> DataFrame:
-    """Replace `depth` by the nesting level."""
-    columns = frames.columns
-    cut = scans.range_chunks(frames, [*_KEYS, *frame_order()])
-    on = [*_KEYS, "chunk"]
-    spread = (cut.groupBy(*_KEYS).agg(F.min("chunk").alias("a"), F.max("chunk").alias("b"))
-              .filter("a < b").select(*_KEYS))
-    local = (cut.join(spread, _KEYS, "left_semi").groupBy(*on)
-             .applyInArrow(_local_stack, "tid long, kind int, chunk int, ends array<long>"))
-    entries = local.groupBy(*_KEYS).applyInArrow(
-        _entry_stacks, "tid long, kind int, chunk int, entry array<long>")
+def normalize_depths(frames: DataFrame, chunk_rows: int = scans.CHUNK_ROWS, fan: int = scans.FAN) -> DataFrame:
+    """Replace `depth` by the nesting level.
+
+    Frames of (tid, kind) are cut along their start into chunks of at most `chunk_rows`; only those of several chunks
+    are scanned for the stacks open in between. A chunk is one Arrow group.
+    """
+    columns, on = frames.columns, [*_KEYS, "chunk"]
+    cut = scans.time_chunks(frames, _KEYS, "startTime", chunk_rows)
+    local = (cut.filter("chunks > 1").groupBy(*on)
+             .applyInArrow(_local_stack, "tid long, kind int, chunk long, ends array<long>"))
+    entries = scans.entry_states(local, _KEYS, "ends", _join_stacks, fan)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema.fields)
     return (cut.select(*columns, "chunk").groupBy(*on).cogroup(entries.groupBy(*on))
             .applyInArrow(_depths, schema))
 
 
-def frame_islands(frames: DataFrame) -> DataFrame:
+def frame_islands(frames: DataFrame, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
     """Add `island`: number of the gap-free run of overlapping frames within (tid, kind)."""
     end = F.struct(F.col("endTime").alias("t"), F.col("endTrace").alias("n"))
     start = F.struct(F.col("startTime").alias("t"), F.col("startTrace").alias("n"))
-    cut = scans.range_chunks(frames.withColumn("__end", end).withColumn("__start", start),
-                             [*_KEYS, *frame_order()])
+    cut = scans.time_chunks(frames.withColumn("__end", end).withColumn("__start", start), _KEYS, "startTime", chunk_rows)
     reached = scans.split_running_max(cut, _KEYS, frame_order(), "__end", "__reached", inclusive=False)
     opens = F.coalesce(F.col("__start") >= F.col("__reached"), F.lit(True)).cast("int")
     return (scans.split_running_sum(reached.withColumn("__opens", opens), _KEYS, frame_order(),
                                     "__opens", "island")
-            .drop("__end", "__start", "__reached", "__opens", "chunk"))
+            .drop("__end", "__start", "__reached", "__opens", "chunk", "chunks"))

@@ -53,6 +53,11 @@ def order_slice_endpoints(endpoints: DataFrame, *keys: str) -> DataFrame:
     return endpoints.orderBy(*keys, *endpoint_order())
 
 
+def number_slice_endpoints(endpoints: DataFrame, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
+    """Add `position`: the endpoint's place in `order_slice_endpoints` by tid and kind, without a sort of the whole table."""
+    return scans.track_numbers(endpoints, "time", endpoint_order(), "position", chunk_rows)
+
+
 # ---- names -------------------------------------------------------------------------------
 
 def _path_order() -> Column:
@@ -206,25 +211,30 @@ def _visible_endpoints(frames: DataFrame) -> DataFrame:
                            F.col("endReason") == S.REASON_RETURN)
 
 
-def _open_counts(endpoints: DataFrame, keys: list[str]) -> DataFrame:
-    """Add `open`: frames open after each endpoint of the key, over range chunks."""
-    cut = scans.range_chunks(endpoints.withColumn("delta", F.when(F.col("isBegin"), 1).otherwise(-1)),
-                             [*keys, *endpoint_order()])
+def _open_counts(endpoints: DataFrame, keys: list[str], chunk_rows: int) -> DataFrame:
+    """Add `open`: frames open after each endpoint of the key, over chunks of time."""
+    cut = scans.time_chunks(endpoints.withColumn("delta", F.when(F.col("isBegin"), 1).otherwise(-1)), keys, "time", chunk_rows)
     return scans.split_running_sum(cut, keys, endpoint_order(), "delta", "open")
 
 
-def max_open_frames(frames: DataFrame) -> DataFrame:
-    return (_open_counts(_visible_endpoints(frames), ["tid"]).groupBy("tid")
-            .agg(F.max("open").alias("maxOpen")))
+def max_open_frames(frames: DataFrame, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
+    """Per thread the most frames open at once. A chunk's sum and highest point say all: no second look at its rows."""
+    keys = ["tid"]
+    cut = scans.time_chunks(_visible_endpoints(frames).withColumn("delta", F.when(F.col("isBegin"), 1).otherwise(-1)), keys, "time", chunk_rows)
+    within = Window.partitionBy(*keys, "chunk").orderBy(*endpoint_order()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    peaks = (cut.withColumn("inside", F.sum("delta").over(within)).groupBy(*keys, "chunk")
+             .agg(F.max("inside").alias("peak"), F.sum("delta").alias("total")))
+    carried = scans.carried_sum(peaks, keys, "total", "before")
+    return carried.groupBy(*keys).agg(F.max(F.col("before") + F.col("peak")).alias("maxOpen"))
 
 
-def check_well_nested(frames: DataFrame, limit: int = 512) -> DataFrame:
+def check_well_nested(frames: DataFrame, limit: int = 512, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
     """Per thread: ends that do not close the innermost open frame, and the open-frame limit.
 
     An end that leaves n frames open must belong to the last frame that was opened as number
     n + 1; that frame is carried from chunk to chunk per (thread, level).
     """
-    counted = _open_counts(_visible_endpoints(frames), ["tid"])
+    counted = _open_counts(_visible_endpoints(frames), ["tid"], chunk_rows)
     level = F.when(F.col("isBegin"), F.col("open")).otherwise(F.col("open") + 1)
     leveled = (counted.withColumn("openLevel", level)
                .withColumn("begun", F.when(F.col("isBegin"), F.col("frameId"))))
@@ -234,10 +244,10 @@ def check_well_nested(frames: DataFrame, limit: int = 512) -> DataFrame:
         "tid", "violations", "maxOpen", (F.col("maxOpen") >= limit).alias("overLimit"))
 
 
-def check_visible_depths(frames: DataFrame) -> DataFrame:
+def check_visible_depths(frames: DataFrame, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
     """Endpoints whose depth, less the depth at the last empty point, is not the open count."""
     keys = ["tid", "kind"]
-    counted = _open_counts(slice_endpoints(frames), keys)
+    counted = _open_counts(slice_endpoints(frames), keys, chunk_rows)
     opened = F.col("isBegin") & (F.col("open") == 1)
     based = scans.split_last(counted.withColumn("base", F.when(opened, F.col("depth"))),
                              keys, endpoint_order(), "base", "baseDepth")

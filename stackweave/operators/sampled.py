@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from stackweave.functions import scalars as X
-from stackweave.operators import scans
+from stackweave.operators import frame_sweep as sweep, scans
 from stackweave.session import durable
 
 TOLERANCE_NS = 5_000_000
 # Width of a base cell as a power of two (about 65 us); pairs are only formed inside one cell.
 GRAIN_BITS = 16
-_FRAME = ["frameId", "tid", "kind", "depth", "startTime", "endTime", "startTrace", "endTrace"]
 
 
 # ---- frames per wanted symbol --------------------------------------------------------------
@@ -68,19 +66,15 @@ def file_order() -> Column:
                     (-F.col("endTrace")).alias("n"), "frameId")
 
 
-def sample_frame_containment(samples: DataFrame, by_symbol: DataFrame, tolerance: int = TOLERANCE_NS,
-                             grain_bits: int = GRAIN_BITS) -> DataFrame:
-    """Per (sampleId, symbol): the frame whose padded interval holds the time; lowest depth, then start.
+def _first_holding(points: DataFrame, intervals: DataFrame, keys: list[str], grain_bits: int) -> DataFrame:
+    """(sampleId, keys, best): of the intervals (keys, lo, hi, best) that hold a point's time, the smallest `best`.
 
-    A frame's interval is cut into aligned power-of-two blocks of cells (at most two per level)
-    and two edge cells. Each block keeps only its best frame, so frames meet samples as one row
-    per block: the number of rows is logarithmic in a frame's length and no frame-sample pairs
-    are formed outside the edge cells.
+    An interval is cut into aligned power-of-two blocks of cells (at most two per level) and two edge cells. Each block
+    keeps only its best interval, so intervals meet points as one row per block: the number of rows is logarithmic in
+    an interval's length and no pairs are formed outside the edge cells.
     """
-    best = F.struct("depth", "startTime", file_order().alias("file"))
-    frames = _padded(by_symbol, tolerance).select("symbol", "lo", "hi", best.alias("best"))
     cell_lo, cell_hi = F.shiftright("lo", grain_bits), F.shiftright("hi", grain_bits)
-    frames = frames.withColumn("first", cell_lo + 1).withColumn("past", cell_hi)
+    placed = intervals.withColumn("first", cell_lo + 1).withColumn("past", cell_hi)
 
     def blocks_at(level: Column) -> Column:
         from_block = _shift(F.col("first") + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
@@ -94,20 +88,28 @@ def sample_frame_containment(samples: DataFrame, by_symbol: DataFrame, tolerance
     cells = F.greatest(F.col("past") - F.col("first"), F.lit(1))
     levels = F.sequence(F.lit(0), F.length(F.conv(cells.cast("string"), 10, 2)))
     blocks = F.array_compact(F.flatten(F.transform(levels, blocks_at)))
-    inner = (frames.select("symbol", "best", F.explode(blocks).alias("b"))
-             .groupBy("symbol", F.col("b.level").alias("level"), F.col("b.block").alias("block"))
+    inner = (placed.select(*keys, "best", F.explode(blocks).alias("b"))
+             .groupBy(*keys, F.col("b.level").alias("level"), F.col("b.block").alias("block"))
              .agg(F.min("best").alias("best")))
     used = inner.agg(F.collect_set("level")).scalar()
-    points = samples.select("sampleId", "symbol", "time", F.shiftright("time", grain_bits).alias("cell"))
-    in_blocks = (points.withColumn("level", F.explode(used))
+    cut = points.select("sampleId", *keys, "time", F.shiftright("time", grain_bits).alias("cell"))
+    in_blocks = (cut.withColumn("level", F.explode(used))
                  .withColumn("block", _shift(F.col("cell"), F.col("level")))
-                 .join(inner, ["symbol", "level", "block"])
-                 .select("sampleId", "symbol", "best"))
-    edges = (frames.withColumn("cell", F.explode(F.array_distinct(F.array(F.col("first") - 1, F.col("past")))))
-             .select("symbol", "cell", "lo", "hi", "best"))
-    in_edges = (points.join(edges, ["symbol", "cell"]).filter("time between lo and hi")
-                .select("sampleId", "symbol", "best"))
-    won = in_blocks.unionByName(in_edges).groupBy("sampleId", "symbol").agg(F.min("best").alias("best"))
+                 .join(inner, [*keys, "level", "block"])
+                 .select("sampleId", *keys, "best"))
+    edges = (placed.withColumn("cell", F.explode(F.array_distinct(F.array(F.col("first") - 1, F.col("past")))))
+             .select(*keys, "cell", "lo", "hi", "best"))
+    in_edges = (cut.join(edges, [*keys, "cell"]).filter("time between lo and hi")
+                .select("sampleId", *keys, "best"))
+    return in_blocks.unionByName(in_edges).groupBy("sampleId", *keys).agg(F.min("best").alias("best"))
+
+
+def sample_frame_containment(samples: DataFrame, by_symbol: DataFrame, tolerance: int = TOLERANCE_NS,
+                             grain_bits: int = GRAIN_BITS) -> DataFrame:
+    """Per (sampleId, symbol): the frame whose padded interval holds the time; lowest depth, then start."""
+    best = F.struct("depth", "startTime", file_order().alias("file"))
+    frames = _padded(by_symbol, tolerance).select("symbol", "lo", "hi", best.alias("best"))
+    won = _first_holding(samples, frames, ["symbol"], grain_bits)
     file = "best.file."
     return won.select("sampleId", "symbol", F.col(file + "frameId").alias("frameId"), F.col(file + "tid").alias("tid"),
                       F.col(file + "kind").alias("kind"), "best.depth", "best.startTime",
@@ -115,80 +117,65 @@ def sample_frame_containment(samples: DataFrame, by_symbol: DataFrame, tolerance
                       (-F.col(file + "n")).alias("endTrace"))
 
 
-def containing_frames(samples: DataFrame, by_symbol: DataFrame, tolerance: int = TOLERANCE_NS,
-                      same_thread: bool = False) -> DataFrame:
-    """All (sample, frame) pairs where the padded interval of a frame of the symbol holds the time.
-
-    An interval of length below 2^n touches at most two aligned blocks of that size; samples look
-    into the block of each size that occurs.
-    """
-    keys = ["symbol", "tid"] if same_thread else ["symbol"]
-    padded = _padded(by_symbol, tolerance)
-    size = F.length(F.conv((F.col("hi") - F.col("lo")).cast("string"), 10, 2)).cast("int")
-    placed = (padded.withColumn("level", size)
-              .withColumn("block", F.explode(F.array_distinct(F.array(
-                  _shift(F.col("lo"), F.col("level")), _shift(F.col("hi"), F.col("level")))))))
-    used = padded.select(size.alias("level")).agg(F.collect_set("level")).scalar()
-    points = (samples.withColumn("level", F.explode(used))
-              .withColumn("block", _shift(F.col("time"), F.col("level"))))
-    if not same_thread:
-        points = points.drop("tid")
-    return (points.join(placed, [*keys, "level", "block"]).filter("time between lo and hi")
-            .drop("level", "block", "lo", "hi"))
-
-
 # ---- nesting -------------------------------------------------------------------------------
 
-def _enclosed(base: DataFrame, asking: DataFrame, pairs: DataFrame, thread: list[str], sign: int) -> DataFrame:
+def _enclosed(by_symbol: DataFrame, pairs: DataFrame, thread: list[str], sign: int, chunk_rows: int) -> DataFrame:
     """(base, asking) symbol pairs of which some asking frame finds a base frame.
 
-    With sign 1 the base frames are parents: of those begun by the asking frame's start the
-    furthest end must reach its end, at a smaller depth. With sign -1 they are children: of those
-    begun at or after its start the nearest end must not pass its end, at a greater depth, which
-    is the same search on the mirrored time axis.
+    With sign 1 the base frames are parents: of those begun by the asking frame's start the furthest end must reach its
+    end, at a smaller depth. With sign -1 they are children: of those begun at or after its start the nearest end must
+    not pass its end, at a greater depth, which is the same search on mirrored axes of time and depth.
+
+    Depths are the leaves of a binary tree. "All depths below d" is one node per set bit of d, always a left child, so a base
+    frame enters the nodes above its depth that are left children, and the furthest end so far is carried per node.
     """
-    def mirrored(frames: DataFrame, symbol: str) -> DataFrame:
+    deepest = by_symbol.agg(F.coalesce(F.max("depth"), F.lit(0)).cast("long")).scalar()
+
+    def mirrored(symbol: str) -> DataFrame:
         def at(side: str) -> Column:
             return F.struct((F.col(f"{side}Time") * sign).alias("t"), (F.col(f"{side}Trace") * sign).alias("n"))
 
-        return frames.select(F.col("symbol").alias(symbol), *thread, "depth", at("start").alias("start"),
-                             at("end").alias("end"))
+        level = F.col("depth") if sign == 1 else deepest - F.col("depth")
+        return by_symbol.select(F.col("symbol").alias(symbol), *thread, level.cast("long").alias("level"), at("start").alias("start"),
+                                at("end").alias("end"), F.length(F.conv(deepest.cast("string"), 10, 2)).alias("bits"))
+
+    def node(bit: Column, index: Column) -> Column:
+        return F.struct(bit.alias("bit"), index.alias("index"))
 
-    own = (mirrored(base, "base").join(pairs.select("base").distinct(), "base", "left_semi")
-           .withColumnRenamed("depth", "level"))
-    levels = own.groupBy("base").agg(F.collect_set("level").alias("levels"))
+    level, bits = F.col("level"), F.sequence(F.lit(0), F.col("bits"))
+    own = mirrored("base").join(pairs.select("base").distinct(), "base", "left_semi")
     # Of frames with one start and depth, only the easiest end matters.
-    asked = (mirrored(asking, "asking").groupBy("asking", *thread, "depth", "start").agg(F.min("end").alias("end"))
-             .join(pairs, "asking").join(levels, "base"))
-    fitting = F.filter("levels", lambda level: (level - F.col("depth")) * sign < 0)
-    keys, order = ["base", *thread, "level"], ["start", "side", "asking"]
-    merged = own.select(*keys, "start", F.lit(0).alias("side"), F.lit("").alias("asking"), "end",
-                        F.col("end").alias("reach")).unionByName(
-        asked.withColumn("level", F.explode(fitting)).select(
-            *keys, "start", F.lit(1).alias("side"), "asking", "end", F.lit(None).cast("struct<t:bigint,n:bigint>")
-            .alias("reach")))
-    cut = scans.range_chunks(merged, [*keys, *order])
-    reached = scans.split_running_max(cut, keys, order, "reach", "reached")
+    asked = mirrored("asking").groupBy("asking", *thread, "level", "start").agg(
+        F.min("end").alias("end"), F.first("bits").alias("bits")).join(pairs, "asking")
+    above = F.transform(F.filter(bits, lambda b: _shift(level, b) % 2 == 0), lambda b: node(b, _shift(level, b)))
+    below = F.transform(F.filter(bits, lambda b: _shift(level, b) % 2 == 1), lambda b: node(b, _shift(level, b) - 1))
+    owner = ["base", *thread]
+    columns = [*owner, "node", "start", "side", "asking", "end", "reach"]
+    points = own.select(*owner, F.col("start.t").alias("at")).unionByName(asked.select(*owner, F.col("start.t").alias("at")))
+    merged = own.select("*", F.explode(above).alias("node"), F.lit(0).alias("side"), F.lit("").alias("asking"), F.col("end").alias("reach")).select(
+        *columns).unionByName(asked.select("*", F.explode(below).alias("node"), F.lit(1).alias("side"),
+                                           F.lit(None).cast("struct<t:bigint,n:bigint>").alias("reach")).select(*columns))
+    cut = scans.time_chunks(merged.withColumn("at", F.col("start.t")), owner, "at", chunk_rows, scans.time_splitters(points, owner, "at", chunk_rows))
+    reached = scans.split_running_max(cut, [*owner, "node"], ["start", "side", "asking"], "reach", "reached")
     return reached.filter("side = 1 and reached >= end").select("base", "asking").distinct()
 
 
-def nested_overlap(by_symbol: DataFrame, pairs: DataFrame, same_thread: bool = False) -> DataFrame:
+def nested_overlap(by_symbol: DataFrame, pairs: DataFrame, same_thread: bool = False, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
     """For each (parent, child) symbol pair: does some shallower parent frame enclose a child frame?
 
-    Per pair the symbol with fewer frames asks, the other's frames enter once for all its pairs.
-    Per base symbol and depth the furthest end so far is carried along the start order; no frame
-    pairs are formed.
+    Per pair the symbol with fewer frames asks, the other's frames enter once for all its pairs. Rows are frames times
+    the logarithm of the greatest depth; no frame pairs are formed.
     """
     thread = ["tid"] if same_thread else []
     sizes = by_symbol.groupBy("symbol").agg(F.count(F.lit(1)).alias("frames"))
     pairs = pairs.select("parent", "child").distinct()
-    sized = (pairs.join(sizes.select(F.col("symbol").alias("parent"), F.col("frames").alias("parents")), "parent")
-             .join(sizes.select(F.col("symbol").alias("child"), F.col("frames").alias("children")), "child"))
+    sized = durable(pairs.join(sizes.select(F.col("symbol").alias("parent"), F.col("frames").alias("parents")), "parent")
+                    .join(sizes.select(F.col("symbol").alias("child"), F.col("frames").alias("children")), "child"))
     few_children = sized.filter("children <= parents").select(F.col("parent").alias("base"), F.col("child").alias("asking"))
     few_parents = sized.filter("children > parents").select(F.col("child").alias("base"), F.col("parent").alias("asking"))
-    hits = (_enclosed(by_symbol, by_symbol, few_children, thread, 1)
+    hits = (_enclosed(by_symbol, few_children, thread, 1, chunk_rows)
             .select(F.col("base").alias("parent"), F.col("asking").alias("child"))
-            .unionByName(_enclosed(by_symbol, by_symbol, few_parents, thread, -1)
+            .unionByName(_enclosed(by_symbol, few_parents, thread, -1, chunk_rows)
                          .select(F.col("asking").alias("parent"), F.col("base").alias("child"))))
     return pairs.join(hits.withColumn("hit", F.lit(True)), ["parent", "child"], "left").select(
         "parent", "child", F.coalesce("hit", F.lit(False)).alias("overlaps"))
@@ -196,58 +183,89 @@ def nested_overlap(by_symbol: DataFrame, pairs: DataFrame, same_thread: bool = F
 
 # ---- chains --------------------------------------------------------------------------------
 
+def frame_parents(by_symbol: DataFrame, pairs: DataFrame, same_thread: bool = False, chunk_rows: int = scans.CHUNK_ROWS,
+                  fan: int = scans.FAN) -> DataFrame:
+    """(parent, child, frameId, parentId): for each (parent, child) symbol pair, the parent of every frame of the child symbol.
+
+    The parent is the deepest shallower frame of the parent symbol that encloses the frame, earliest start first. Per
+    parent symbol, time is cut into chunks of bounded rows; each is swept in start order by one Arrow group
+    (`frame_sweep`), and what is open at its begin comes from a two-level scan over the chunks.
+    """
+    owner = ["parent", *(["tid"] if same_thread else [])]
+    fields = ["tid", "kind", "depth", "startTime", "startTrace", "endTime", "endTrace", "frameId"]
+    frames = by_symbol.select("symbol", *[F.col(c).cast("long").alias(c) for c in fields])
+    pairs = pairs.select("parent", "child").distinct()
+    own = (frames.withColumnRenamed("symbol", "parent").join(pairs.select("parent").distinct(), "parent", "left_semi")
+           .select("parent", F.lit(None).cast("string").alias("child"), *fields))
+    asked = frames.withColumnRenamed("symbol", "child").join(pairs, "child").select("parent", "child", *fields)
+    cut = scans.time_chunks(own.unionByName(asked), owner, "startTime", chunk_rows)
+    on = [*owner, "chunk"]
+    head = "parent string, " + ("tid long, " if same_thread else "")
+
+    def left_open(table: pa.Table) -> pa.Table:
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in on},
+                         "open": pa.array([sweep.left_open(table)], pa.list_(pa.int64()))})
+
+    def parents(table: pa.Table, entries: pa.Table) -> pa.Table:
+        opened = (entries.column("entry")[0].as_py() if entries.num_rows else None) or []
+        at, found = sweep.parents(table, opened)
+        asking = table.take(pa.array(at, pa.int64()))
+        return pa.table({"parent": asking.column("parent"), "child": asking.column("child"), "frameId": asking.column("frameId"),
+                         "parentId": pa.array(found, pa.int64())})
+
+    local = cut.filter("chunks > 1").groupBy(*on).applyInArrow(left_open, f"{head}chunk long, open array<long>")
+    entries = scans.entry_states(local, owner, "open", sweep.join_open, fan)
+    return (cut.drop("chunks").groupBy(*on).cogroup(entries.groupBy(*on))
+            .applyInArrow(parents, "parent string, child string, frameId long, parentId long"))
+
+
+def _whole_walks(stacks: DataFrame, parents: DataFrame) -> DataFrame:
+    """(stack, frameId, chain): for each stack (symbols, leaf first) the frames whose walk up reaches the root, and their ancestors.
+
+    Pointer doubling: round k knows the walks along pieces of 2^k steps (shorter at the root) that begin at every 2^k-th
+    symbol, and joins neighbouring pieces. A piece that many stacks share is walked once. One job per round.
+    """
+    walks = durable(parents.select(F.array("child", "parent").alias("piece"), "frameId", F.array("parentId").alias("chain")))
+    steps = 1
+    while not stacks.filter(F.size("stack") - 1 > steps).isEmpty():
+        size = F.size("stack")
+        begins = F.sequence(F.lit(0), size - 2, F.lit(2 * steps))
+        wanted = stacks.select(F.explode(F.transform(begins, lambda b: F.slice("stack", b + 1, 2 * steps + 1))).alias("piece")).distinct()
+        short = wanted.filter(F.size("piece") <= steps + 1).join(walks, "piece")
+        lower = (wanted.filter(F.size("piece") > steps + 1)
+                 .select(F.col("piece").alias("whole"), F.slice("piece", 1, steps + 1).alias("piece"),
+                         F.slice("piece", steps + 1, steps + 1).alias("rest")).join(walks, "piece"))
+        upper = walks.select(F.col("piece").alias("rest"), F.col("frameId").alias("via"), F.col("chain").alias("more"))
+        joined = lower.withColumn("via", F.element_at("chain", -1)).join(upper, ["rest", "via"]).select(
+            F.col("whole").alias("piece"), "frameId", F.concat("chain", "more").alias("chain"))
+        walks, steps = durable(short.select("piece", "frameId", "chain").unionByName(joined)), 2 * steps
+    return stacks.select(F.col("stack").alias("piece")).join(walks, "piece").withColumnRenamed("piece", "stack")
+
+
 def sampled_stack_match(samples: DataFrame, by_symbol: DataFrame, tolerance: int = TOLERANCE_NS,
-                        same_thread: bool = False) -> DataFrame:
+                        same_thread: bool = False, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
     """The reconstructed frame for each symbol of each sampled stack (`symbols`, root first).
 
-    From each frame of the leaf symbol that holds the sample's time, walk up: the next frame is
-    the deepest enclosing shallower one that holds the time, earliest start first. The first leaf
-    (by start) whose walk is complete wins; otherwise each symbol is matched on its own. All
-    walks advance together, one join and one aggregate per stack level.
+    From each frame of the leaf symbol that holds the sample's time, walk up: the next frame is the deepest enclosing
+    shallower one, earliest start first. (It holds the time too, since it encloses one that does.) The first leaf (by
+    start) whose walk is complete wins; otherwise each symbol is matched on its own.
+
+    A frame's parent does not depend on the sample, so parents are found once per frame and symbol pair, and complete
+    walks once per leaf frame and distinct stack. Samples only look for the first complete leaf that holds their time,
+    and never meet frames in pairs.
     """
-    positions = samples.select("sampleId", "tid", "time", F.size("symbols").alias("size"),
-                               F.posexplode("symbols").alias("position", "symbol"))
-    enclosing = F.struct(*[F.col(c) for c in _FRAME])
-    held = durable(containing_frames(positions.filter("size > 1"), by_symbol, tolerance, same_thread)
-                   .select("sampleId", "position", "size", enclosing.alias("frame"),
-                           file_order().alias("file")))
-    walks = (held.filter("position = size - 1")
-             .select("sampleId", F.col("frame.frameId").alias("leafId"),
-                     F.struct("frame.startTime", "frame.startTrace", "file").alias("leafOrder"),
-                     F.col("frame").alias("child"), F.col("position").alias("at"),
-                     F.array("frame.frameId").alias("chain")))
-    parents = held.select("sampleId", F.col("position").alias("parentAt"), F.col("frame").alias("parent"),
-                          F.struct((-F.col("frame.depth")).alias("d"), F.col("frame.startTime").alias("t"),
-                                   "file").alias("preference"))
-
-    def instant(frame: str, side: str) -> Column:
-        return F.struct(F.col(f"{frame}.{side}Time").alias("t"), F.col(f"{frame}.{side}Trace").alias("n"))
-
-    encloses = ((F.col("parent.depth") < F.col("child.depth"))
-                & (instant("parent", "start") <= instant("child", "start"))
-                & (instant("child", "end") <= instant("parent", "end")))
-    complete = []
-    longest = samples.agg(F.max(F.size("symbols"))).first()[0] or 0
-    for _ in range(longest - 1):
-        stepped = (walks.withColumn("parentAt", F.col("at") - 1).join(parents, ["sampleId", "parentAt"])
-                   .filter(encloses).groupBy("sampleId", "leafId")
-                   .agg(F.min_by(F.struct("parent", "leafOrder", "parentAt", "chain"), "preference").alias("w")))
-        walks = stepped.select("sampleId", "leafId", "w.leafOrder", F.col("w.parent").alias("child"),
-                               F.col("w.parentAt").alias("at"),
-                               F.concat(F.array("w.parent.frameId"), F.col("w.chain")).alias("chain"))
-        walks = durable(walks)
-        complete.append(walks.filter("at = 0"))
-        walks = walks.filter("at > 0")
-    single = positions.select("sampleId", "symbol", "position", "time")
-    alone = sample_frame_containment(single.select("sampleId", "symbol", "time").distinct(), by_symbol,
+    positions = samples.select("sampleId", "time", F.posexplode("symbols").alias("position", "symbol"))
+    keys = ["stack", *(["tid"] if same_thread else [])]
+    stacked = samples.filter(F.size("symbols") > 1).withColumn("stack", F.reverse("symbols"))
+    stacks = durable(stacked.select("stack").distinct())
+    walks = _whole_walks(stacks, frame_parents(by_symbol, call_pairs(samples), same_thread, chunk_rows))
+    leaves = _padded(by_symbol, tolerance).withColumn("leafOrder", F.struct("startTime", "startTrace", file_order().alias("file")))
+    complete = (walks.withColumn("symbol", F.get("stack", 0)).join(leaves, ["symbol", "frameId"])
+                .select(*keys, "lo", "hi", F.struct("leafOrder", F.concat(F.reverse("chain"), F.array("frameId")).alias("chain")).alias("best")))
+    won = _first_holding(stacked, complete, keys, GRAIN_BITS).select("sampleId", "best.chain")
+    alone = sample_frame_containment(positions.select("sampleId", "symbol", "time").distinct(), by_symbol,
                                      tolerance).select("sampleId", "symbol", F.col("frameId").alias("aloneId"))
-    result = positions.join(alone, ["sampleId", "symbol"], "left")
-    if not complete:
-        return result.select("sampleId", "position", "symbol", F.col("aloneId").alias("frameId"),
-                             F.lit(False).alias("chained"))
-    won = (reduce(lambda a, b: a.unionByName(b), complete).groupBy("sampleId")
-           .agg(F.min_by("chain", "leafOrder").alias("chain")))
-    return result.join(won, "sampleId", "left").select(
+    return positions.join(alone, ["sampleId", "symbol"], "left").join(won, "sampleId", "left").select(
         "sampleId", "position", "symbol",
         F.when(F.col("chain").isNotNull(), F.get("chain", F.col("position"))).otherwise(F.col("aloneId"))
         .alias("frameId"),

@@ -5,19 +5,29 @@ first split into consecutive chunks of bounded size; each chunk runs its own win
 summary per chunk is scanned over the key, and the carry is joined back. The row-level shuffle
 is on (key, chunk), the scan over the key sees one row per chunk.
 
-`chunk` must not decrease along `order` within a key.
+`chunk` must not decrease along `order` within a key. Dense positions give chunks by division
+(`with_chunk`), times by splitters that are counted, not sampled (`time_chunks`), so every reader of a
+plan sees the same chunks and nothing has to be written in between.
+
+Carries over many chunks go two levels: runs of FAN chunks are combined side by side, and one row per
+run is scanned, so that no task sees all chunks of a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stackweave.session import durable
-
 CHUNK_ROWS = 1 << 16
 _ID_SPAN = 1 << 16
+# Chunks per combined run.
+FAN = 1 << 10
+# Times are counted in cells of 2^16 ns (65 us); 2^12 cells make a middle cell, 2^12 of these a top cell (18 min).
+_CELL_BITS, _STEP_BITS = 16, 12
+# Steps of the binary search for a row's chunk: keys of more than 2^24 chunks leave the rest to the last one.
+_SEARCH_BITS = 24
 
 
 def whole(dividend: Column, divisor: int) -> Column:
@@ -42,13 +52,130 @@ def with_chunk(df: DataFrame, position: str, chunk_rows: int = CHUNK_ROWS) -> Da
     return df.withColumn("chunk", whole(F.col(position), chunk_rows))
 
 
-def range_chunks(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """Cut rows into range partitions along `order` and number them in `chunk`.
+def _starts(cells: Column, most: int, bits: int) -> Column:
+    """Where chunks of at most `most` rows begin, from an array of cells (cell, rows, starts) of `bits` bits.
+
+    Neighbouring cells are merged in order; a cell with too many rows brings the starts found inside it.
+    """
+    nothing = F.struct(F.array().cast("array<bigint>").alias("starts"), F.lit(most).cast("long").alias("rows"))
+
+    def step(done: Column, cell: Column) -> Column:
+        crowded, fits = cell["rows"] > most, done["rows"] + cell["rows"] <= most
+        own = F.coalesce(cell["starts"], F.array(F.shiftleft(cell["cell"], bits)))
+        return F.struct(F.when(fits, done["starts"]).otherwise(F.concat(done["starts"], own)).alias("starts"),
+                        F.when(crowded, F.lit(most).cast("long")).when(fits, done["rows"] + cell["rows"]).otherwise(cell["rows"]).alias("rows"))
+
+    return F.aggregate(F.array_sort(cells), nothing, step)["starts"]
+
 
-    Range partitioning splits a hot key on the later sort columns. The result is written out so
-    that the sampled boundaries are fixed for all readers.
+def time_splitters(df: DataFrame, keys: list[str], at: str, most: int = CHUNK_ROWS) -> DataFrame:
+    """(keys, starts): where the chunks of every key with more than `most` rows begin, ascending.
+
+    Rows are counted per key and cell of 65 us, combined before the shuffle. Twice 2^12 cells are rolled up into one row
+    of the cell above, with the starts found inside if it holds too many rows; on top, a key has one row per 18 minutes of
+    the trace. A single cell may exceed `most`: more than 2^16 rows of one key within 65 us stay together.
+    """
+    def above(cell: str) -> Column:
+        return F.shiftright(cell, _STEP_BITS).alias("upper")
+
+    rows = df.groupBy(*keys, F.shiftright(at, _CELL_BITS).alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
+    rows, bits = rows.withColumn("starts", F.lit(None).cast("array<bigint>")), _CELL_BITS
+    for level in range(3):
+        last = level == 2
+        cells = F.collect_list(F.struct("cell", "rows", "starts"))
+        rolled = rows.groupBy(*keys, *([] if last else [above("cell")])).agg(F.sum("rows").alias("rows"), cells.alias("cells"))
+        crowded = F.col("rows") > most
+        rows = (rolled.filter(crowded) if last else rolled).select(
+            *keys, *([] if last else [F.col("upper").alias("cell")]), "rows", F.when(crowded, _starts(F.col("cells"), most, bits)).alias("starts"))
+        bits += _STEP_BITS
+    # Every chunked plan reads this small table several times: kept where it is first computed, with its lineage, and the
+    # same again if lost, since it is counted and not sampled.
+    return rows.select(*keys, "starts").persist()
+
+
+def time_chunks(df: DataFrame, keys: list[str], at: str, most: int = CHUNK_ROWS, splitters: DataFrame | None = None) -> DataFrame:
+    """Add `chunk`, numbered along `at` within each key, with at most `most` rows each (see `time_splitters`), and `chunks`.
+
+    A key with a third of all rows has its rows joined with one small row; Spark broadcasts or splits that join.
+    """
+    splitters = time_splitters(df, keys, at, most) if splitters is None else splitters
+    steps = F.array(*[F.lit(1 << b) for b in range(_SEARCH_BITS - 1, -1, -1)])
+    # Number of starts at or before the row, bit by bit.
+    found = F.aggregate(steps, F.lit(0), lambda low, step: F.when(
+        (low + step <= F.size("starts")) & (F.get("starts", low + step - 1) <= F.col(at)), low + step).otherwise(low))
+    return (df.join(splitters, keys, "left")
+            .withColumn("chunk", F.when(F.col("starts").isNull(), 0).otherwise(found).cast("long"))
+            .withColumn("chunks", F.when(F.col("starts").isNull(), 1).otherwise(F.size("starts") + 1)).drop("starts"))
+
+
+def entry_states(local: DataFrame, keys: list[str], state: str, fold: Callable, fan: int = FAN) -> DataFrame:
+    """(keys, chunk, entry): what all earlier chunks of the key leave behind, from one row (keys, chunk, `state`) per chunk.
+
+    `fold(carried, state)` must be associative, with None before the first chunk. It runs on Arrow groups of at most `fan`
+    chunks: runs are combined, one row per run is scanned, and runs then find their chunks' entries side by side.
+    """
+    fields = {f.name: f.dataType for f in local.schema.fields}
+    head = ", ".join(f"{k} {fields[k].simpleString()}" for k in keys)
+    kind = fields[state].simpleString()
+
+    def states(table: pa.Table, carried) -> tuple[pa.Table, list, object]:
+        table = table.sort_by("chunk")
+        entries = []
+        for value in table.column("state").to_pylist():
+            entries.append(carried)
+            carried = fold(carried, value)
+        return table, entries, carried
+
+    def total(table: pa.Table) -> pa.Table:
+        ordered, _, last = states(table, None)
+        return pa.table({**{k: ordered.column(k).slice(0, 1) for k in keys}, "chunk": ordered.column("run").slice(0, 1),
+                         "state": pa.array([last], ordered.schema.field("state").type)})
+
+    def entered(table: pa.Table, carried) -> pa.Table:
+        ordered, entries, _ = states(table, carried)
+        return pa.table({**{k: ordered.column(k) for k in keys}, "chunk": ordered.column("chunk"),
+                         "entry": pa.array(entries, ordered.schema.field("state").type)})
+
+    rows = local.select(*keys, "chunk", F.col(state).alias("state")).withColumn("run", whole(F.col("chunk"), fan))
+    runs = rows.groupBy(*keys, "run").applyInArrow(total, f"{head}, chunk long, state {kind}")
+    starts = (runs.groupBy(*keys).applyInArrow(lambda table: entered(table, None), f"{head}, chunk long, entry {kind}")
+              .withColumnRenamed("chunk", "run"))
+    on = [*keys, "run"]
+    return rows.groupBy(*on).cogroup(starts.groupBy(*on)).applyInArrow(
+        lambda table, start: entered(table, start.column("entry")[0].as_py() if start.num_rows else None), f"{head}, chunk long, entry {kind}")
+
+
+def _carry(summary: DataFrame, keys: list[str], value: str, join: Callable[[Column, Column], Column],
+           all_of: Callable[[str], Column], before: Callable[[str], Column], fan: int) -> DataFrame:
+    """(keys, chunk, __carry): `value` of all earlier chunks of the key.
+
+    Chunks are packed into one row per run of `fan`; these rows are scanned per key, then unpacked and scanned inside each run.
     """
-    return durable(df.repartitionByRange(*_order(order)).withColumn("chunk", F.spark_partition_id()))
+    def window(columns: list[str], order: str):
+        return Window.partitionBy(*columns).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    chunk = F.col("chunk").cast("long")
+    packed = summary.select(*keys, chunk.alias("chunk"), value, whole(chunk, fan).alias("__run")).groupBy(*keys, "__run").agg(
+        F.collect_list(F.struct("chunk", value)).alias("__items"), all_of(value).alias("__all"))
+    started = packed.withColumn("__start", before("__all").over(window(keys, "__run")))
+    return (started.select(*keys, "__run", "__start", F.inline("__items"))
+            .withColumn("__inside", before(value).over(window([*keys, "__run"], "chunk")))
+            .select(*keys, "chunk", join(F.col("__start"), F.col("__inside")).alias("__carry")))
+
+
+def carried_sum(summary: DataFrame, keys: list[str], value: str, out: str, fan: int = FAN) -> DataFrame:
+    """Add `out`: the sum of `value` over all earlier chunks of the key, to a table of one row per chunk."""
+    carry = _carry(summary, keys, value, _plus, F.sum, F.sum, fan).withColumnRenamed("__carry", out)
+    return summary.join(carry, [*keys, "chunk"])
+
+
+def _plus(first: Column, second: Column) -> Column:
+    return F.coalesce(first, F.lit(0)) + F.coalesce(second, F.lit(0))
+
+
+def _later(first: Column, second: Column) -> Column:
+    """The greater of two values that may be null."""
+    return F.when(second.isNull(), first).when(first.isNull() | (second >= first), second).otherwise(first)
 
 
 def split_running_sum(df: DataFrame, keys: list[str], order: Sequence[str | Column], value: str,
@@ -56,9 +183,7 @@ def split_running_sum(df: DataFrame, keys: list[str], order: Sequence[str | Colu
     """Inclusive running sum of `value` per key."""
     on = [*keys, "chunk"]
     totals = df.groupBy(*on).agg(F.sum(value).alias("__total"))
-    over_chunks = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    carry = totals.select(*on, F.coalesce(F.sum("__total").over(over_chunks), F.lit(0)).alias("__carry"))
+    carry = _carry(totals, keys, "__total", _plus, F.sum, F.sum, FAN)
     within = Window.partitionBy(*on).orderBy(*_order(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (_carried(df, carry, on)
@@ -70,17 +195,12 @@ def split_running_max(df: DataFrame, keys: list[str], order: Sequence[str | Colu
     """Running maximum of `value` per key, over rows up to (or strictly before) each row."""
     on = [*keys, "chunk"]
     peaks = df.groupBy(*on).agg(F.max(value).alias("__peak"))
-    over_chunks = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    carry = peaks.select(*on, F.max("__peak").over(over_chunks).alias("__carry"))
+    carry = _carry(peaks, keys, "__peak", _later, F.max, F.max, FAN)
     within = Window.partitionBy(*on).orderBy(*_order(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     local = F.max(value).over(within)
     return (_carried(df, carry, on).withColumn("__local", local)
-            .withColumn(out, F.when(F.col("__local").isNull(), F.col("__carry"))
-                        .when(F.col("__carry").isNull() | (F.col("__local") >= F.col("__carry")),
-                              F.col("__local"))
-                        .otherwise(F.col("__carry")))
+            .withColumn(out, _later(F.col("__carry"), F.col("__local")))
             .drop("__carry", "__local"))
 
 
@@ -88,9 +208,7 @@ def split_row_number(df: DataFrame, keys: list[str], order: Sequence[str | Colum
     """1-based position of each row within its key."""
     on = [*keys, "chunk"]
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
-    over_chunks = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    carry = counts.select(*on, F.coalesce(F.sum("__rows").over(over_chunks), F.lit(0)).alias("__carry"))
+    carry = _carry(counts, keys, "__rows", _plus, F.sum, F.sum, FAN)
     within = Window.partitionBy(*on).orderBy(*_order(order))
     return (_carried(df, carry, on)
             .withColumn(out, (F.row_number().over(within) + F.col("__carry")).cast("long"))
@@ -122,10 +240,9 @@ def split_last(df: DataFrame, keys: list[str], order: Sequence[str | Column], va
     last = df.filter(F.col(value).isNotNull()).groupBy(*on).agg(
         F.max_by(value, sort_key).alias("__last"))
     present = df.select(*on).distinct()
-    over_chunks = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(
-        Window.unboundedPreceding, -1)
-    carry = _carried(present, last, on).select(
-        *on, F.last("__last", ignorenulls=True).over(over_chunks).alias("__carry"))
+    carry = _carry(_carried(present, last, on), keys, "__last", lambda a, b: F.coalesce(b, a),
+                   lambda v: F.max(F.when(F.col(v).isNotNull(), F.struct("chunk", v)))[v],
+                   lambda v: F.last(v, ignorenulls=True), FAN)
     within = Window.partitionBy(*on).orderBy(*ordered).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return (_carried(df, carry, on)
@@ -163,3 +280,13 @@ def dense_numbers(df: DataFrame, position: str, order: Sequence[str | Column], o
     return (cut.join(offsets, "chunk")
             .withColumn(out, (F.row_number().over(within) + F.col("__base")).cast("long"))
             .drop("chunk", "__base"))
+
+
+def track_numbers(df: DataFrame, at: str, order: Sequence[str | Column], out: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """1-based number over the whole table, ordered by tid, kind (0 or 1), then `order`, which begins with the time `at`."""
+    keys = ["tid", "kind"]
+    inside = split_row_number(time_chunks(df, keys, at, chunk_rows), keys, order, "__inside").drop("chunk", "chunks")
+    track = (F.col("tid") * 2 + F.col("kind")).cast("long")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).withColumn("__track", track)
+    bases = prefix_totals(sizes, "__track", "__rows", "__base").select(*keys, "__base")
+    return inside.join(bases, keys).withColumn(out, F.col("__base") + F.col("__inside")).drop("__base", "__inside")

@@ -645,24 +645,15 @@ def check_visible_depths(spark, d):
 
 # ---- sorts ---------------------------------------------------------------------------------
 
-def _numbered(df: DataFrame, *order) -> DataFrame:
-    """Global row number of a sorted table: count per range partition, then offsets."""
-    cut = scans.range_chunks(df, order)
-    counts = cut.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))
-    bases = scans.prefix_totals(counts.withColumn("chunk", F.col("chunk").cast("long")), "chunk", "rows", "base").select("chunk", "base")
-    within = Window.partitionBy("chunk").orderBy(*order)
-    return cut.join(bases, "chunk").withColumn("position", (F.row_number().over(within) + F.col("base")).cast("long"))
-
-
 @query
 def order_slice_endpoints(spark, d):
     ends = E.slice_endpoints(trace(spark, d).frames)
-    return _numbered(ends, F.col("tid"), F.col("kind"), *E.endpoint_order()).select("position", "frameId", "isBegin")
+    return E.number_slice_endpoints(ends).select("position", "frameId", "isBegin")
 
 
 @query
 def order_frames(spark, d):
-    return _numbered(trace(spark, d).frames, F.col("tid"), F.col("kind"), *depths.frame_order()).select("position", "frameId")
+    return depths.number_frames(trace(spark, d).frames).select("position", "frameId")
 
 
 @query

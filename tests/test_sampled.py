@@ -53,26 +53,74 @@ def test_containment(spark, seed, grain):
     wanted = {(i, s): best_alone(frames, s, t, 20) for i, t, s in samples}
     assert found == {k: v for k, v in wanted.items() if v is not None}
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_chains(spark, seed):
-    frames, rng = random_frames(seed), random.Random(seed)
-    samples = [(i, 1, rng.randint(0, 4000), [rng.choice("abc") for _ in range(rng.randint(1, 4))]) for i in range(60)]
+def at_scale(frames, bits):
+    return [(*f[:5], f[5] << bits, f[6] << bits, *f[7:]) for f in frames]
+
+def chains_of(spark, frames, samples, tolerance, **more):
     got = P.sampled_stack_match(spark.createDataFrame(samples, "sampleId long, tid long, time long, symbols array<string>"),
-                                spark.createDataFrame(frames, FRAME), 20).collect()
+                                spark.createDataFrame(frames, FRAME), tolerance, **more).collect()
     chains = {}
     for r in sorted(got, key=lambda r: r.position):
         chains.setdefault(r.sampleId, []).append(r.frameId)
-    assert chains == {i: walk(frames, s, t, 20) for i, _, t, s in samples}
-
-@pytest.mark.parametrize("same_thread", [False, True])
-def test_overlaps(spark, same_thread):
-    for seed in (1, 2):
-        frames = random_frames(seed, 25)
-        pairs = [(a, b) for a in "abc" for b in "abc"]
-        got = P.nested_overlap(spark.createDataFrame(frames, FRAME), spark.createDataFrame(pairs, "parent string, child string"), same_thread)
-        wanted = {(a, b): any(encloses(p, c) and (not same_thread or p[2] == c[2])
-                              for p in frames if p[0] == a for c in frames if c[0] == b) for a, b in pairs}
-        assert {(r.parent, r.child): r.overlaps for r in got.collect()} == wanted
+    return chains
+
+@pytest.mark.parametrize("seed, longest", [(1, 4), (3, 9)])
+def test_chains(spark, seed, longest):
+    frames, rng = random_frames(seed), random.Random(seed)
+    samples = [(i, 1, rng.randint(0, 4000), [rng.choice("abc") for _ in range(rng.randint(1, longest))]) for i in range(60)]
+    assert chains_of(spark, frames, samples, 20) == {i: walk(frames, s, t, 20) for i, _, t, s in samples}
+
+def test_chains_over_many_chunks(spark):
+    frames, rng = random_frames(7), random.Random(7)
+    # Frames nested deep enough for long walks, and several at one start.
+    frames += [("abc"[i % 3], 1000 + i, 1, 0, i, 10 * i, 4000 - 10 * i, 1, 9) for i in range(9)]
+    frames += [("abc"[i % 3], 2000 + i, i % 2, 0, i % 5, 1500, 1500 + 100 * (i % 4), 1 + i % 3, 9) for i in range(12)]
+    frames = at_scale(frames, 14)
+    samples = [(i, 1, rng.randint(0, 4000) << 14, list("abc"[k % 3] for k in range(rng.choice([1, 2, 3, 6, 9])))) for i in range(50)]
+    wanted = {i: walk(frames, s, t, 20 << 14) for i, _, t, s in samples}
+    assert chains_of(spark, frames, samples, 20 << 14, chunk_rows=3) == wanted
+    assert sum(len(set(c)) > 5 for c in wanted.values()) > 0
+
+def test_chains_of_one_thread(spark):
+    frames, rng = random_frames(9), random.Random(9)
+    samples = [(i, rng.randint(1, 3), rng.randint(0, 4000), [rng.choice("abc") for _ in range(3)]) for i in range(60)]
+    wanted = {}
+    for i, tid, t, s in samples:
+        chain = walk([f for f in frames if f[2] == tid], s, t, 20)
+        mine = [f for f in frames if f[2] == tid and f[0] == s[-1] and holds(f, t, 20)]
+        complete = bool(mine) and chain[-1] in {f[1] for f in mine} and is_walk(frames, chain)
+        wanted[i] = chain if complete else [best_alone(frames, x, t, 20) for x in s]
+    got = chains_of(spark, frames, samples, 20, same_thread=True)
+    assert sum(got[i] == wanted[i] for i in wanted) == len(wanted)
+
+def is_walk(frames, chain):
+    by_id = {f[1]: f for f in frames}
+    return None not in chain and all(encloses(by_id[p], by_id[c]) for p, c in zip(chain, chain[1:]))
+
+def test_no_frame_sample_pairs(spark):
+    """Rows of the walks do not depend on how many samples ask."""
+    frames = spark.createDataFrame(random_frames(4), FRAME)
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "parent string, child string")
+    parents = P.frame_parents(frames, pairs)
+    assert parents.count() <= frames.filter("symbol in ('b', 'c')").count()
+    found = {(r.child, r.frameId): r.parentId for r in parents.collect()}
+    rows = random_frames(4)
+    for f in rows:
+        up = [p for p in rows if (p[0], f[0]) in (("a", "b"), ("b", "c")) and encloses(p, f)]
+        best = min(up, key=lambda p: (-p[4], p[5], file_order(p)))[1] if up else None
+        assert found.get((f[0], f[1])) == best
+
+@pytest.mark.parametrize("same_thread, deep", [(False, False), (True, False), (False, True)])
+def test_overlaps(spark, same_thread, deep):
+    frames = random_frames(1 + deep, 14)
+    if deep:  # depths up to 165, three rows a chunk
+        frames = [(*f[:4], f[4] * 41 + 1, *f[5:]) for f in at_scale(frames, 16)]
+    pairs = [(a, b) for a in "abc" for b in "abc"]
+    got = P.nested_overlap(spark.createDataFrame(frames, FRAME), spark.createDataFrame(pairs, "parent string, child string"), same_thread,
+                           3 if deep else 1 << 16)
+    wanted = {(a, b): any(encloses(p, c) and (not same_thread or p[2] == c[2])
+                          for p in frames if p[0] == a for c in frames if c[0] == b) for a, b in pairs}
+    assert {(r.parent, r.child): r.overlaps for r in got.collect()} == wanted
 
 def test_symbol_pieces(spark):
     locations = spark.createDataFrame([("main",), ("main_loop",), ("xleafx",), ("leaf",), (None,)], "symbol string")

@@ -43,14 +43,54 @@ def test_dense_numbers_over_gaps(spark):
     same(got.withColumn("y", F.col("at") / 37 + 1).withColumn("y", F.col("y").cast("long")), "n", "y")
 
 
-def test_range_chunks_split_a_hot_key(spark):
-    rows = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").alias("v"))
-    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(coalesce, "false")
-    try:
-        cut = scans.range_chunks(rows, ["k", "v"])
-        assert cut.select("chunk").distinct().count() > 1
-        bounds = cut.groupBy("chunk").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("chunk").collect()
-        assert all(x.b < y.a for x, y in zip(bounds, bounds[1:]))
-    finally:
-        spark.conf.unset(coalesce)
+@pytest.mark.parametrize("most", [4, 50, 400])
+def test_time_chunks(spark, most):
+    """Chunks follow time, hold a bounded number of rows, and only long keys have several."""
+    rng = random.Random(most)
+    base = 1_700_000_000_000_000_000
+    data = [("hot", base + rng.choice([rng.randrange(10 ** 13), rng.randrange(10 ** 9), rng.randrange(10 ** 6)])) for _ in range(900)]
+    data += [("neg", -rng.randrange(10 ** 12)) for _ in range(300)] + [("short", base)] * min(most, 40)
+    cut = scans.time_chunks(spark.createDataFrame(data, "k string, at long").repartition(5), ["k"], "at", most).collect()
+    assert len(cut) == len(data) and {r.chunk for r in cut if r.k == "short"} == {0}
+    for key in ("hot", "neg"):
+        rows = sorted((r.at, r.chunk) for r in cut if r.k == key)
+        assert [c for _, c in rows] == sorted(c for _, c in rows)
+        sizes = {}
+        for at, chunk in rows:
+            sizes.setdefault(chunk, []).append(at >> 16)
+        assert len(sizes) > 1 or len(rows) <= most
+        # Only rows of one 65 us cell may exceed the bound.
+        assert all(len(cells) <= most or len(set(cells)) == 1 for cells in sizes.values())
+        assert len(sizes) <= 5 * len(rows) / most + 5
+
+
+def test_entry_states(spark):
+    """The two-level scan gives each chunk what all earlier chunks leave, for any length of runs."""
+    rows = [(k, c, [c, c % 3]) for k, n in (("a", 23), ("b", 1), ("c", 9)) for c in range(n)]
+    local = spark.createDataFrame(rows, "k string, chunk long, state array<long>").repartition(4)
+    for fan in (1, 2, 5, 100):
+        got = scans.entry_states(local, ["k"], "state", lambda carried, own: (carried or []) + own, fan).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.entry or []) == [v for c in range(r.chunk) for v in (c, c % 3)]
+
+
+def test_carries_over_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(scans, "FAN", 3)
+    rng = random.Random(8)
+    rows = spark.createDataFrame([("a", i, rng.randint(-5, 5), rng.choice([None, None, i])) for i in range(200)], "k string, seq long, v long, mark long")
+    cut = scans.with_chunk(rows, "seq", 4)
+    whole = Window.partitionBy("k").orderBy("seq")
+    running = whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for got, wanted in [(scans.split_running_sum(cut, ["k"], ["seq"], "v", "x"), F.sum("v").over(running)),
+                        (scans.split_running_max(cut, ["k"], ["seq"], "v", "x"), F.max("v").over(running)),
+                        (scans.split_row_number(cut, ["k"], ["seq"], "x"), F.row_number().over(whole).cast("long")),
+                        (scans.split_last(cut, ["k"], ["seq"], "mark", "x"), F.last("mark", ignorenulls=True).over(running))]:
+        same(got.withColumn("y", wanted), "x", "y")
+
+
+def test_track_numbers(spark):
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(rng.choice([1, 2, 70_000]), rng.randint(0, 1), rng.randrange(10 ** 8), i) for i in range(400)], "tid long, kind int, at long, n long")
+    got = scans.track_numbers(rows, "at", ["at", "n"], "x", 20)
+    same(got.withColumn("y", F.row_number().over(Window.orderBy("tid", "kind", "at", "n")).cast("long")), "x", "y")
