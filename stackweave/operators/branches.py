@@ -122,46 +122,47 @@ def thread_positions(branches: DataFrame, chunk_rows: int = scans.CHUNK_ROWS) ->
 
 # ---- losses ------------------------------------------------------------------------------
 
-def losses_by_chunk(positioned: DataFrame, losses: DataFrame) -> DataFrame:
+def losses_by_chunk(positioned: DataFrame, losses: DataFrame, most: int = scans.CHUNK_ROWS) -> DataFrame:
     """The chunk in which each loss takes effect; losses of threads without rows drop out.
 
     `positioned` comes from `thread_positions`; only tid, chunk, lastChunk and time are read.
 
-    A loss is applied before the first row such that some row up to it has a later time. The
-    running maximum over chunk maxima finds that chunk; a loss after all rows goes to the last.
+    A loss is applied before the first row such that some row up to it has a later time. The running maximum over chunk
+    maxima gives each chunk a mark; marks and losses are merged backwards in time by common splitters, so that the losses of
+    one thread spread over tasks. After a thread's last row a second loss changes nothing more: only the first is given.
     """
     peaks = positioned.groupBy("tid", "chunk").agg(F.max("time").alias("peak"),
                                                  F.max("lastChunk").alias("lastChunk"))
-    forward = Window.partitionBy("tid").orderBy("chunk").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    marks = peaks.select("tid", F.max("peak").over(forward).alias("at"), F.lit(0).alias("isLoss"),
-                         "chunk", "lastChunk", F.lit(None).cast("long").alias("lossCpu"))
+    marks = scans.carried_max(peaks, ["tid"], "peak", "at").select(
+        "tid", "at", F.lit(0).alias("isLoss"), F.col("chunk").alias("mark"), F.lit(None).cast("long").alias("lossCpu"))
     events = marks.unionByName(losses.select(
         "tid", F.col("time").alias("at"), F.lit(1).alias("isLoss"),
-        F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("long").alias("lastChunk"),
-        F.col("cpu").alias("lossCpu")))
-    backward = (Window.partitionBy("tid")
-                .orderBy(F.desc("at"), F.desc("isLoss"), F.desc("chunk"))
-                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    thread = Window.partitionBy("tid")
-    return (events
-            .withColumn("end", F.max("lastChunk").over(thread))
-            .withColumn("target", F.coalesce(F.last("chunk", ignorenulls=True).over(backward), "end"))
-            .filter((F.col("isLoss") == 1) & F.col("target").isNotNull())
-            .select("tid", F.col("target").alias("chunk"), F.col("end").alias("lastChunk"),
-                    F.col("at").alias("lossTime"), "lossCpu"))
+        F.lit(None).cast("long").alias("mark"), F.col("cpu").alias("lossCpu"))).withColumn("back", -F.col("at"))
+    cut = scans.time_chunks(events, ["tid"], "back", most)
+    found = scans.split_last(cut, ["tid"], ["back", -F.col("isLoss"), -F.col("mark")], "mark", "target").filter("isLoss = 1")
+    inside = found.filter("target is not null").select("tid", F.col("target").alias("chunk"), F.col("at").alias("lossTime"), "lossCpu")
+    trailing = (found.filter("target is null").groupBy("tid").agg(F.min(F.struct(F.col("at").alias("lossTime"), "lossCpu")).alias("l"))
+                .select("tid", F.lit(None).cast("long").alias("chunk"), "l.lossTime", "l.lossCpu"))
+    ends = peaks.groupBy("tid").agg(F.max("lastChunk").alias("lastChunk"))
+    return (inside.unionByName(trailing).join(ends, "tid")
+            .select("tid", F.coalesce("chunk", "lastChunk").alias("chunk"), "lastChunk", "lossTime", "lossCpu"))
 
 
 def assign_loss_epoch(branches: DataFrame, losses: DataFrame,
                       chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:
-    """Add `epoch`: how many of the thread's losses were applied before the row."""
+    """Add `epoch`: how many of the thread's losses were applied before the row.
+
+    A row's place among the losses is its latest time so far. Rows and losses are cut by common splitters, counted from
+    both tables' times, and merged chunk by chunk. (Rows behind one bogus late time share their place, so they stay together.)
+    """
     rows = scans.split_running_max(thread_positions(branches, chunk_rows), ["tid"], ["position"],
-                                   "time", "reached")
-    placed = losses_by_chunk(rows, losses).select(
-        "tid", "chunk", F.col("lossTime").alias("reached"), F.lit(1).alias("isLoss"))
-    merged = rows.withColumn("isLoss", F.lit(0)).unionByName(placed, allowMissingColumns=True)
-    counted = scans.split_running_sum(merged, ["tid"], ["reached", "isLoss", "position"], "isLoss", "epoch")
-    return counted.filter(F.col("isLoss") == 0).drop("isLoss", "reached", "chunk", "lastChunk", "position")
+                                   "time", "reached").drop("chunk", "lastChunk")
+    merged = rows.withColumn("isLoss", F.lit(0)).unionByName(losses.select(
+        "tid", F.col("time").alias("reached"), F.lit(1).alias("isLoss")), allowMissingColumns=True)
+    splitters = scans.time_splitters(branches.select("tid", "time").unionByName(losses.select("tid", "time")), ["tid"], "time", chunk_rows)
+    cut = scans.time_chunks(merged, ["tid"], "reached", chunk_rows, splitters)
+    counted = scans.split_running_sum(cut, ["tid"], ["reached", "isLoss", "position"], "isLoss", "epoch")
+    return counted.filter(F.col("isLoss") == 0).drop("isLoss", "reached", "chunk", "chunks", "position")
 
 
 # ---- trace clips -------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,22 +17,39 @@ GRAIN_BITS = 16
 
 # ---- frames per wanted symbol --------------------------------------------------------------
 
-def symbol_matches(locations: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(locationSymbol, symbol) for each wanted symbol that a location symbol matches.
+def symbol_matches(locations: DataFrame, wanted: DataFrame, most: int = 1 << 16, spread: int = 64) -> DataFrame:
+    """(locationSymbol, symbol) for each wanted symbol that a location symbol matches: `main` exactly, others as a substring.
 
-    Substring matching as an equi join: each distinct location symbol is cut into its pieces of
-    the lengths that occur among the wanted symbols, so no symbol is compared with all others.
+    The wanted symbols are compiled into automata of at most about `most` symbols each, and every distinct location
+    symbol runs once through each automaton: the cost is linear in its length, whatever the number and lengths of the wanted ones.
+    Location symbols are spread over `spread` groups per automaton by their hash.
     """
-    wanted = wanted.select("symbol").distinct()
-    lengths = wanted.agg(F.collect_set(F.length("symbol"))).scalar()
-    names = (locations.filter(~X.is_empty("symbol")).select(F.col("symbol").alias("locationSymbol"))
-             .distinct().withColumn("lengths", lengths))
-    name = F.col("locationSymbol")
-    fitting = F.filter("lengths", lambda size: size <= F.length(name))
-    pieces = F.flatten(F.transform(fitting, lambda size: F.transform(
-        F.sequence(F.lit(1), F.length(name) - size + 1), lambda at: name.substr(at, size))))
-    return (names.select("locationSymbol", F.explode(F.array_distinct(pieces)).alias("symbol"))
-            .join(wanted, "symbol").filter(X.symbol_match("locationSymbol", "symbol")))
+    wanted = wanted.select("symbol").filter(F.col("symbol").isNotNull()).distinct()
+    parts = wanted.agg(F.greatest(F.ceil(F.count(F.lit(1)) / most), F.lit(1)).cast("int")).scalar()
+    keys = ["part", "salt"]
+    names = (locations.filter(~X.is_empty("symbol")).select(F.col("symbol").alias("locationSymbol")).distinct()
+             .withColumn("parts", parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .withColumn("salt", F.pmod(F.hash("locationSymbol"), F.lit(spread))).drop("parts"))
+    dealt = (wanted.withColumn("parts", parts).withColumn("part", F.pmod(F.hash("symbol"), F.col("parts")))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).drop("parts"))
+
+    def matches(names: pa.Table, symbols: pa.Table) -> pa.Table:
+        automaton, always, exact = ahocorasick.Automaton(), [], False
+        for symbol in symbols.column("symbol").to_pylist():
+            if symbol == "main":
+                exact = True
+            elif symbol == "":
+                always.append(symbol)
+            else:
+                automaton.add_word(symbol, symbol)
+        automaton.make_automaton()
+        rows = []
+        for name in names.column("locationSymbol").to_pylist():
+            found = {symbol for _, symbol in automaton.iter(name)} if len(automaton) else set()
+            rows += [(name, symbol) for symbol in [*found, *always, *(["main"] if exact and name == "main" else [])]]
+        return pa.table({"locationSymbol": pa.array([r[0] for r in rows], pa.string()), "symbol": pa.array([r[1] for r in rows], pa.string())})
+
+    return names.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(matches, "locationSymbol string, symbol string")
 
 
 def frames_by_symbol(frames: DataFrame, locations: DataFrame, wanted: DataFrame) -> DataFrame:

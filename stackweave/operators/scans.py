@@ -169,6 +169,12 @@ def carried_sum(summary: DataFrame, keys: list[str], value: str, out: str, fan:
     return summary.join(carry, [*keys, "chunk"])
 
 
+def carried_max(summary: DataFrame, keys: list[str], value: str, out: str, fan: int = FAN) -> DataFrame:
+    """Add `out`: the greatest `value` of the key up to and including each chunk, to a table of one row per chunk."""
+    carry = _carry(summary, keys, value, _later, F.max, F.max, fan)
+    return summary.join(carry, [*keys, "chunk"]).withColumn(out, _later(F.col("__carry"), F.col(value))).drop("__carry")
+
+
 def _plus(first: Column, second: Column) -> Column:
     return F.coalesce(first, F.lit(0)) + F.coalesce(second, F.lit(0))
 

@@ -122,8 +122,13 @@ def test_overlaps(spark, same_thread, deep):
                           for p in frames if p[0] == a for c in frames if c[0] == b) for a, b in pairs}
     assert {(r.parent, r.child): r.overlaps for r in got.collect()} == wanted
 
-def test_symbol_pieces(spark):
-    locations = spark.createDataFrame([("main",), ("main_loop",), ("xleafx",), ("leaf",), (None,)], "symbol string")
-    wanted = spark.createDataFrame([("main",), ("leaf",), ("none",)], "symbol string")
-    got = sorted(tuple(r) for r in P.symbol_matches(locations, wanted).select("locationSymbol", "symbol").collect())
-    assert got == [("leaf", "leaf"), ("main", "main"), ("xleafx", "leaf")]
+def test_symbol_automata(spark):
+    rng = random.Random(2)
+    names = ["main", "main_loop", "xleafx", "leaf", "", None, "é漢é"] + ["".join(rng.choice("abé") for _ in range(rng.randint(1, 12))) for _ in range(120)]
+    symbols = ["main", "leaf", "none", "", "漢", None] + ["".join(rng.choice("abé") for _ in range(rng.randint(1, 4))) for _ in range(40)]
+    locations = spark.createDataFrame([(n,) for n in names], "symbol string")
+    wanted = spark.createDataFrame([(s,) for s in symbols], "symbol string")
+    expected = {(n, s) for n in names if n for s in symbols if s is not None and (n == s if s == "main" else s in n)}
+    for most in (1 << 16, 7):
+        got = [tuple(r) for r in P.symbol_matches(locations, wanted, most, 5).select("locationSymbol", "symbol").collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
