@@ -93,12 +93,45 @@ REPORT_COLUMNS = [
     "distinctWithDso", "distinctWithSymbol", "distinctWithSourceLine"]
 
 
+def quality_reports(variants: DataFrame, branches: DataFrame, locations: DataFrame) -> DataFrame:
+    """The 16 measures of every (variant, path), one row each; `branches` carry their `variant`.
+
+    One scan of the branches: each row is counted as an endpoint twice and once for its file, and one tagged aggregate
+    over (variant, address, location) feeds all measures. It is combined before the shuffle, since branch rows repeat few
+    code addresses, and joined with the dimension afterwards.
+    """
+    address = "decimal(20,0)"
+    ends = F.array(
+        F.struct(F.lit(True).alias("isEnd"), F.col("ip").cast(address).alias("address"), F.col("ipLocationId").cast("long").alias("locationId")),
+        F.struct(F.lit(True).alias("isEnd"), F.col("addr").cast(address).alias("address"), F.col("addressLocationId").cast("long").alias("locationId")),
+        F.struct(F.lit(False).alias("isEnd"), F.col("pid").cast(address).alias("address"), F.col("tid").cast("long").alias("locationId")))
+    counted = (branches.select("variant", F.inline(ends)).filter("not isEnd or address <> 0")
+               .groupBy("variant", "isEnd", "address", "locationId").agg(F.count(F.lit(1)).alias("rows")))
+    graded = join_endpoint_quality(counted, locations)
+    is_end = F.col("isEnd")
+
+    def rows_of(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(is_end & condition, F.col("rows"))), F.lit(0))
+
+    measures = {
+        "branchRows": F.coalesce(F.sum(F.when(~is_end, F.col("rows"))), F.lit(0)),
+        "branchFiles": F.count_if(~is_end),  # one file holds one (pid, tid)
+        "addressEndpoints": rows_of(F.lit(True)), "endpointsWithLocationId": rows_of(F.col("locationId") != 0),
+        "endpointsWithDso": rows_of(_has(S.HAS_DSO)), "endpointsWithSymbol": rows_of(_has(S.HAS_SYMBOL)),
+        "endpointsWithSourceLine": rows_of(_has(S.HAS_SOURCE_LINE)), "locationIdsMissing": rows_of(F.col("isMissing"))}
+    per_address = graded.groupBy("variant", "isEnd", "address").agg(F.bit_or("quality").alias("quality"), *[v.alias(k) for k, v in measures.items()])
+    per_variant = per_address.groupBy("variant").agg(
+        *[F.sum(k).alias(k) for k in measures], F.count_if(is_end).alias("distinctAddresses"),
+        *[F.count_if(is_end & _has(bit)).alias(f"distinctWith{name}") for bit, name in (
+            (S.HAS_DSO, "Dso"), (S.HAS_SYMBOL, "Symbol"), (S.HAS_SOURCE_LINE, "SourceLine"))])
+    found = variants.select("variant", "path").join(per_variant, "variant", "left").crossJoin(source_stats(locations))  # one row
+    return found.select("variant", "path", *[F.coalesce(c, F.lit(0)).alias(c) for c in REPORT_COLUMNS[2:]])
+
+
 def quality_report(variant: str, path: str, branches: DataFrame, locations: DataFrame) -> DataFrame:
-    """The 16 measures of one variant as one row (one-row aggregates side by side)."""
-    parts = [source_stats(locations), branch_files(branches),
-             branch_endpoint_stats(branches, locations), distinct_address_quality(branches, locations)]
-    row = reduce(lambda left, right: left.crossJoin(right), parts)
-    return row.withColumns({"variant": F.lit(variant), "path": F.lit(path)}).select(*REPORT_COLUMNS)
+    """The 16 measures of one variant as one row."""
+    variants = branches.sparkSession.createDataFrame([(variant, path)], "variant string, path string")
+    return quality_reports(variants, branches.withColumn("variant", F.lit(variant)), locations)
 
 
 def with_percentages(report: DataFrame) -> DataFrame:

@@ -147,15 +147,14 @@ def aux_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiler samples: one per `view` event, main and one or two functions of the thread."""
+    """Profiler samples: one per event, main and one or two functions of the thread."""
     count = location_count(spark, sf_dir)
     first = _symbol(_group((F.col("tid") * 8 + F.col("k") % 40) % count))
     second = _symbol(_group((F.col("tid") * 8 + (F.col("k") * 3) % 40) % count))
     stack = F.col("stack")
     named = F.filter(stack, lambda s: s.isNotNull())
-    views = events(spark, sf_dir).filter(F.col("event_type") == "view").withColumn(
-        "stack", F.array(F.lit("main"), first, second)).withColumn("stack", named)
-    return views.select(
+    samples = events(spark, sf_dir).withColumn("stack", F.array(F.lit("main"), first, second)).withColumn("stack", named)
+    return samples.select(
         F.col("seq").alias("sampleId"), "tid", "time", F.hex(F.col("k")).alias("ip"),
         F.filter(stack, lambda s, i: (i == 0) | (s != F.get(stack, i - 1))).alias("symbols"),
     )
@@ -219,23 +218,22 @@ def stage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiler text: one block per event, leaf first; only `view` blocks are cpu-clock samples."""
+    """Profiler text: two blocks per event, leaf first: a cpu-clock sample, and one of another event, which is not read."""
     count = location_count(spark, sf_dir)
     first = _symbol(_group((F.col("tid") * 8 + F.col("k") % 40) % count))
     second = _symbol(_group((F.col("tid") * 8 + (F.col("k") * 3) % 40) % count))
-    event = F.when(F.col("event_type") == "view", F.lit("cpu-clock:u:")).otherwise(F.lit("cycles:"))
     micros = whole(F.col("time"), 1000)
     stamp = F.concat((whole(micros, 1_000_000)).cast("string"), F.lit("."),
                      F.lpad((micros % 1_000_000).cast("string"), 6, "0"), F.lit(":"))
-    header = F.concat(F.lit("app "), F.col("tid").cast("string"), F.lit(" "), stamp, F.lit(" 250000 "), event)
+    header = F.concat(F.lit("app "), F.col("tid").cast("string"), F.lit(" "), stamp, F.lit(" 250000 "))
 
     def line(symbol: Column) -> Column:
         return F.concat(F.lit("\n    "), F.lower(F.hex(F.col("seq") + 4096)), F.lit(" "),
                         F.coalesce(symbol, F.lit("[unknown]")), F.lit("+0x1f (/lib/app)"))
 
-    return events(spark, sf_dir).select(
-        "seq", F.concat(header, line(second), line(first), line(first), line(F.lit("main")),
-                        line(F.lit("_start"))).alias("value"))
+    stack = F.concat(line(second), line(first), line(first), line(F.lit("main")), line(F.lit("_start")))
+    return events(spark, sf_dir).select("seq", F.explode(F.array(
+        F.concat(header, F.lit("cpu-clock:u:"), stack), F.concat(header, F.lit("cycles:"), stack))).alias("value"))
 
 
 def line_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,7 +216,7 @@ SELECT seq AS sampleId, tid, time, list_filter(s, lambda x, i: i = 1 OR x <> s[i
   SELECT *, list_filter(['main', CASE WHEN a % 7 = 0 THEN 'main' WHEN a % 7 <> 6 THEN 'fn' || a END,
                          CASE WHEN b % 7 = 0 THEN 'main' WHEN b % 7 <> 6 THEN 'fn' || b END], lambda x: x IS NOT NULL) AS s FROM (
     SELECT ev.*, ((tid * 8 + k % 40) % n) // 4 AS a, ((tid * 8 + (k * 3) % 40) % n) // 4 AS b
-    FROM ev, (SELECT count(*) AS n FROM part) WHERE event_type = 'view'))"""),
+    FROM ev, (SELECT count(*) AS n FROM part)))"""),
     "want": (("stk",), "SELECT DISTINCT unnest(symbols) AS symbol FROM stk"),
     "matches": (("want", "loc"), """
 SELECT DISTINCT loc.symbol AS locationSymbol, want.symbol FROM loc, want
@@ -374,11 +374,11 @@ def oracle() -> dict[str, str]:
     o["parse_sampled_stacks"] = sql("""
 SELECT time, array_to_string(list_reverse(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1])), '>') AS fullStack,
        array_to_string(list_reverse(list_filter(w, lambda x, i: i = 1 OR x <> w[i - 1])), '>') AS stack
-FROM (SELECT *, list_filter(l, lambda x: x IN ('main', 'fn1', 'fn2', 'fn3', 'fn8', 'fn9')) AS w FROM (
+FROM (SELECT *, list_filter(l, lambda x: x = 'main' OR TRY_CAST(substr(x, 3) AS INTEGER) % 2 = 0) AS w FROM (
   SELECT time, [CASE WHEN b % 7 = 0 THEN 'main' WHEN b % 7 <> 6 THEN 'fn' || b ELSE '[unknown]' END,
                 CASE WHEN a % 7 = 0 THEN 'main' WHEN a % 7 <> 6 THEN 'fn' || a ELSE '[unknown]' END, 'main', '_start'] AS l
   FROM (SELECT ev.*, ((tid * 8 + k % 40) % n) // 4 AS a, ((tid * 8 + (k * 3) % 40) % n) // 4 AS b
-        FROM ev, (SELECT count(*) AS n FROM part) WHERE event_type = 'view')))""", "ev")
+        FROM ev, (SELECT count(*) AS n FROM part))))""", "ev")
     o["read_metric_snapshots"] = sql("""
 SELECT seq, seq + 1 AS totalEvents, value AS currentRate, CASE WHEN longForm THEN 1704067200000000000 ELSE -1 END AS firstNs,
   CASE WHEN longForm THEN time ELSE -1 END AS lastNs, CAST(1 AS BIGINT) AS files, file, seq AS flushed, status, CASE WHEN longForm THEN event_type END AS stage,
@@ -434,8 +434,7 @@ SELECT f.frameId, n.name, n.function, n.file, n.line FROM fr f JOIN (
     d.symbol AS function, d.sourceFileName AS file, CASE WHEN coalesce(d.symbol, d.sourceFileName) IS NOT NULL THEN nullif(CAST(d.sourceLineNumber AS BIGINT), 0) END AS line
   FROM (SELECT DISTINCT locationId FROM fr) l LEFT JOIN disp d ON d.id = l.locationId LEFT JOIN fall b ON b.locationId = l.locationId) n USING (locationId)""", "fr", "disp", "fall")
     o["join_thread_info"] = sql("""
-SELECT f.frameId, CASE WHEN l.tid IS NULL THEN 0 ELSE i.pid END AS pid, CASE WHEN l.tid IS NULL THEN 'Thread ' || f.tid ELSE i.threadName END AS threadName
-FROM fr f JOIN info i USING (tid) LEFT JOIN (SELECT DISTINCT tid FROM loss) l USING (tid)""", "fr", "info", "loss")
+SELECT f.frameId, coalesce(i.pid, 0) AS pid, coalesce(i.threadName, 'Thread ' || f.tid) AS threadName FROM fr f LEFT JOIN info i USING (tid)""", "fr", "info")
     o["resolve_symbol_asof"] = sql("""
 SELECT k.lookupId, s.name FROM (SELECT l_orderkey * 8 + l_linenumber AS lookupId, '/lib/d' || (l_suppkey % 3) AS dso, l_partkey * 97 + l_linenumber AS address FROM lineitem) k
 ASOF LEFT JOIN symtab s ON s.dso = k.dso AND s.address <= k.address""", "symtab")
@@ -530,7 +529,7 @@ SELECT file, max(us) AS lastActivity, split_part(file, '/', 1) AS pidPart, split
 FROM snaps GROUP BY file ORDER BY 2 DESC, 1 LIMIT 16""", "snaps")
     o["first_frames_per_symbol"] = sql("SELECT * FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY startTime, frameId) AS rank, frameId FROM fbs) WHERE rank <= 12", "fbs")
     # set operations
-    o["union_variants"] = sql(" UNION ALL ".join(_report(t, "/traces/error/" if t == "error" else f"/traces/{t}", f" WHERE event_type = '{t}'") for t in ("click", "view", "error")), "epq")
+    o["union_variants"] = sql(" UNION ALL ".join(_report(t, "/traces/error/" if t == "error" else f"/traces/{t}", f" WHERE event_type = '{t}'") for t in ("click", "view", "error", "purchase", "signup")), "epq")
     # scalars
     o["utf8_or_null"] = sql("SELECT id, nullif(buildId, '') AS text FROM loc", "loc")
     o["display_name"] = sql("SELECT id, display AS name FROM disp", "disp")

@@ -100,7 +100,8 @@ def parse_sampled_stacks(spark, d):
     path = shared_folder(spark)
     D.sampled_text(spark, d).select("value").write.option("lineSep", "\n\n").text(path)
     records = readers.sampled_stack_records(spark, path)
-    return readers.parse_sampled_stacks(records, ["main", "fn1", "fn2", "fn3", "fn8", "fn9"]).select(
+    wanted = D.locations(spark, d).filter((F.col("id") - 1) % 8 < 4).select("symbol")  # of every other function
+    return readers.parse_sampled_stacks(records, wanted).select(
         "time", F.array_join("fullSymbols", ">").alias("fullStack"), F.array_join("symbols", ">").alias("stack"))
 
 
@@ -345,10 +346,8 @@ def join_frame_names(spark, d):
 
 @query
 def join_thread_info(spark, d):
-    """Frames against the info of the threads that lost data; the others take defaults."""
     t = trace(spark, d)
-    info = E.thread_info(t.branches.join(t.losses.select("tid").distinct(), "tid", "left_semi"))
-    return E.join_thread_info(t.frames, info).select("frameId", "pid", "threadName")
+    return E.join_thread_info(t.frames, E.thread_info(t.branches)).select("frameId", "pid", "threadName")
 
 
 @query
@@ -691,13 +690,12 @@ def first_frames_per_symbol(spark, d):
 
 @query
 def union_variants(spark, d):
-    """One report per event type of the same trace."""
+    """One report row per event type of the table, as if each were a directory."""
     t = trace(spark, d)
-    reports = []
-    for argument in ("click=/traces/click", "view:/traces/view", "/traces/error/"):
-        label, path = Q.parse_variant(argument)
-        reports.append(Q.quality_report(label, path, t.branches.filter(F.col("event_type") == label), t.locations))
-    return Q.union_variants(reports)
+    label = F.col("event_type").alias("variant")
+    path = F.concat(F.lit("/traces/"), "event_type", F.when(F.col("event_type") == "error", "/").otherwise("")).alias("path")
+    variants = D.table(spark, d, "events").select(label, path).distinct()
+    return Q.quality_reports(variants, t.branches.withColumn("variant", F.col("event_type")), t.locations)
 
 
 @query

@@ -185,11 +185,11 @@ def _collapse(symbols: Column) -> Column:
     return F.filter(symbols, lambda s, i: (i == 0) | (s != F.get(symbols, i - 1)))
 
 
-def parse_sampled_stacks(records: DataFrame, wanted: list[str]) -> DataFrame:
+def parse_sampled_stacks(records: DataFrame, wanted: DataFrame) -> DataFrame:
     """Blocks of profiler text to one row per sample: time, ip, all symbols and wanted ones, root first.
 
     A header line is not indented; only `cpu-clock` headers count. Indented lines are
-    `<hex> <symbol>[+offset]`, leaf first. Repeats collapse; samples without wanted symbols drop.
+    `<hex> <symbol>[+offset]`, leaf first. Repeats collapse; samples without wanted symbols (the table's `symbol`) drop.
     """
     blocks = F.explode(F.split("value", r"\n[ \t\r]*\n"))
     # A sample starts at each header; lines before the first header of a block belong to none.
@@ -221,8 +221,11 @@ def parse_sampled_stacks(records: DataFrame, wanted: list[str]) -> DataFrame:
                      F.when(F.size(named) > 0, header_ip).alias("ip"),
                      F.concat(F.array(F.when(F.size(named) > 0, header_symbol)),
                               F.transform(F.slice(lines, 2, F.size(lines)), line_symbol)).alias("raw")))
-    compact = found.withColumn("raw", F.array_compact("raw"))
-    keep = F.filter("raw", lambda s: s.isin(*wanted))
-    return (compact.withColumn("symbols", F.reverse(_collapse(keep)))
-            .withColumn("fullSymbols", F.reverse(_collapse(F.col("raw"))))
-            .filter(F.size("symbols") > 0).select("time", "ip", "fullSymbols", "symbols"))
+    known = wanted.select("symbol").filter("symbol is not null").distinct().withColumn("isWanted", F.lit(True))
+    lines = (found.withColumn("sample", F.monotonically_increasing_id())
+             .select("sample", "time", "ip", F.posexplode(F.array_compact("raw")).alias("place", "symbol")).join(known, "symbol", "left"))
+    stack = F.array_sort(F.collect_list(F.struct("place", "symbol", "isWanted")))
+    kept = lines.groupBy("sample").agg(F.first("time").alias("time"), F.first("ip").alias("ip"), stack.alias("stack"))
+    raw, keep = F.col("stack.symbol"), F.filter("stack", lambda s: s["isWanted"].isNotNull())["symbol"]
+    return (kept.withColumn("raw", raw).withColumn("keep", keep).filter(F.size("keep") > 0)
+            .select("time", "ip", F.reverse(_collapse(F.col("raw"))).alias("fullSymbols"), F.reverse(_collapse(F.col("keep"))).alias("symbols")))

@@ -72,7 +72,7 @@ def test_sampled_stack_text(spark, tmp_path):
             "app 1 13.0: 1 cpu-clock:\n\t4010 other+0x1 (/a)\n"
             "app 1 14.1234567891: 1 cpu-clock:\n\tzz main+0x1 (/a)\n\t4010 main (/a)\n")
     (tmp_path / "s.txt").write_text(text)
-    rows = readers.parse_sampled_stacks(readers.sampled_stack_records(spark, str(tmp_path / "s.txt")), ["main", "leaf"])
+    rows = readers.parse_sampled_stacks(readers.sampled_stack_records(spark, str(tmp_path / "s.txt")), spark.createDataFrame([("main",), ("leaf",)], "symbol string"))
     got = [(r.time, r.ip, r.fullSymbols, r.symbols) for r in rows.orderBy("time").collect()]
     assert got == [(10_500_000_000, None, ["main", "mid", "leaf"], ["main", "leaf"]),
                    (11_000_000_001, "40f0", ["leaf"], ["leaf"]),
