@@ -389,8 +389,12 @@ SELECT seq, seq + 1 AS totalEvents, value AS currentRate, CASE WHEN longForm THE
     o["write_source_locations"] = sql("""
 SELECT id, relativeAddress, sym AS symbol, CAST(CASE WHEN buildId <> '' THEN 2 WHEN dso <> '' THEN 1 ELSE 0 END AS BIGINT) AS keyStrength FROM dim""", "dim")
     o["write_trace_events"] = sql(f"SELECT event, count(*) AS events, coalesce(min(timestamp), -1) AS first, coalesce(max(timestamp), -1) AS last FROM ({_EXPORT}) GROUP BY event", *_EXPORT_NEEDS)
-    o["write_quality_csv"] = sql("""
-SELECT 'a,"b"' AS variant, (SELECT count(*) FROM q) AS source_locs, (SELECT count(*) FROM br) AS branch_rows, (SELECT count(*) FROM epq) AS address_endpoints""", "epq")
+    o["write_quality_csv"] = sql(f"""
+SELECT variant, path, sourceLocs AS source_locs, sourceWithDso AS source_with_dso, sourceWithSymbol AS source_with_symbol, sourceWithSourceLine AS source_with_source_line,
+  branchFiles AS branch_files, branchRows AS branch_rows, addressEndpoints AS address_endpoints, endpointsWithLocationId AS endpoints_with_location_id,
+  endpointsWithDso AS endpoints_with_dso, endpointsWithSymbol AS endpoints_with_symbol, endpointsWithSourceLine AS endpoints_with_source_line,
+  locationIdsMissing AS location_ids_missing_from_source_table, distinctAddresses AS distinct_addresses, distinctWithDso AS distinct_with_dso,
+  distinctWithSymbol AS distinct_with_symbol, distinctWithSourceLine AS distinct_with_source_line FROM ({_report('a,"b"', '/traces/a,"b"')})""", "epq")
     o["write_quality_markdown"] = sql(f"""
 SELECT '| Variant | Source locs | Source lines | Source line % | Branch rows | Address endpoints | Endpoint symbols | Symbol % | Endpoint source lines | Source line % | Distinct addresses | Distinct symbols | Distinct source lines |' AS value
 UNION ALL SELECT '|---|---:|---:|---:|---:|---:|---:|---:|---:|---:|---:|---:|---:|'

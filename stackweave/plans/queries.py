@@ -187,10 +187,8 @@ def _report(spark, d, variant="all"):
 def write_quality_csv(spark, d):
     root = shared_folder(spark)
     sinks.write_quality_csv(_report(spark, d, 'a,"b"'), f"{root}/csv")
-    return (spark.read.option("header", "true").option("escape", '"').csv(f"{root}/csv")
-            .select("variant", F.col("source_locs").cast("long").alias("source_locs"),
-                    F.col("branch_rows").cast("long").alias("branch_rows"),
-                    F.col("address_endpoints").cast("long").alias("address_endpoints")))
+    found = spark.read.option("header", "true").option("escape", '"').csv(f"{root}/csv")
+    return found.select("variant", "path", *[F.col(c).cast("long").alias(c) for c in found.columns[2:]])
 
 
 @query
