@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stackweave.llm.common import id_buckets, pieces, row_hash, stored
-from stackweave.llm.tokens import Encoder
+from stackweave.llm.tokens import encoder_of
 
 U = np.uint64
 SCALE, LANES, CHECK, BLOCK = 20, 1024, 1 << 16, 1 << 17
@@ -124,7 +124,7 @@ def raw_blocks(docs: DataFrame, path: str, end: int, rows_per_file: int, max_fil
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(arrow), pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         width = "<u2" if max(encoder.tokenizer.get_vocab(True).values(), default=0) < 1 << 16 and end < 1 << 16 else "<u4"
         file, block, start, skipped = None, 0, 0, 0
         held, docs_held, lengths, size = [], [], [], 0  # of the block that is being filled
@@ -132,7 +132,7 @@ def raw_blocks(docs: DataFrame, path: str, end: int, rows_per_file: int, max_fil
         def row(n: int, going: bool) -> pa.RecordBatch:
             """The first n held ids as a block; the rest stays held."""
             nonlocal block, start, skipped, held, docs_held, lengths, size
-            ids = np.concatenate(held)
+            ids = held[0] if len(held) == 1 else np.concatenate(held)
             ends = np.cumsum(lengths)
             last = int(np.searchsorted(ends, n))
             inside = lengths[:last] + [n - int(ends[last] - lengths[last])]

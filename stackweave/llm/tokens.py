@@ -2,8 +2,10 @@
 
 A byte-level BPE tokenizer first cuts a text into pieces and then encodes each piece by itself, and most
 pieces of a corpus are repeats. Pieces are therefore cut for a whole run of texts on its UTF-8 bytes, hashed, and each
-distinct piece is encoded by the tokenizers library once per task (a bounded memo keeps the ids). Which code
-points are letters, numbers, spaces or others is asked from the library. Texts that hold an added token's string, or
+distinct piece is encoded by the tokenizers library once (a bounded memo keeps the ids). Which code
+points are letters, numbers, spaces or others is asked from the library. Pieces of equal hash are compared byte by byte, and
+the memo's keys are the pieces themselves, so ids never rest on a hash. A worker process keeps its encoder and memo
+from task to task (`encoder_of`). Texts that hold an added token's string, or
 code points beyond the table, go to the library whole; so do all texts if the tokenizer is of another kind.
 """
 
@@ -23,6 +25,28 @@ _MEMO = 500_000
 _ENDINGS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")  # fixed values: endings cut with their apostrophe
 
 
+def _unequal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, twin: np.ndarray) -> np.ndarray:
+    """Numbers of the byte ranges that differ from the range of their twin."""
+    size = ends - starts
+    odd = size != size[twin]
+    check = np.flatnonzero(~odd & (twin != np.arange(len(twin))))
+    size = size[check]
+    step = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
+    differ = data[np.repeat(starts[check], size) + step] != data[np.repeat(starts[twin[check]], size) + step]
+    odd[check[np.searchsorted(np.cumsum(size), np.flatnonzero(differ), "right")]] = True
+    return np.flatnonzero(odd)
+
+
+_ENCODERS: dict[str, "Encoder"] = {}
+
+
+def encoder_of(path: str) -> "Encoder":
+    """The encoder of this worker process: its tokenizer is loaded once, its memo outlives the task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,7 +70,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -121,15 +145,20 @@ class Encoder:
     def _pieces(self, data, starts, ends, first) -> tuple[np.ndarray, np.ndarray]:
         hashes = W.hash_bytes(data, starts, ends)
         distinct, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > _MEMO:
+        body = data.tobytes()
+        keys = [body[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())]
+        other = _unequal(data, starts, ends, sample[place])
+        if len(other):  # pieces whose hash is another piece's: each is a key of its own
+            more = [body[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist())]
+            place = place.copy()
+            place[other] = np.arange(len(keys), len(keys) + len(more))
+            keys += more
+        if len(self.known) + len(keys) > _MEMO:
             self._clear()
-        keys = distinct.tolist()
         known = self.known
-        new = [i for i, k in enumerate(keys) if k not in known]
+        new = list(dict.fromkeys(k for k in keys if k not in known))
         if new:
-            chosen = sample[new]
-            body = data.tobytes() if len(new) > 1000 else data
-            body = [bytes(body[a:b]).decode("latin-1").translate(self.letters) for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist())]
+            body = [k.decode("latin-1").translate(self.letters) for k in new]
             found = [[t.id for t in self.model.tokenize(b)] for b in body]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             base, count = len(known), int(sizes.sum())
@@ -141,7 +170,7 @@ class Encoder:
             self.size[base:base + len(new)] = sizes
             self.flat[self.used:self.used + count] = np.fromiter(chain.from_iterable(found), np.uint32, count)
             self.used += count
-            known.update(zip((keys[i] for i in new), range(base, base + len(new))))
+            known.update(zip(new, range(base, base + len(new))))
         index = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[place]
         sizes = self.size[index]
         total = np.concatenate(([0], np.cumsum(sizes)))

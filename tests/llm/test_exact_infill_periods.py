@@ -213,3 +213,17 @@ def test_planted_order():
         a = g % n
         p = 1 + (n - a) // (3 + g % 8)
         assert got.tolist() == [i if i < a else a + (i - a) % p for i in range(n)]
+
+
+# ---- ids of pieces with equal hashes ---------------------------------------------------------
+
+def test_ids_of_colliding_pieces():
+    from stackweave.llm import token_files, tokens
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate({97: 98, 98: 97})
+    encoder = tokens.Encoder(token_files.default_tokenizer())
+    for texts in ([a, b], [b], [a, "x", b, a], ["Ab 12"] * 3):
+        ids, counts = encoder.encode(pa.array(texts, pa.large_string()))
+        for text, found in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
+            assert found.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert tokens.encoder_of(token_files.default_tokenizer()) is tokens.encoder_of(token_files.default_tokenizer())
