@@ -351,82 +351,6 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, thre
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"))
 
 
-def near_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (3, 4), frequent: int = 1 << 20,
-                    pair_from: int = PAIR_FROM, triple_from: int = TRIPLE_FROM) -> DataFrame:
-    """(doc_id, row, n_shingles, set, root, component_id) of every document row; rows of one root are one component; `threshold` is a fraction, 3/4 for 0.75."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    context = docs.sparkSession.sparkContext
-    sets = stored(document_sets(docs, size))
-    table = context.broadcast(frequency_table(docs, size, frequent))
-    signed = signatures(docs, size, lambda: Signer(*table.value, threshold, pair_from, triple_from))
-    found = stored(candidates(signed, threshold))
-    first = found.filter("leader IS NOT NULL").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
-    links = verified(first, docs, sets, size, threshold)
-    roots = stored(components(links))
-    lists = found.filter("sig IS NOT NULL").select("sig", "set", "n", "pos", "role").distinct()
-    wanted = sets.join(lists.select("set").distinct(), "set").dropDuplicates(["set"]).select("set", "bits")
-    lists = stored(lists.join(wanted, "set"))
-    a, b = threshold
-    fits = (f"x_root != y_root AND least(x_n, y_n) * {b} >= {a} * greatest(x_n, y_n) AND "
-            f"(x_pos < 0 OR y_pos < 0 OR least(x_n - x_pos, y_n - y_pos) * {a + b} >= {a} * (x_n + y_n)) AND {_room(a, b)}")
-    ordered = signed.repartition("sig").sortWithinPartitions("sig", "n", "set")
-    return ordered.mapInArrow(run, "sig long, set long, n int, pos int, role byte, leader long")
-
-
-def _room(a: int, b: int) -> str:
-    """SQL: whether the parity bits of two sets leave room for the threshold."""
-    return (f"(x_n + y_n - aggregate(zip_with(x_bits, y_bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)) * {a + b} >= {2 * a} * (x_n + y_n)")
-
-
-def token_table(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """(set, tokens): the token arrays of the chosen sets, each from its first document (d, r)."""
-    count, copies = chosen.agg(F.count(F.lit(1)), F.max("copies")).first()
-    few = count <= BROADCAST_ROWS  # 24 bytes each; beyond that the texts are shuffled
-    place = chosen.select("set", "d", "r")
-    texts = docs.select("doc_id", "text", row_hash(F.col("text")).alias("row"))
-    named = texts.join(F.broadcast(place) if few else place, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("set", "text")
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], ["set", "tokens"])
-
-    found = named.mapInArrow(find, "set long, tokens binary")
-    return stored(found.dropDuplicates(["set"]) if (copies or 0) > 1 else found)
-
-
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets meet the threshold, as a stored table.
-
-    Pairs that the parity bits rule out go first; token arrays are fetched for the others only.
-    """
-    a, b = threshold
-    pairs = stored(pairs)
-    named = sets.join(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "set")
-    chosen = stored(named.groupBy("set", "doc_id", "row").agg(F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n")).groupBy("set").agg(
-        F.min_by(F.struct(F.col("doc_id").alias("d"), F.col("row").alias("r"), "copies", "bits", "n"), F.struct("doc_id", "row")).alias("one")).select("set", "one.*"))
-
-    def side(name: str, prefix: str) -> DataFrame:
-        return chosen.select(F.col("set").alias(name), *[F.col(c).alias(f"{prefix}_{c}") for c in ("bits", "n")])
-
-    pairs = stored(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(_room(a, b)).select("a", "b"))
-    left_over = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    tokens = token_table(docs, stored(chosen.join(left_over, "set", "left_semi")), size)
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("ta"), batch.column("tb")):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                joined = np.sort(np.concatenate((x, y)), kind="stable")
-                both = int((joined[1:] == joined[:-1]).sum())
-                good.append(b * both >= a * (len(joined) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    left = tokens.select(F.col("set").alias("a"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("set").alias("b"), F.col("tokens").alias("tb"))
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"))
-
-
 def near_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (3, 4), frequent: int = 1 << 20,
                     pair_from: int = PAIR_FROM, triple_from: int = TRIPLE_FROM) -> DataFrame:
     """(doc_id, row, n_shingles, set, root, component_id) of every document row; rows of one root are one component; `threshold` is a fraction, 3/4 for 0.75."""
