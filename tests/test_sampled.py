@@ -132,3 +132,26 @@ def test_symbol_automata(spark):
     for most in (1 << 16, 7):
         got = [tuple(r) for r in P.symbol_matches(locations, wanted, most, 5).select("locationSymbol", "symbol").collect()]
         assert len(got) == len(set(got)) and set(got) == expected
+
+def test_frames_of_one_instant():
+    """The sweep by itself: many frames of few start times, traces and threads."""
+    import pyarrow as pa
+    from stackweave.operators import frame_sweep as S
+    for seed in range(60):
+        rng = random.Random(seed)
+        rows = []
+        for i in range(40):
+            start = rng.randint(0, 3)
+            rows.append(dict(tid=rng.randint(1, 2), kind=rng.randint(0, 1), depth=rng.randint(0, 5), startTime=start, startTrace=rng.randint(1, 3),
+                             endTime=start + rng.randint(0, 3), endTrace=rng.randint(3, 6), frameId=i, child=rng.choice([None, "c"])))
+        def encloses_row(p, c):
+            return (p["depth"] < c["depth"] and (p["startTime"], p["startTrace"]) <= (c["startTime"], c["startTrace"])
+                    and (p["endTime"], p["endTrace"]) >= (c["endTime"], c["endTrace"]))
+        order = lambda p: (-p["depth"], p["startTime"], p["tid"], p["kind"], p["startTrace"], -p["endTime"], -p["endTrace"], p["frameId"])
+        wanted = {}
+        for c in rows:
+            up = [p for p in rows if p["child"] is None and encloses_row(p, c)]
+            if c["child"] and up:
+                wanted[c["frameId"]] = min(up, key=order)["frameId"]
+        at, found = S.parents(pa.Table.from_pylist(rows, schema=pa.schema([(n, pa.int64()) for n in S.FIELDS] + [("child", pa.string())])), [])
+        assert {rows[i]["frameId"]: p for i, p in zip(at, found)} == wanted
