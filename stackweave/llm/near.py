@@ -93,9 +93,12 @@ def repeated_tokens(docs: DataFrame, size: int) -> DataFrame:
         held, total, seen = [], 0, set()
 
         def flush():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["token", "repeats"])
+            tokens = np.concatenate(held)
+            held.clear()
+            tokens.sort()  # in place: most tokens are single, so only the repeated ones are copied
+            again = np.flatnonzero(tokens[1:] == tokens[:-1])
+            tokens, counts = np.unique(tokens[again], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array((counts + 1).astype(np.int64))], ["token", "repeats"])
 
         for _, texts in pieces(batches):
             for tokens in shingle_sets(texts, size):
@@ -360,6 +363,7 @@ def near_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     table = context.broadcast(frequency_table(docs, size, frequent))
     signed = signatures(docs, size, lambda: Signer(*table.value, threshold, pair_from, triple_from))
     found = stored(candidates(signed, threshold))
+    table.unpersist()  # the signatures are written: executors and workers need the frequencies no more
     first = found.filter("leader IS NOT NULL").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
     links = verified(first, docs, sets, size, threshold)
     roots = stored(components(links))
