@@ -25,16 +25,35 @@ _MEMO = 500_000
 _ENDINGS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")  # fixed values: endings cut with their apostrophe
 
 
-def _unequal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, twin: np.ndarray) -> np.ndarray:
-    """Numbers of the byte ranges that differ from the range of their twin."""
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of byte ranges by hash: a sample of each group, each range's group, and the ranges that differ from their sample.
+
+    A range of up to eight bytes is one number; only the bytes of longer ones are hashed and compared one by one.
+    """
     size = ends - starts
-    odd = size != size[twin]
-    check = np.flatnonzero(~odd & (twin != np.arange(len(twin))))
-    size = size[check]
-    step = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
-    differ = data[np.repeat(starts[check], size) + step] != data[np.repeat(starts[twin[check]], size) + step]
-    odd[check[np.searchsorted(np.cumsum(size), np.flatnonzero(differ), "right")]] = True
-    return np.flatnonzero(odd)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    heads = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[starts] & _MASKS[np.minimum(size, 8)]
+    hashes = W.mix(heads ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    long = np.flatnonzero(size > 8)
+    stop = np.cumsum(size[long])
+    begin = stop - size[long]
+    body = data[np.arange(int(stop[-1]) if len(long) else 0) + np.repeat(starts[long] - begin, size[long])]
+    hashes[long] = W.hash_bytes(body, begin, stop)
+    _, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
+    twin = sample[place]
+    odd = (size != size[twin]) | (heads != heads[twin])
+    check = np.flatnonzero(~odd[long] & (twin[long] != long))
+    if len(check):
+        number = np.full(len(size), -1, np.int64)
+        number[long] = np.arange(len(long))
+        length = size[long][check]
+        step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        differ = body[np.repeat(begin[check], length) + step] != body[np.repeat(begin[number[twin[long[check]]]], length) + step]
+        odd[long[check[np.searchsorted(np.cumsum(length), np.flatnonzero(differ), "right")]]] = True
+    return sample, place, np.flatnonzero(odd)
 
 
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -143,11 +162,9 @@ class Encoder:
         return np.flatnonzero(start[:-1])
 
     def _pieces(self, data, starts, ends, first) -> tuple[np.ndarray, np.ndarray]:
-        hashes = W.hash_bytes(data, starts, ends)
-        distinct, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
+        sample, place, other = _distinct(data, starts, ends)
         body = data.tobytes()
         keys = [body[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist())]
-        other = _unequal(data, starts, ends, sample[place])
         if len(other):  # pieces whose hash is another piece's: each is a key of its own
             more = [body[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist())]
             place = place.copy()
