@@ -288,11 +288,18 @@ def dense_numbers(df: DataFrame, position: str, order: Sequence[str | Column], o
             .drop("chunk", "__base"))
 
 
+def ordered_numbers(df: DataFrame, key: str, at: str, order: Sequence[str | Column], out: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """1-based number over the whole table, ordered by an integer `key`, then `order`, which begins with the integer `at`.
+
+    A key with a third of all rows is cut along `at`; the table itself is never sorted as a whole.
+    """
+    inside = split_row_number(time_chunks(df, [key], at, chunk_rows), [key], order, "__inside").drop("chunk", "chunks")
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
+    bases = prefix_totals(sizes, key, "__rows", "__base").select(key, "__base")
+    return inside.join(bases, key).withColumn(out, F.col("__base") + F.col("__inside")).drop("__base", "__inside")
+
+
 def track_numbers(df: DataFrame, at: str, order: Sequence[str | Column], out: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """1-based number over the whole table, ordered by tid, kind (0 or 1), then `order`, which begins with the time `at`."""
-    keys = ["tid", "kind"]
-    inside = split_row_number(time_chunks(df, keys, at, chunk_rows), keys, order, "__inside").drop("chunk", "chunks")
-    track = (F.col("tid") * 2 + F.col("kind")).cast("long")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).withColumn("__track", track)
-    bases = prefix_totals(sizes, "__track", "__rows", "__base").select(*keys, "__base")
-    return inside.join(bases, keys).withColumn(out, F.col("__base") + F.col("__inside")).drop("__base", "__inside")
+    """`ordered_numbers` by tid and kind (0 or 1)."""
+    track = df.withColumn("__track", (F.col("tid") * 2 + F.col("kind")).cast("long"))
+    return ordered_numbers(track, "__track", at, order, out, chunk_rows).drop("__track")

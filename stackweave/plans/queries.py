@@ -656,12 +656,12 @@ def order_frames(spark, d):
 @query
 def order_threads(spark, d):
     threads = E.thread_info(trace(spark, d).branches)
-    return _numbered(threads, F.col("pid"), F.col("tid")).select("position", "pid", "tid")
+    return scans.ordered_numbers(threads, "pid", "tid", ["tid"], "position").select("position", "pid", "tid")
 
 
 @query
 def order_losses(spark, d):
-    return _numbered(trace(spark, d).losses, F.col("tid"), F.col("time"), F.col("id")).select("position", "tid", "time", "id")
+    return scans.ordered_numbers(trace(spark, d).losses, "tid", "time", ["time", "id"], "position").select("position", "tid", "time", "id")
 
 
 def _file_rows(spark, d):
