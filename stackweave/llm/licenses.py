@@ -9,8 +9,10 @@ ordered by that frequency, rarest first, with the same order on both sides:
 * length: a text of fewer than ceil(threshold |T|) words cannot match;
 * position: so many template words must stand within a window's length of the word looked up.
 
-The SQL takes lines for blocks. Both agree where a notice stands on a line of its own, as in the given tables; the SQL
-misses notices that are wrapped, and finds templates whose words are scattered over a long line.
+Templates that differ in a word or two are rivals: the words of one would match the other. A match must then hold the
+words that no template of another label has ("affero", "bsd"), and of overlapping windows of rivals one stays: first one
+with such words, then the greater containment, then more words; ties stay. Of one template's overlapping windows the
+fullest stays, then the shortest, then the first.
 
 Survivors are verified on the words. The templates are a parameter of fixed size, so the join needs no shuffle:
 one job counts words, one scans. Besides, base phrases are found wherever their words stand consecutively.
@@ -101,6 +103,26 @@ def template_word_counts(docs: DataFrame, words: list[str]) -> dict[str, int]:
     return {words[r["word"]]: r["docs"] for r in rows}
 
 
+def _rivalry(templates: list[tuple[str, str]], percent: int) -> tuple[list[list[int]], list[set[str]]]:
+    """For each template its rivals, and the words of its own that a match must hold if it has any.
+
+    Two templates of different labels are rivals if the full words of one are enough to match the other. A template's own
+    words are those that no template of another label holds.
+    """
+    sets = [set(text.split()) for _, text in templates]
+    rivals: list[list[int]] = [[] for _ in templates]
+    required: list[set[str]] = [set() for _ in templates]
+    for k, (label, _) in enumerate(templates):
+        others = [j for j, (other, _) in enumerate(templates) if other != label]
+        for j in others:
+            both = 100 * len(sets[j] & sets[k])
+            if both >= percent * min(len(sets[j]), len(sets[k])):
+                rivals[k].append(j)
+            if both >= percent * len(sets[k]):
+                required[k] = sets[k].difference(*(sets[i] for i in others))
+    return rivals, required
+
+
 class _Index:
     """Templates in global word order, indexed by their prefixes."""
 
@@ -112,6 +134,8 @@ class _Index:
         self.sets = [set(t) for _, t in self.templates]
         self.need = [-(-percent * len(t) // 100) for _, t in self.templates]
         self.length = [len(text.split()) + len(t) - n for (_, text), (_, t), n in zip(templates, self.templates, self.need)]
+        self.rivals, self.required = _rivalry(templates, percent)
+        self.required = [{rank[w] for w in words} for words in self.required]
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for k, (_, ranks) in enumerate(self.templates):
             for position, r in enumerate(ranks[:len(ranks) - self.need[k] + 1]):
@@ -119,36 +143,45 @@ class _Index:
         self.starts = np.zeros(len(self.vocabulary), bool)
         self.starts[list(self.prefix)] = True
 
-    def match(self, at: list[int], ranks: list[int], size: int) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, containment) of matching windows of a text of `size` words that holds these template
-        words at these places, ascending; of windows that overlap, the first with most words."""
-        found: dict[int, list[tuple[int, int, float]]] = {}
+    def _windows(self, at: list[int], ranks: list[int], size: int) -> Iterator[tuple[int, int, int, int]]:
+        """(template, words held, first word, end) of every window that holds enough of a template and all that it must."""
+        seen = set()
         for here, r in zip(at, ranks):
             for k, _ in self.prefix.get(r, ()):
                 template, need, length = self.sets[k], self.need[k], self.length[k]
                 low, high = bisect_left(at, here - length + 1), bisect_right(at, here + length - 1)
                 if size < need or high - low < need:
                     continue
-                held: dict[int, int] = {}
-                first, best = low, (0, 0, 0)
-                for last in range(low, high):
-                    if ranks[last] in template:
-                        held[ranks[last]] = held.get(ranks[last], 0) + 1
-                    while at[last] - at[first] >= length:
-                        if (gone := ranks[first]) in template:
-                            held[gone] -= 1
-                            if not held[gone]:
-                                del held[gone]
-                        first += 1
-                    if len(held) > best[0]:
-                        best = (len(held), at[first], at[last] + 1)
-                if best[0] >= need:
-                    mine, window = found.setdefault(k, []), (best[1], best[2], best[0] / len(template))
-                    if mine and window[0] < mine[-1][1]:
-                        mine[-1] = max(mine[-1], window, key=lambda w: w[2])
-                    else:
-                        mine.append(window)
-        return [(k, *w) for k in sorted(found) for w in found[k]]
+                for first in range(low, bisect_right(at, here)):
+                    if ranks[first] not in template or (k, first) in seen:
+                        continue
+                    seen.add((k, first))
+                    held, end = set(), 0
+                    for i in range(first, bisect_left(at, at[first] + length)):
+                        if ranks[i] in template and ranks[i] not in held:
+                            held.add(ranks[i])
+                            end = at[i] + 1
+                    if len(held) >= need and self.required[k] <= held:
+                        yield k, len(held), at[first], end
+
+    def match(self, at: list[int], ranks: list[int], size: int) -> list[tuple[int, int, int, float]]:
+        """(template, first word, end, containment) of the windows that win, in a text of `size` words that holds these
+        template words at these places, ascending."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for k, held, first, end in self._windows(at, ranks, size):
+            found.setdefault(k, []).append((held, first, end))
+        for k, mine in found.items():  # of one template's overlapping windows the fullest, then shortest, then first
+            order = sorted(mine, key=lambda w: w[1])
+            longest = max(w[2] - w[1] for w in mine)
+            starts = [w[1] for w in order]
+            found[k] = [(h, a, e) for h, a, e in order if not any(
+                x < e and a < y and (-g, y - x, x) < (-h, e - a, a) for g, x, y in order[bisect_left(starts, a - longest):bisect_left(starts, e)])]
+
+        def rank(k: int, held: int) -> tuple[bool, float, int]:
+            return bool(self.required[k]), held / len(self.sets[k]), held
+
+        return [(k, a, e, h / len(self.sets[k])) for k in sorted(found) for h, a, e in found[k] if not any(
+            x < e and a < y and rank(j, g) > rank(k, h) for j in self.rivals[k] for g, x, y in found.get(j, ()))]
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, percent: int = 80) -> DataFrame:
@@ -202,16 +235,34 @@ def op1_license_scans(spark, folder):
     return scan_licenses(read(spark, folder, "documents")).drop("matches")
 
 
+def _sql_template(k: int, label: str, text: str, required: set[str]) -> str:
+    words = list(dict.fromkeys(text.split()))
+    need = -(-80 * len(words) // 100)
+    return f"({k}, '{label}', {words!r}, {need}, {len(text.split()) + len(words) - need}, {sorted(required)!r}::VARCHAR[])"
+
+
+_RIVALS, _REQUIRED = _rivalry(TEMPLATES, 80)
+_SQL_TEMPLATES = ", ".join(_sql_template(k, *t, _REQUIRED[k]) for k, t in enumerate(TEMPLATES))
+_SQL_RIVALS = ", ".join(f"({k}, {j})" for k, js in enumerate(_RIVALS) for j in js)
 SQL = r"""
 WITH d AS (SELECT doc_id, r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM (SELECT *, row_number() OVER () AS r FROM documents)),
 w AS (SELECT doc_id, r, body, regexp_extract_all(body, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d),
 phrases(phrase, label) AS (VALUES """ + ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items()) + r"""),
 base AS (SELECT r, i - 1 AS place, label FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM w) JOIN phrases ON words[i] = phrase[1] AND words[i:i + len(phrase) - 1] = phrase),
 based AS (SELECT r, count(*) AS n, min(place) AS low, max(place) AS high FROM base GROUP BY r),
-blocks AS (SELECT r, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS line FROM (SELECT r, unnest(string_split(body, chr(10))) AS line FROM w)),
-templates(label, words) AS (SELECT label, list_distinct(string_split(body, ' ')) FROM (VALUES """ + ", ".join(f"('{label}', '{text}')" for label, text in TEMPLATES) + r""") t(label, body)),
-near AS (SELECT r, label, len(list_intersect(line, words)) AS k, len(words) AS n FROM blocks, templates WHERE len(line) > 2 AND list_has_any(line, words)),
-matched AS (SELECT r, label, k / n AS share FROM near WHERE 100 * k >= 80 * n),
+templates(k, label, words, need, span, required) AS (VALUES """ + _SQL_TEMPLATES + r"""),
+rivals(k, j) AS (VALUES """ + _SQL_RIVALS + r"""),
+vocabulary AS (SELECT k, unnest(words) AS word FROM templates),
+spots AS (SELECT r, i - 1 AS place, words[i] AS word FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM w) WHERE words[i] IN (SELECT word FROM vocabulary)),
+tied AS (SELECT r, k, place, word FROM spots JOIN vocabulary USING (word)),
+likely AS (SELECT r, k, need, span, required FROM tied JOIN templates USING (k) GROUP BY ALL HAVING count(DISTINCT tied.word) >= need),
+firsts AS (SELECT r, k, a.place AS low, b.word, min(b.place) AS place, any_value(need) AS need, any_value(required) AS required
+           FROM likely JOIN tied a USING (r, k) JOIN tied b USING (r, k) WHERE b.place >= a.place AND b.place < a.place + span GROUP BY r, k, a.place, b.word),
+full_windows AS (SELECT r, k, low, count(*) AS held, max(place) + 1 AS high FROM firsts GROUP BY r, k, low HAVING count(*) >= any_value(need) AND list_has_all(list(word), any_value(required))),
+peaks AS (SELECT p.*, len(required) > 0 AS own, held / len(words) AS share FROM full_windows p JOIN templates USING (k) WHERE NOT EXISTS (
+          SELECT 1 FROM full_windows o WHERE o.r = p.r AND o.k = p.k AND o.low < p.high AND p.low < o.high AND (-o.held, o.high - o.low, o.low) < (-p.held, p.high - p.low, p.low))),
+matched AS (SELECT r, label, share FROM peaks p JOIN templates USING (k) WHERE NOT EXISTS (
+            SELECT 1 FROM peaks o JOIN rivals v ON v.k = p.k AND v.j = o.k WHERE o.r = p.r AND o.low < p.high AND p.low < o.high AND (o.own, o.share, o.held) > (p.own, p.share, p.held))),
 marked AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION SELECT r, label FROM matched) GROUP BY r),
 plain AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT r, label FROM base) GROUP BY r),
 best AS (SELECT r, max(share) AS share FROM matched GROUP BY r)
