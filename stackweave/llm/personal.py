@@ -1,11 +1,16 @@
 """Personal data: base patterns, and identifiers discovered from the contexts that base matches share.
 
-Bootstrapping: base matches are seed instances. Every seed and every other identifier-like token (five digits or
-more, outside base matches) is an instance with lexical patterns: the word before, the two words before, the word
+Seeds are base matches and values that show by their form what they are: long hexadecimal strings of digits and letters,
+mixed strings of high entropy, account numbers whose checksum holds (`shaped`). The latter are spans of kind `id`.
+
+Bootstrapping: every seed and every other identifier-like token (five digits or
+more, outside seeds) is an instance with lexical patterns: the word before, the two words before, the word
 after. Instances and patterns form a bipartite graph over all documents. Spark scores it in rounds: a pattern's
 confidence is the summed score of its distinct instances over their number plus one (patterns of fewer than
 `support` distinct known instances count nothing); an instance's score is one minus the product of what its patterns
-leave in doubt. Instances that reach `accept` are new spans of kind `id`, and known from the next round on.
+leave in doubt. Instances that reach `accept` are known from the next round on. They become
+spans of kind `id` if they reach it once more by the stricter confidence below, so that stop words, whose places hold
+all sorts of tokens, speak for nothing.
 
 Values of any form are taken from slots. For them a pattern's confidence is stricter: the scores of its known instances
 over the number of all distinct tokens in its places, identifier-like or not. In the places of patterns that reach
@@ -14,6 +19,8 @@ ends in punctuation or a line, none after the first is opened itself); with one
 with digits; else one token. Such values are spans in their slots only, as a short value means something else
 elsewhere. Both kinds are scored until a round accepts no new value and moves no score by 0.001.
 
+Neighbouring words are looked for within 200 code points of an instance; a longer word is named by the part within.
+
 Patterns with `support` known instances are collected to the driver and sent to the tasks. A task holds their distinct
 tokens only while these are few enough for `trust`, so at most in proportion to the known instances.
 
@@ -23,7 +30,7 @@ the result of their text. Joins go by document and text hash; hot patterns are r
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -41,6 +48,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9]*[0-9]\S*")
 _ANY = re.compile(r"\S+")
+_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])")
+_MIXED = re.compile(r"(?<![0-9A-Za-z_-])[0-9A-Za-z_-]{24,}(?![0-9A-Za-z_-])")
+_ACCOUNT = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
 _EDGE = " \t\n\r.,;:!?|()[]{}<>\"'"
 _BEFORE, _AFTER = re.compile(r"(\S+)\s+(\S+)\s*$|(\S+)\s*$"), re.compile(r"\s*(\S+)")
 _REACH = 200  # code points of context beside an instance in which its neighbouring words are looked for
@@ -85,6 +95,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def _entropy(value: str) -> float:
+    """Bits per character by the value's own letter counts."""
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+
+
+def shaped(text: str) -> list[tuple[int, int]]:
+    """Ascending, non-overlapping spans whose form alone says secret or account: hexadecimal of 32 and more with digits and
+    letters; 24 and more letters and digits of both cases, four digits at least and 3.5 bits a character; account numbers of
+    two letters, two check digits and 8 to 31 more whose remainder modulo 97 is 1."""
+    found = [m.span() for m in _HEX.finditer(text) if not m.group().isdigit() and any(c.isdigit() for c in m.group())]
+    for m in _MIXED.finditer(text):
+        v = m.group()
+        if v != v.lower() and v != v.upper() and sum(c.isdigit() for c in v) >= 4 and _entropy(v) >= 3.5:
+            found.append(m.span())
+    for m in _ACCOUNT.finditer(text):
+        v = m.group().replace(" ", "")
+        if int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1:
+            found.append(m.span())
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda s: (s[0], -s[1])):
+        if not out or a >= out[-1][1]:
+            out.append((a, b))
+    return out
+
+
+def _forms(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """Shaped spans outside base matches."""
+    return [(a, b) for a, b in shaped(text) if not any(x <= a and b <= y for _, x, y in base)]
+
+
 def _patterns(text: str, start: int, end: int) -> list[str]:
     m = _BEFORE.search(text[max(0, start - _REACH):start])
     words = [w for w in m.groups() if w] if m else []
@@ -99,20 +139,22 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, bool, int, int, list[str]]]:
-    """(value, is seed, start, end, patterns) of base matches and identifier-like tokens."""
-    out = [(text[a:b], True, a, b, _patterns(text, a, b)) for _, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
+def instances(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, bool, bool, int, int, list[str]]]:
+    """(value, is seed, is shaped, start, end, patterns) of base matches, shaped values and identifier-like tokens."""
+    forms = _forms(text, base)
+    out = [(text[a:b], True, False, a, b, _patterns(text, a, b)) for _, a, b in base]
+    out += [(text[a:b], True, True, a, b, _patterns(text, a, b)) for a, b in forms]
+    taken = sorted([(a, b) for _, a, b in base] + forms)
     for m in _TOKEN.finditer(text):
         token = m.group()
         value = token.strip(_EDGE)
         start = m.start() + len(token) - len(token.lstrip(_EDGE))
         if sum("0" <= c <= "9" for c in value) >= 5 and not any(a < start + len(value) and start < b for a, b in taken):
-            out.append((value, False, start, start + len(value), _patterns(text, start, start + len(value))))
+            out.append((value, False, False, start, start + len(value), _patterns(text, start, start + len(value))))
     return out
 
 
-_FOUND = pa.list_(pa.struct([("value", pa.string()), ("seed", pa.bool_()), ("start", pa.int64()), ("stop", pa.int64()), ("patterns", pa.list_(pa.string()))]))
+_FOUND = pa.list_(pa.struct([("value", pa.string()), ("seed", pa.bool_()), ("shaped", pa.bool_()), ("start", pa.int64()), ("stop", pa.int64()), ("patterns", pa.list_(pa.string()))]))
 
 
 _SLOTS = pa.list_(pa.struct([("value", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("patterns", pa.list_(pa.string()))]))
@@ -127,13 +169,13 @@ def extract(docs: DataFrame) -> DataFrame:
             for text in texts.to_pylist():
                 spans = base_spans(text)
                 base.append([f"{k}:{a}:{b}" for k, a, b in spans])
-                found.append([dict(zip(("value", "seed", "start", "stop", "patterns"), x)) for x in instances(text, spans)])
+                found.append([dict(zip(("value", "seed", "shaped", "start", "stop", "patterns"), x)) for x in instances(text, spans)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(base, pa.list_(pa.string())), pa.array(found, _FOUND)],
                                              ["doc_id", "row", "base", "found"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", row_hash(F.col("text")).alias("row")).mapInArrow(
-        find, f"doc_id {kind}, row long, base array<string>, found array<struct<value:string,seed:boolean,start:bigint,stop:bigint,patterns:array<string>>>")
+        find, f"doc_id {kind}, row long, base array<string>, found array<struct<value:string,seed:boolean,shaped:boolean,start:bigint,stop:bigint,patterns:array<string>>>")
 
 
 def _marks(low: list[str], i: int) -> tuple[list[str], list[str]]:
@@ -147,7 +189,7 @@ def _marks(low: list[str], i: int) -> tuple[list[str], list[str]]:
 
 
 def slots(text: str, trusted: set[str]) -> list[tuple[str, int, int, list[str]]]:
-    """(value, start, end, patterns) of the slots that `trusted` patterns mark outside base matches."""
+    """(value, start, end, patterns) of the slots that `trusted` patterns mark outside seeds."""
     low = [w.strip(_EDGE) for w in text.lower().split()]
     marks = [tuple(any(p in trusted for p in side) for side in _marks(low, i)) for i in range(len(low))]
     if not any(a or b for a, b in marks):
@@ -156,7 +198,8 @@ def slots(text: str, trusted: set[str]) -> list[tuple[str, int, int, list[str]]]
     for m in _ANY.finditer(text):
         left = len(m.group()) - len(m.group().lstrip(_EDGE))
         tokens.append((m.start() + left, max(m.start() + left, m.start() + len(m.group().rstrip(_EDGE))), m.end()))
-    taken = [(a, b) for _, a, b in base_spans(text)]
+    base = base_spans(text)
+    taken = [(a, b) for _, a, b in base] + _forms(text, base)
     ends = [i + 1 == len(tokens) or tokens[i][1] < tokens[i][2] or "\n" in text[tokens[i][2]:tokens[i + 1][0]] or "\r" in text[tokens[i][2]:tokens[i + 1][0]] for i in range(len(tokens))]
     digits = [any("0" <= c <= "9" for c in text[a:b]) for a, b, _ in tokens]
     closed = set()
@@ -274,7 +317,7 @@ def discover(found: DataFrame, docs: DataFrame, rounds: int | None = None, suppo
     tokens = stored(found.groupBy("value").agg(F.max("seed").alias("seed")))
     nothing = spark.createDataFrame([], "value string, score double")
     scores = known = stored(tokens.filter("seed").select("value", F.lit(1.0).alias("score")))
-    edges, size, done, marked, accepted_slots = base.select("value", "pattern"), known.count(), 0, None, nothing
+    edges, size, done, marked, accepted_slots, sure = base.select("value", "pattern"), known.count(), 0, None, nothing, nothing
     while rounds is None or done < rounds:
         done += 1
         support_of = edges.join(known.select("value", F.lit(1).alias("known")), "value", "left").join(scores, "value", "left").groupBy("pattern").agg(
@@ -291,6 +334,7 @@ def discover(found: DataFrame, docs: DataFrame, rounds: int | None = None, suppo
             if strict:
                 marked = extract_slots(strict)
                 table = spark.createDataFrame(list(strict.items()), "pattern string, confidence double")
+                sure = base.join(table, "pattern").groupBy("value").agg(doubt()).filter(F.col("score") >= accept)
                 spans = marked.select("value", F.explode("patterns").alias("pattern")).distinct()
                 accepted_slots = stored(spans.join(table, "pattern").groupBy("value").agg(doubt()).filter(F.col("score") >= accept).unionByName(accepted_slots).groupBy("value").agg(F.max("score").alias("score")))
                 edges = stored(edges.unionByName(spans.join(accepted_slots, "value", "left_semi")).distinct())
@@ -301,7 +345,7 @@ def discover(found: DataFrame, docs: DataFrame, rounds: int | None = None, suppo
                 break
             scores = stored(scores.unionByName(grown).groupBy("value").agg(F.max("score").alias("score")))
         known, size = grown, total
-    ids = known.join(tokens.filter("NOT seed"), "value", "left_semi")
+    ids = known.join(tokens.filter("NOT seed"), "value", "left_semi").join(sure.select("value"), "value", "left_semi")
     if marked is None:
         return ids, docs.select("doc_id", "row", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop")).limit(0)
     return ids, marked.join(accepted_slots, "value", "left_semi").select("doc_id", "row", "start", "stop")
@@ -313,7 +357,7 @@ def find_personal(docs: DataFrame, **options) -> DataFrame:
     table = stored(extract(docs))
     found = table.select("doc_id", "row", F.inline("found"))
     new, places = discover(found, docs.withColumn("row", row_hash(F.col("text"))), **options)
-    spans = found.filter("NOT seed").join(new, "value", "left_semi").select("doc_id", "row", "start", "stop").unionByName(places).distinct()
+    spans = found.filter("NOT seed").join(new, "value", "left_semi").unionByName(found.filter("shaped")).select("doc_id", "row", "start", "stop").unionByName(places).distinct()
     earlier = Window.partitionBy("doc_id", "row").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("reach", F.coalesce(F.max("stop").over(earlier), F.lit(-1))).filter("stop > reach")  # not inside another
     more = spans.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("more")).withColumnsRenamed({"doc_id": "d", "row": "r"})
