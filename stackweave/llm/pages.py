@@ -1,14 +1,15 @@
 """Main text of web pages, with removal of site templates.
 
 Site templates: every element subtree is hashed (tag, attributes that name it, text and children). Spark counts, per
-host, on how many different pages each hash occurs; a subtree on many pages of its host is a template and is deleted.
+host, on how many different pages each hash occurs; a subtree on many pages of its host is a template and is deleted. A
+subtree that recurs within one page only counts once.
 A host's pages are told apart by their main content, so thousands of copies of one page count as one. Templates per host are
 few: a subtree must be on a set share of the pages, so at most (subtrees of a page / share) of them exist.
 
 The text is what remains of the article (article, else main, else body) without elements that say what they are:
 navigation, page headers and footers, asides, forms, notices, adverts, comments, scripts and styles. Articles are copied
-between pages, so a paragraph, quotation or other running text of an article counts once per distinct pair of neighbours
-rather than per page: copies and near copies do not add up, a notice amid different texts does. Headings, list items, table
+between pages, so a paragraph, quotation or other running text of an article counts at most once per page and once per distinct pair of
+neighbours: copies and near copies do not add up, a notice amid different texts does. Headings, list items, table
 cells, terms and definitions of an article are never taken for templates, as one short label ("Yes", "Summary") means
 something else on every page; where a page has no article, any recurring subtree goes.
 
@@ -45,6 +46,7 @@ NOT_TEXT = frozenset("head nav footer aside form script style noscript template
 NAMES = frozenset("ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices popup modal newsletter "
                   "subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond share sharing social related "
                   "recommended widget toolbar pagination pager search login signup masthead topbar alert".split())
+TOPICS = frozenset("alert login related search share social".split())  # inside an article also names of its content
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 
@@ -137,7 +139,10 @@ def is_boilerplate(node: Node, inside: bool) -> bool:
         return any(n in ("comment", "comments") for n in node.names)
     for name in node.names:
         parts = re.split(r"[-_]+", name)
-        if name in NAMES or any(p in NAMES for p in parts) or (not inside and "header" in parts):
+        if inside:  # a part of a name says too little there ("search-results", "related-work")
+            if name in NAMES - TOPICS or all(p in NAMES for p in parts) and len(parts) > 1:
+                return True
+        elif name in NAMES or any(p in NAMES for p in parts) or (not inside and "header" in parts):
             return True
     return False
 
@@ -228,8 +233,9 @@ def site_templates(pages: DataFrame, share: float = 0.3, least: int = 5) -> Data
     found = stored(pages.select(page_host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(find, "host string, content long, hashes array<struct<hash:bigint,around:bigint>>"))
     different = found.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     seen = found.select("host", "content", F.inline("hashes")).distinct()
-    other = seen.select("host", "hash", F.coalesce("around", "content").alias("place"), F.col("around").isNull().alias("outside")).distinct()  # copied articles are one place
-    counted = other.groupBy("host", "hash", "outside").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    counted = seen.groupBy("host", "hash", F.col("around").isNull().alias("outside")).agg(
+        F.count_distinct("content").alias("pages_with"), F.count_distinct(F.coalesce("around", "content")).alias("places"))  # copied articles are one place
+    counted = counted.withColumn("n", F.least("pages_with", "places")).filter(F.col("n") >= least)
     return counted.join(different, "host").filter(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("hash").alias("templates"))
 
 

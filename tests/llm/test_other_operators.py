@@ -142,3 +142,40 @@ def test_notice_in_articles(spark):
     got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(8)] == [f"Summary Page {i} begins Page {i} ends" for i in range(8)]
     assert all(got[10 + i].startswith("One Copied text ") for i in range(8))
+
+
+def test_blocks_that_recur_within_one_page(spark):
+    def page(i, inner):
+        return i, f"https://h.example/{i}", f"<article><h1>Page {i}</h1><p>Text number {i} of its own.</p>{inner}</article>"
+    interview = "".join(f"<p>Question {k}?</p><p>Yes.</p>" for k in range(6))
+    rows = [page(0, interview), page(1, '<div class="search-results"><p>Found.</p></div><div class="related-work"><p>Others.</p></div><div class="alert"><p>Mind it.</p></div>')]
+    rows += [page(i, f"<p>Words {i}.</p><div class='ad'>Buy.</div>") for i in range(2, 9)] + [(9, "https://h.example/9", None), (None, None, "")]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].count("Yes.") == 6 and got[1].endswith("Found. Others. Mind it.")
+    assert got[5] == "Page 5 Text number 5 of its own. Words 5." and got[9] == got[None] == ""
+
+
+def test_template_counts_against_brute_force(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(60):
+        blocks = [f"<p>{r.choice(['Sign up now', 'All rights', f'own {i} {k}'])}</p>" for k in range(r.randint(1, 6))]
+        rows.append((i, f"http://{r.choice('ab')}.example/{i}", "<body><div>" + "".join(blocks) + "</div></body>"))
+    rows += rows[:20]
+    by_host: dict = {}
+    for _, url, page in rows:
+        root = pages.parse(page)
+        pages.hash_subtrees(root)
+        content, marks = pages.main_text(root, frozenset()), pages.candidates(root)
+        seen = by_host.setdefault(url[7:16], ({}, set()))
+        seen[1].add(content)
+        for h, around in marks:
+            seen[0].setdefault((h, around is None), set()).add((content, content if around is None else around))
+    wanted = {}
+    for host, (marks, contents) in by_host.items():
+        for (h, _), places in marks.items():
+            n = min(len({c for c, _ in places}), len({p for _, p in places}))
+            if n >= 5 and n >= 0.3 * len(contents):
+                wanted.setdefault(host, set()).add(h)
+    got = {x.host: set(x.templates) for x in pages.site_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == wanted and wanted
