@@ -12,8 +12,12 @@ source takes only the words of its block that are still due, so a source is take
 Targets: sources ordered by code point (null last) weigh 5, 2, 1, repeating; the sum of all sizes is shared by weight;
 a source stops at `repeat` times its size and the excess is shared again. No document is taken more often than that.
 
+Counts of 500,000,000 and more at a tree node, beyond numpy's exact sampler, are drawn from the normal limit of the same
+hypergeometric law, whose relative error there is below 1e-4 of a standard deviation. Slots and blocks are both shuffled
+by (source number, block); neither is broadcast, whatever Spark takes their size for.
+
 Size is the number of words; null and empty texts have size 0 and are never taken. Rows are told apart by id, source
-and text hash; equal rows are taken equally. Sources with no words have target 0. An empty table gives no rows.
+and text hash; equal rows are numbered as copies, each with a place of its own in the stream. Sources with no words have target 0. An empty table gives no rows.
 Sources are collected to the driver with one number each; more than `max_sources` raise an error.
 """
 
@@ -30,7 +34,7 @@ from stackweave.llm import words as W
 from stackweave.llm.common import pieces, row_hash, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
-_LARGE = 500_000_000  # counts from which a tree node is halved in proportion instead of drawn
+_LARGE = 500_000_000  # counts from which the normal limit is drawn
 ROWS_PER_CHUNK = 4096
 
 
@@ -76,20 +80,31 @@ def _feistel(index: np.ndarray, count: np.ndarray, key: np.ndarray, inverse: boo
     return out.astype(np.int64)
 
 
+def draw(random: np.random.Generator, held: np.ndarray, wanted: int) -> np.ndarray:
+    """`wanted` of held.sum() without replacement, by source."""
+    if held.sum() < _LARGE:
+        return random.multivariate_hypergeometric(held, wanted, method="marginals")
+    out, rest = np.zeros_like(held), int(held.sum())
+    for i, mine in enumerate(map(int, held)):
+        others = rest - mine
+        low, high = max(0, wanted - others), min(mine, wanted)
+        if low < high:
+            share = mine / rest
+            spread = np.sqrt(wanted * share * (others / rest) * ((rest - wanted) / max(1, rest - 1)))
+            out[i] = min(high, max(low, round(wanted * share + spread * random.standard_normal())))
+        else:
+            out[i] = low
+        wanted, rest = wanted - int(out[i]), others
+    return out
+
+
 def shard_counts(shard: int, shards: int, slots: int, totals: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots of each source in one shard, slots of each source in all shards before it)."""
     low, high, held, before = 0, shards, totals.copy(), np.zeros_like(totals)
     while high - low > 1:
         middle = (low + high) // 2
         wanted = min((middle - low) * slots, int(held.sum()))
-        if held.sum() >= _LARGE:
-            share = held * (wanted / held.sum())
-            left = np.floor(share).astype(np.int64)
-            order = np.argsort(left - share, kind="stable")
-            left[order[:wanted - int(left.sum())]] += 1
-        else:
-            random = np.random.Generator(np.random.PCG64([seed, low, high]))
-            left = random.multivariate_hypergeometric(held, wanted, method="marginals")
+        left = draw(np.random.Generator(np.random.PCG64([seed, low, high])), held, wanted)
         if shard < middle:
             held, high = left, middle
         else:
@@ -125,18 +140,23 @@ def source_table(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeat:
     return pd.DataFrame({"source": [r["source"] for r in rows], "size": sizes, "target": targets(sizes.astype(float), weight, repeat) if len(rows) else sizes.astype(float)})
 
 
+def numbered_copies(sized: DataFrame) -> DataFrame:
+    """The rows of `sized` with copy: equal rows are counted 0, 1, ..."""
+    return sized.groupBy("doc_id", "source", "row", "size").agg(F.count(F.lit(1)).alias("n")).select(
+        "doc_id", "source", "row", "size", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("copy"))
+
+
 def placed(sized: DataFrame) -> DataFrame:
-    """(doc_id, source, row, size, start): where each document's words start in its source's stream; one row per distinct
-    document with words (equal rows are one, taken by all of them)."""
-    docs = sized.filter("size > 0").dropDuplicates(["doc_id", "source", "row"])
+    """(doc_id, source, row, copy, size, start): where the words of each document row start in its source's stream."""
+    docs = numbered_copies(sized.filter("size > 0"))
     chunks = F.lit(max(1, -(-sized.count() // ROWS_PER_CHUNK)))
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row"), chunks))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row", "copy"), chunks))
     totals = docs.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
     before = F.sum("chunk_size").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     totals = totals.select(F.col("source").alias("s"), F.col("chunk").alias("c"), F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("source", "chunk").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum("size").over(Window.partitionBy("source", "chunk").orderBy("doc_id", "row", "copy").rowsBetween(Window.unboundedPreceding, -1))
     return docs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(totals, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).select(
-        "doc_id", "source", "row", "size", (F.col("before") + F.col("inside")).alias("start"))
+        "doc_id", "source", "row", "copy", "size", (F.col("before") + F.col("inside")).alias("start"))
 
 
 def filled_slots(spark, sources: pd.DataFrame, block: int, shard: int, seed: int) -> DataFrame:
@@ -179,7 +199,7 @@ def filled_slots(spark, sources: pd.DataFrame, block: int, shard: int, seed: int
 def mix(docs: DataFrame, block: int = 128, shard: int = 1024, seed: int = 20240229, weights: tuple[float, ...] = WEIGHTS, repeat: int = 3) -> tuple[DataFrame, pd.DataFrame, DataFrame]:
     """(sized documents, sources, pieces): pieces says which words of which document stand where in the output.
 
-    pieces: shard, slot, turn, doc_id, source, row, first_word, last_word (exclusive).
+    pieces: shard, slot, turn, doc_id, source, row, copy, first_word, last_word (exclusive).
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
@@ -190,7 +210,7 @@ def mix(docs: DataFrame, block: int = 128, shard: int = 1024, seed: int = 202402
     spread = streams.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))).withColumns({
         "first_word": F.greatest(F.col("block") * block - F.col("start"), F.lit(0)), "last_word": F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))})
     slots = filled_slots(spark, sources, block, shard, seed)
-    taken = slots.join(spread.drop("size"), ["number", "block"]).withColumn("last_word", F.least("last_word", F.col("block") * block + F.col("take") - F.col("start")))
+    taken = slots.hint("merge").join(spread.drop("size"), ["number", "block"]).withColumn("last_word", F.least("last_word", F.col("block") * block + F.col("take") - F.col("start")))
     return sized, sources, taken.filter("last_word > first_word").drop("number", "block", "take", "start")
 
 
@@ -198,25 +218,26 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document row."""
     sized, sources, found = mix(docs, **options)
     spark = docs.sparkSession
-    taken = found.groupBy("doc_id", "source", "row").agg(F.sum(F.col("last_word") - F.col("first_word")).alias("taken")).withColumnsRenamed({"doc_id": "d", "source": "s", "row": "r"})
+    taken = found.groupBy("doc_id", "source", "row", "copy").agg(F.sum(F.col("last_word") - F.col("first_word")).alias("taken")).withColumnsRenamed(
+        {"doc_id": "d", "source": "s", "row": "r", "copy": "c"})
     table = spark.createDataFrame([(r.source, int(r.size_), float(r.target)) for r in sources.rename(columns={"size": "size_"}).itertuples()], "t string, source_size long, target double")
-    joined = sized.join(table, F.col("source").eqNullSafe(F.col("t")))
-    joined = joined.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("row") == F.col("r")), "left")
+    joined = numbered_copies(sized).join(table, F.col("source").eqNullSafe(F.col("t")))
+    joined = joined.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("row") == F.col("r")) & (F.col("copy") == F.col("c")), "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The words that the mix takes, as rows with the columns of `docs`: one row per document and pass over its source.
+    """The words that the mix takes, as rows with the columns of `docs`: one row per document row and pass over its source.
 
     A document that a pass takes whole keeps its text as it is; else the text is its taken words joined by one space.
-    Equal rows count once. n_chars, where present, is counted anew for cut texts.
+    Of rows equal in id, source and text, which differ in other columns, one lends these to all. n_chars, where present, is counted anew for cut texts.
     """
     _, _, found = mix(docs, **options)
-    turns = found.groupBy("doc_id", "source", "row", "turn").agg(F.array_sort(F.collect_list(F.struct("first_word", "last_word"))).alias("__runs")).withColumnsRenamed(
-        {"doc_id": "__d", "source": "__s", "row": "__r", "turn": "__turn"})
+    turns = found.groupBy("doc_id", "source", "row", "copy", "turn").agg(F.array_sort(F.collect_list(F.struct("first_word", "last_word"))).alias("__runs")).withColumnsRenamed(
+        {"doc_id": "__d", "source": "__s", "row": "__r", "turn": "__turn", "copy": "__copy"})
     marked = docs.withColumn("__row", row_hash(F.col("text").cast("string")))
     rows = marked.dropDuplicates(["doc_id", "source", "__row"])
-    joined = rows.join(turns, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__row") == F.col("__r"))).drop("__d", "__s", "__r", "__row", "__turn")
+    joined = rows.join(turns, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").cast("string").eqNullSafe(F.col("__s")) & (F.col("__row") == F.col("__r"))).drop("__d", "__s", "__r", "__row", "__turn", "__copy")
     where = joined.schema.names.index("text")
     chars = joined.schema.names.index("n_chars") if "n_chars" in docs.columns else None
 
