@@ -595,5 +595,8 @@ SELECT tid, row_number() OVER (PARTITION BY tid ORDER BY frameId) AS n, depth, s
 FROM rawframes""", "rawframes", swap={"cl": single, "loss": single})
     o["stream_file_status"] = sql("""
 SELECT file, status, seq AS flushed, CASE WHEN status = 'CLOSED' OR pus IS NULL THEN 0 ELSE rate END AS rate, us AS observed FROM filerates""", "filerates")
+    o["stream_rate_history"] = sql("""
+SELECT event_type AS stage, us AS observed, CAST(round(value, 6) AS DOUBLE) AS value, count(*) OVER w AS points, round(avg(value) OVER w, 6) AS meanRate, CAST(round(max(value) OVER w, 6) AS DOUBLE) AS peakRate
+FROM (SELECT *, epoch_us(ts) AS us FROM ev) WINDOW w AS (PARTITION BY event_type ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)""", "ev")
     o["stream_rate_totals"] = sql("SELECT epoch_us(date_trunc('hour', ts)) AS start, count(*) AS events, round(count(*) / 3600.0, 9) AS rate FROM ev GROUP BY 1", "ev")
     return o

@@ -1,7 +1,11 @@
 """Streams in several micro-batches against the batch operators."""
 
+import random
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
+from stackweave.operators import telemetry as M
 from stackweave.operators.stacks import reconstruct
 from stackweave.plans import derive as D
 from stackweave.streaming import ingest, reconstruct as live, telemetry
@@ -58,13 +62,61 @@ def test_live_stacks_over_batches(spark, tmp_path):
     assert sorted(map(tuple, out.select(*keep).collect())) == sorted(map(tuple, batch.select(*keep).collect()))
 
 
-def test_rate_windows_stream(spark, tmp_path):
-    rows = D.stage_counters(spark, SF).select("stage", "observed", "value")
-    rows.write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
-    history = telemetry.stream_rate_history(stream, "stage", "value", slide="60 seconds")
-    query = (history.writeStream.format("memory").queryName("history").outputMode("append")
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    assert spark.table("history").filter("points < 1").count() == 0
-    assert spark.table("history").count() > 900
+def _in_batches(spark, parts, build, root):
+    """Append each part, then run the stream over what is new; all it wrote."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = build(spark.readStream.schema(part.schema).parquet(f"{root}/in"))
+        (stream.writeStream.outputMode("append").option("checkpointLocation", f"{root}/state").format("parquet")
+         .option("path", f"{root}/out").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def test_sliding_window_against_brute_force():
+    r = random.Random(2)
+    window, rows, time = telemetry.SlidingWindow(50), [], 0
+    for i in range(3000):
+        time += r.choice([0, 1, 7, 60])
+        value = r.choice([None, float(r.randint(-9, 9))])
+        rows.append((time, value))
+        window.push(time, value)
+        window.evict(time)
+        seen = [v for t, v in rows if t >= time - 50 and v is not None]
+        assert window.read() == (len(seen), sum(seen) / len(seen) if seen else None, max(seen, default=None))
+        if i % 100 == 0:  # as state between batches
+            window = telemetry.SlidingWindow(50, window.old, window.new)
+
+
+def test_rate_history_stream(spark, tmp_path):
+    """Out of order within a batch, equal times, null rates, in three batches and a last heartbeat."""
+    r = random.Random(3)
+    rows = [("ab"[r.random() < 0.2], 1_700_000_000_000_000 + (i // 2) * 9_000_000, r.choice([None, float(r.randint(0, 50))])) for i in range(300)]
+    parts = [rows[:100], rows[100:220], rows[220:], [("a", rows[-1][1] + 10 ** 9, 1.0)]]
+    shape = "stage string, us long, value double"
+    frames = []
+    for part in parts:
+        r.shuffle(part)
+        frames.append(spark.createDataFrame(part, shape).select("stage", F.timestamp_micros("us").alias("observed"), "value"))
+    out = _in_batches(spark, frames, lambda s: telemetry.stream_rate_history(s, "stage", "value", delay="0 seconds"), str(tmp_path))
+    batch = M.rate_history_1m(frames[0].union(frames[1]).union(frames[2]), "stage", "observed", "value")
+    keep = ["stage", F.unix_micros("observed").alias("us"), F.coalesce("value", F.lit(-1.0)).alias("value"), "points", F.round("meanRate", 9).alias("mean"), "peakRate"]
+    got = sorted(map(repr, out.filter(F.unix_micros("observed") <= rows[-1][1] + 10 ** 8).select(*keep).collect()))
+    assert got == sorted(map(repr, batch.select(*keep).collect())) and len(got) == 300
+
+
+def test_file_status_stream_with_equal_times(spark, tmp_path):
+    shape = "file string, status string, buffered long, flushed long, observed timestamp"
+    at = [datetime(2024, 1, 1, 0, 0, s) for s in range(10)]
+    first = [("f", "OPEN", 5, 20, at[1]), ("f", "OPEN", 3, 10, at[1]), ("f", "OPEN", 0, 0, at[0]), ("g", "OPEN", 1, 1, at[0])]
+    second = [("f", "FLUSHING", 0, 80, at[3]), ("f", "OPEN", 9, 20, at[2])]
+    third = [("f", "OPEN", 1, 5, at[0]), ("f", "CLOSED", 0, 80, at[5]), ("g", "OPEN", 1, 41, at[4])]
+    idle_batches = "spark.sql.streaming.noDataMicroBatches.enabled"
+    spark.conf.set(idle_batches, "false")
+    try:
+        out = _in_batches(spark, [spark.createDataFrame(x, shape) for x in (first, second, third)], telemetry.file_status_stream, str(tmp_path))
+        got = sorted((r.file, r.observed, r.flushed, r.status, r.rate) for r in out.collect())
+    finally:
+        spark.conf.unset(idle_batches)
+    assert got == sorted([("f", at[0], 0, "OPEN", 0), ("f", at[1], 10, "OPEN", 10), ("f", at[1], 20, "OPEN", 10), ("f", at[2], 20, "OPEN", 0),
+                          ("f", at[3], 80, "FLUSHING", 60), ("f", at[0], 5, "OPEN", 60), ("f", at[5], 80, "CLOSED", 0),
+                          ("g", at[0], 1, "OPEN", 0), ("g", at[4], 41, "OPEN", 10)])
