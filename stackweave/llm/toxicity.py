@@ -156,10 +156,11 @@ def _features(hits: list[tuple[int, int, bool, bool]], model: Model) -> list[flo
             math.log1p(sum(h[1] == 0 for h in hits))]
 
 
-def learn_terms(labelled: DataFrame, given: tuple[str, ...] = TERMS, shortest: int = 3, longest: int = 10, certainty: float = 18.0, most: int = 96) -> list[str]:
-    """Stems from (text, toxic) rows, most telling first, after the given ones; at most `most` new ones.
+def learn_terms(labelled: DataFrame, given: tuple[str, ...] = TERMS, shortest: int = 3, longest: int = 10, certainty: float = 18.0) -> list[str]:
+    """Stems from (text, toxic) rows, most telling first, before the given ones; as many as are certain.
 
-    Of a chain of beginnings the longest that keeps 97 % of the toxic documents of the shortest telling one is the stem.
+    A stem is a word beginning of `shortest` to `longest` code points, so longer words are known by their beginning. Its
+    three toxic rows and its certainty bound the number of stems by the size of the labelled sample. Of a chain of beginnings the longest that keeps 97 % of the toxic documents of the shortest telling one is the stem.
     """
     base = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     if not base["t"] or base["t"] == base["n"]:
@@ -171,16 +172,19 @@ def learn_terms(labelled: DataFrame, given: tuple[str, ...] = TERMS, shortest: i
     q = F.least(F.col("t") / F.col("n"), F.lit(1 - 1e-9))
     gain = F.col("n") * (q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p)))
     found = counted.filter((F.col("t") >= 3) & (F.col("t") >= 0.7 * F.col("n"))).withColumn("gain", gain).filter(F.col("gain") >= certainty)
-    rows = found.orderBy(F.desc("gain"), "head").limit(most * (longest - shortest + 1)).collect()
+    rows = found.orderBy(F.desc("gain"), "head").collect()  # bounded by the sample
     toxic = {r["head"]: r["t"] for r in rows}
-    stems = []
-    for head in (r["head"] for r in rows):
-        root = next((head[:k] for k in range(shortest, len(head)) if head[:k] in toxic), head)
-        chain = [h for h in toxic if h.startswith(root) and toxic[h] >= 0.97 * toxic[root]]
-        stem = max(chain, key=lambda h: (len(h), h))
-        if stem not in stems and not any(stem.startswith(s) for s in stems):
-            stems.append(stem)
-    stems = stems[:most]
+    roots = {head: next((head[:k] for k in range(shortest, len(head)) if head[:k] in toxic), head) for head in toxic}
+    longest_of: dict[str, str] = {}
+    for head, root in roots.items():
+        if toxic[head] >= 0.97 * toxic[root]:
+            longest_of[root] = max(longest_of.get(root, head), head, key=lambda h: (len(h), h))
+    stems: dict[str, None] = {}  # in order
+    for root in roots.values():
+        stem = longest_of[root]
+        if not any(stem[:k] in stems for k in range(shortest, len(stem) + 1)):
+            stems[stem] = None
+    stems = list(stems)
     return stems + [g for g in given if not any(g.startswith(s) for s in stems)]
 
 

@@ -114,6 +114,13 @@ def test_toxicity_held_out(spark):
     assert right >= 0.9 and all(r.predicted == 0 for r in rows if r.toxic == 0)
 
 
+def test_toxicity_learns_every_certain_stem(spark):
+    terms = [f"{a}{b}{c}zq" for a in "bdfgk" for b in "aeiou" for c in "lmnpr"]
+    rows = [(i, f"some {terms[i % 125]} here", 1) for i in range(30 * 125)] + [(-i, "some words here", 0) for i in range(1, 30 * 125)]
+    learned = toxicity.learn_terms(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), ())
+    assert len(learned) == 125 and all(any(t.startswith(s) for s in learned) for t in terms)
+
+
 def test_toxicity_edges(table, spark):
     docs = table([None, "", "you idiot", "fine"])
     model = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))
