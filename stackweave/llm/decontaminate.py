@@ -1,9 +1,9 @@
 """Benchmark decontamination: a broadcast set of test n-grams, scanned over every window of every document.
 
 Windows are `length` consecutive words after lower-casing A-Z; a benchmark item of fewer words, but not none,
-is one window. The set of window hashes is collected only while it has at most `slice_windows` entries; a larger
-benchmark is cut into slices of that size by window hash and each slice is scanned in turn, in the same job, so
-what one task holds never grows with the benchmark. A hash that occurs is verified on the words themselves.
+is one window. The set of windows is broadcast only while it has at most `most_windows` entries. A larger benchmark
+stays in Spark: a table of 2^28 bits (32 MB) tells tasks which document windows may be known, and these are joined
+with the benchmark's by hash, size and words. A hash that occurs is verified on the words themselves either way.
 
 Null texts have no words. Rows with a null id, repeated ids and repeated texts are judged row by row; an item
 without id marks words but is not listed. An empty benchmark hits nothing.
@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stackweave.llm import words as W
-from stackweave.llm.common import pieces, stored
+from stackweave.llm.common import pieces, row_hash, stored
 
+TABLE_BITS = 28
 HITS = "array<struct<item:string,start:int,stop:int>>"
 _HIT = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
@@ -47,7 +48,7 @@ def benchmark_windows(benchmark: DataFrame, length: int) -> DataFrame:
 
 
 class _Set:
-    """One slice of windows: per size, sorted hashes behind a bitmap, and the words to verify."""
+    """A set of windows: per size, sorted hashes behind a bitmap, and the words to verify."""
 
     def __init__(self, table: pa.Table):
         self.words: dict[int, list[tuple[bytes, str | None]]] = {}
@@ -77,7 +78,7 @@ class _Set:
 
 
 def _scan(df: DataFrame, windows: pa.Table) -> DataFrame:
-    """Append the hits of one slice to column `hits` and count words."""
+    """Append the hits of `windows` to column `__hits` and count words."""
     column, counted = df.schema.names.index("__hits"), df.schema.names.index("__words")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,15 +100,65 @@ def _scan(df: DataFrame, windows: pa.Table) -> DataFrame:
     return df.mapInArrow(scan, df.schema)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, slice_windows: int = 200_000) -> DataFrame:
+def _known(windows: DataFrame) -> np.ndarray:
+    """2^28 bits, packed: those at the leading bits of the windows' hashes are set. The driver reads 2^10 rows of 32 KB at most each."""
+    place = F.shiftrightunsigned("hash", 64 - TABLE_BITS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for places in batch.column("places"):
+                bits = np.zeros(1 << 18, bool)
+                bits[places.values.to_numpy() & ((1 << 18) - 1)] = True
+                out.append(np.packbits(bits, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(out, pa.binary())], ["chunk", "bits"])
+
+    chunks = windows.select(place.alias("place")).groupBy(F.shiftright("place", 18).alias("chunk")).agg(F.collect_set("place").alias("places"))
+    table = np.zeros((1 << TABLE_BITS - 18, 1 << 15), np.uint8)
+    for row in chunks.mapInArrow(pack, "chunk long, bits binary").toLocalIterator():
+        table[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.reshape(-1)
+
+
+def _join(df: DataFrame, windows: DataFrame) -> DataFrame:
+    """As `_scan`, for any number of windows. Hits depend on the text alone, so rows of equal id and text share them."""
+    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # at most `length`
+    table = df.sparkSession.sparkContext.broadcast(_known(windows))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in pieces(batches, "__text"):
+            words = W.split(texts, W.PUNCTUATION, lower=True)
+            for size in sizes:
+                at, seen = words.windows(size)
+                place = seen >> W.U(64 - TABLE_BITS)
+                keep = np.flatnonzero((table.value[place >> W.U(3)] >> (place & W.U(7)).astype(np.uint8)) & 1)
+                for low in range(0, len(keep), 1 << 14):
+                    here = keep[low:low + (1 << 14)]
+                    starts = at[here]
+                    rows = np.searchsorted(words.first, starts, "right") - 1
+                    body = [b" ".join(words.text(w, True) for w in range(s, s + size)) for s in starts.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(pa.array(rows)), batch.column("__row").take(pa.array(rows)), pa.array(seen[here].view(np.int64)), pa.array(np.full(len(here), size, np.int32)),
+                         pa.array((starts - words.first[rows]).astype(np.int32)), pa.array(body, pa.binary())], ["doc_id", "__row", "hash", "size", "start", "words"])
+
+    df = df.withColumn("__row", row_hash(F.col("__text")))
+    kind = df.schema["doc_id"].dataType.simpleString()
+    found = df.select("doc_id", "__row", "__text").mapInArrow(cut, f"doc_id {kind}, __row long, hash long, size int, start int, words binary")
+    hits = stored(found.join(windows, ["hash", "size", "words"]).groupBy(F.col("doc_id").alias("__id"), F.col("__row").alias("__of")).agg(
+        F.collect_set(F.struct("item", "start", (F.col("start") + F.col("size")).alias("stop"))).cast(HITS).alias("__found")))
+    table.unpersist()
+    counted = _scan(df, windows.limit(0).toArrow())
+    joined = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__of")), "left")
+    return joined.withColumn("__hits", F.coalesce("__found", "__hits")).drop("__id", "__of", "__found", "__row")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, most_windows: int = 200_000) -> DataFrame:
     """`docs` with `__words` (count) and `__hits`: item, first word and end of every occurrence of a window."""
     windows = stored(benchmark_windows(benchmark, length))
-    slices = max(1, -(-windows.count() // slice_windows))
     df = docs.withColumns({"__text": F.col("text").cast("string"), "__words": F.lit(0).cast("long"), "__hits": F.array().cast(HITS)})
-    for k in range(slices):
-        part = windows.filter(F.pmod(F.xxhash64("hash"), F.lit(slices)) == k) if slices > 1 else windows
-        df = _scan(df, part.toArrow())
-    return df.drop("__text")
+    if windows.count() <= most_windows:
+        return _scan(df, windows.toArrow()).drop("__text")
+    return _join(df, windows).drop("__text")
 
 
 def _measures(hits: list[dict]) -> tuple[int, int, str]:
@@ -119,7 +170,7 @@ def _measures(hits: list[dict]) -> tuple[int, int, str]:
     return hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame, length: int = 10, slice_windows: int = 200_000) -> DataFrame:
+def contamination_report(docs: DataFrame, benchmark: DataFrame, length: int = 10, most_windows: int = 200_000) -> DataFrame:
     """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,19 +181,19 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, length: int = 10
                  pa.array([f[0] > 0 for f in found], pa.bool_())],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    found = find_contamination(docs.select("doc_id", "text"), benchmark, length, slice_windows)
+    found = find_contamination(docs.select("doc_id", "text"), benchmark, length, most_windows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return found.select("doc_id", "__words", "__hits").mapInArrow(
         digest, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, spans: bool = False, slice_windows: int = 200_000) -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, spans: bool = False, most_windows: int = 200_000) -> DataFrame:
     """`docs` without contaminated documents, or with `spans=True` without the words that were hit.
 
     With `spans`, bytes from the first to the last word of each run of hit words go; n_chars, where present,
     is counted anew. Untouched texts stay byte for byte, null texts stay null.
     """
-    found = find_contamination(docs, benchmark, length, slice_windows)
+    found = find_contamination(docs, benchmark, length, most_windows)
     if not spans:
         return found.filter(F.size("__hits") == 0).drop("__hits", "__words")
     where = found.schema.names.index("text")

@@ -106,8 +106,11 @@ def test_decontamination(spark, table):
         items = sorted(str(x) for x in items if x < len(tests))
         wanted[i] = (len(w), len(hit), len(items), sha(items, ","), bool(hit))
     for most in (200_000, 7):
-        got = decontaminate.contamination_report(table(texts), benchmark, slice_windows=most).collect()
+        got = decontaminate.contamination_report(table(texts), benchmark, most_windows=most).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got} == wanted
+    doubled = table([texts[5], texts[5], None, texts[5]], ids=[3, 3, 3, None])
+    same = [sorted(map(str, decontaminate.contamination_report(doubled, benchmark, most_windows=most).collect())) for most in (200_000, 7)]
+    assert len(same[0]) == 4 and same[0] == same[1]
     clean = decontaminate.remove_contaminated(table(texts), benchmark)
     assert {r.doc_id for r in clean.collect()} == {i for i, v in wanted.items() if not v[1]}
     cut = {r.doc_id: r.text for r in decontaminate.remove_contaminated(table(texts), benchmark, spans=True).collect()}
