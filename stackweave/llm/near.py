@@ -17,6 +17,11 @@ sizes leave its reach). Verified links make provisional components; after that e
 that spans two components is formed and verified. Pairs inside a component cannot change the result, and a parity bitmap of each set bounds what a pair can share, so a
 large group of near copies costs a bounded number of pairs for each member, not one for each pair.
 
+Most signatures occur once in the corpus and can link nothing. They are made twice: a first pass counts them, as sorted
+34-bit cells of about two bytes each, up to two per cell; a second pass sends on only those whose bit is set in a
+table of 2^28 bits (32 MB at any corpus size). Cells and bits can be shared, so single signatures may pass (more of
+them the larger the corpus), but no repeated one is lost.
+
 The frequency table is a sum, over all documents, of repeats that tasks see; at most `frequent` tokens of highest count
 are kept. It decides only the order of tokens, never which links are found.
 
@@ -42,6 +47,7 @@ PAIR_FROM, TRIPLE_FROM = 64, 4096  # repeats from which tokens are indexed as pa
 _FLUSH = 4 << 20
 BROADCAST_ROWS = 500_000
 LEADER_ROUNDS = 2
+CELL_BITS, TABLE_BITS, CHUNK_BITS = 34, 28, 10  # cells that count signatures, bits that are broadcast, chunks of cells
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -201,25 +207,99 @@ class Signer:
         return W.mix(f[:, 0] + W.mix(f[:, 1] + W.mix(f[:, 2] + f[:, 3] * U(0x9E3779B97F4A7C15) + U(band * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))))
 
 
-def signatures(docs: DataFrame, size: int, signer) -> DataFrame:
-    """(sig, set, n, pos, role) of all distinct sets; a task writes each set once."""
+def _signed_sets(batches: Iterator[pa.RecordBatch], size: int, signs: Signer) -> Iterator[list[tuple]]:
+    """Runs of (set, n, signatures, positions, roles); of equal sets of a task the first only, as long as it remembers."""
+    seen = set()
+    for _, texts in pieces(batches):
+        rows = []
+        for tokens in shingle_sets(texts, size):
+            key = set_id(tokens)
+            if key and key not in seen:
+                if len(seen) < 1 << 20:
+                    seen.add(key)
+                rows.append((key, len(tokens), *signs.sign(tokens)))
+        if rows:
+            yield rows
+
+
+def repeated_signatures(docs: DataFrame, size: int, signer) -> np.ndarray:
+    """A table of 2^28 bits, packed, with a bit set wherever a signature of two sets falls (tables of tasks are merged in Spark).
+
+    Of each chunk of cells a task holds one byte a cell (16 MB) and 32 KB of it reach the driver.
+    """
+    low = CELL_BITS - CHUNK_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+
+        def flush() -> pa.RecordBatch:
+            cells = W.mix(np.concatenate(held)) >> U(64 - CELL_BITS)
+            cells.sort()
+            third = np.zeros(len(cells), bool)
+            third[2:] = (cells[2:] == cells[1:-1]) & (cells[2:] == cells[:-2])
+            cells = cells[~third]  # two of a cell say all
+            chunk = (cells >> U(low)).astype(np.int32)
+            starts = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+            rest = (cells & U((1 << low) - 1)).astype(np.int64)
+            gaps = np.diff(rest, prepend=0)
+            gaps[starts] = rest[starts]
+            gaps = gaps.astype("<u4").view(np.uint8).reshape(-1, 4)
+            ends = np.append(starts[1:], len(cells))
+            packed = [gaps[a:b].T.tobytes() for a, b in zip(starts.tolist(), ends.tolist())]  # bytes of one rank together
+            return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), pa.array(packed, pa.binary())], ["chunk", "gaps"])
+
+        for rows in _signed_sets(batches, size, signer()):
+            held += [r[2] for r in rows]
+            total += sum(len(r[2]) for r in rows)
+            if total > 1 << 20:
+                yield flush()
+                held, total = [], 0
+        if held:
+            yield flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, cells = None, np.zeros(1 << low, np.uint8)
+
+        def done() -> pa.RecordBatch:
+            bits = (cells > 1).reshape(-1, 1 << (CELL_BITS - TABLE_BITS)).any(axis=1)
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
+
+        for batch in batches:
+            for now, gaps in zip(batch.column("chunk").to_pylist(), batch.column("gaps")):
+                if now != chunk:
+                    if chunk is not None:
+                        yield done()
+                    chunk = now
+                    cells[:] = 0
+                at = np.cumsum(np.frombuffer(gaps.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0].astype(np.int64))
+                again = np.concatenate(([False], at[1:] == at[:-1]))
+                once = at[~again]
+                cells[once] = np.minimum(cells[once] + 1, 2)
+                cells[at[again]] = 2
+        if chunk is not None:
+            yield done()
+
+    counted = docs.select("text").mapInArrow(count, "chunk int, gaps binary").repartition("chunk").sortWithinPartitions("chunk")
+    table = np.zeros((1 << CHUNK_BITS, 1 << (TABLE_BITS - CHUNK_BITS - 3)), np.uint8)
+    for row in counted.mapInArrow(merge, "chunk int, bits binary").toLocalIterator():
+        table[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.reshape(-1)
+
+
+def signatures(docs: DataFrame, size: int, signer, repeated) -> DataFrame:
+    """(sig, set, n, pos, role) of all distinct sets, without signatures that `repeated` (a table's getter) shows to be single."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signs, seen = signer(), set()
-        for _, texts in pieces(batches):
-            rows = []
-            for tokens in shingle_sets(texts, size):
-                key = set_id(tokens)
-                if key and key not in seen:
-                    if len(seen) < 1 << 20:
-                        seen.add(key)
-                    rows.append((key, len(tokens), *signs.sign(tokens)))
-            if rows:
-                lengths = np.array([len(r[2]) for r in rows])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([r[2] for r in rows]).view(np.int64)), pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), lengths)),
-                    pa.array(np.repeat(np.array([r[1] for r in rows], np.int32), lengths)), pa.array(np.concatenate([r[3] for r in rows]).astype(np.int32)),
-                    pa.array(np.concatenate([r[4] for r in rows]).astype(np.int8))], ["sig", "set", "n", "pos", "role"])
+        table = repeated()
+        for rows in _signed_sets(batches, size, signer()):
+            lengths = np.array([len(r[2]) for r in rows])
+            sigs = np.concatenate([r[2] for r in rows])
+            place = W.mix(sigs) >> U(64 - TABLE_BITS)
+            kept = (table[place >> U(3)] >> (place & U(7)).astype(np.uint8)) & 1 > 0
+            yield pa.RecordBatch.from_arrays([
+                pa.array(sigs[kept].view(np.int64)), pa.array(np.repeat(np.array([r[0] for r in rows], np.int64), lengths)[kept]),
+                pa.array(np.repeat(np.array([r[1] for r in rows], np.int32), lengths)[kept]), pa.array(np.concatenate([r[3] for r in rows]).astype(np.int32)[kept]),
+                pa.array(np.concatenate([r[4] for r in rows]).astype(np.int8)[kept])], ["sig", "set", "n", "pos", "role"])
 
     return docs.select("text").mapInArrow(find, "sig long, set long, n int, pos int, role byte")
 
@@ -361,9 +441,14 @@ def near_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     context = docs.sparkSession.sparkContext
     sets = stored(document_sets(docs, size))
     table = context.broadcast(frequency_table(docs, size, frequent))
-    signed = signatures(docs, size, lambda: Signer(*table.value, threshold, pair_from, triple_from))
-    found = stored(candidates(signed, threshold))
-    table.unpersist()  # the signatures are written: executors and workers need the frequencies no more
+
+    def signer() -> Signer:
+        return Signer(*table.value, threshold, pair_from, triple_from)
+
+    repeated = context.broadcast(repeated_signatures(docs, size, signer))
+    found = stored(candidates(signatures(docs, size, signer, lambda: repeated.value), threshold))
+    table.unpersist()  # the signatures are written: executors and workers need both tables no more
+    repeated.unpersist()
     first = found.filter("leader IS NOT NULL").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
     links = verified(first, docs, sets, size, threshold)
     roots = stored(components(links))
