@@ -258,10 +258,9 @@ def repeated_signatures(docs: DataFrame, size: int, signer) -> np.ndarray:
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, cells = None, np.zeros(1 << low, np.uint8)
+        chunk, seen, bits = None, np.zeros(1 << low, bool), np.zeros(1 << (TABLE_BITS - CHUNK_BITS), bool)
 
         def done() -> pa.RecordBatch:
-            bits = (cells > 1).reshape(-1, 1 << (CELL_BITS - TABLE_BITS)).any(axis=1)
             return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["chunk", "bits"])
 
         for batch in batches:
@@ -270,12 +269,11 @@ def repeated_signatures(docs: DataFrame, size: int, signer) -> np.ndarray:
                     if chunk is not None:
                         yield done()
                     chunk = now
-                    cells[:] = 0
+                    seen[:] = bits[:] = False
                 at = np.cumsum(np.frombuffer(gaps.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<u4")[:, 0].astype(np.int64))
                 again = np.concatenate(([False], at[1:] == at[:-1]))
-                once = at[~again]
-                cells[once] = np.minimum(cells[once] + 1, 2)
-                cells[at[again]] = 2
+                bits[at[again | seen[at]] >> (CELL_BITS - TABLE_BITS)] = True
+                seen[at] = True
         if chunk is not None:
             yield done()
 
