@@ -2,7 +2,8 @@
 
 A byte-level BPE tokenizer first cuts a text into pieces and then encodes each piece by itself, and most
 pieces of a corpus are repeats. Pieces are therefore cut for a whole run of texts on its UTF-8 bytes, hashed, and each
-distinct piece is encoded by the tokenizers library once (a bounded memo keeps the ids). Which code
+distinct piece is encoded by the tokenizers library once (a bounded memo keeps the ids; when it is full, pieces that were
+met in one run only are forgotten, so rare pieces do not push out the common ones). Which code
 points are letters, numbers, spaces or others is asked from the library. Pieces of equal hash are compared byte by byte, and
 the memo's keys are the pieces themselves, so ids never rest on a hash. A worker process keeps its encoder and memo
 from task to task (`encoder_of`). Texts that hold an added token's string, or
@@ -12,9 +13,10 @@ code points beyond the table, go to the library whole; so do all texts if the to
 from __future__ import annotations
 
 import os
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from stackweave.llm import words as W
@@ -42,7 +44,9 @@ def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     begin = stop - size[long]
     body = data[np.arange(int(stop[-1]) if len(long) else 0) + np.repeat(starts[long] - begin, size[long])]
     hashes[long] = W.hash_bytes(body, begin, stop)
-    _, sample, place = np.unique(hashes, return_index=True, return_inverse=True)
+    place, groups = pd.factorize(hashes)
+    sample = np.empty(len(groups), np.int64)
+    sample[place[::-1]] = np.arange(len(place))[::-1]  # the first range of a group is written last
     twin = sample[place]
     odd = (size != size[twin]) | (heads != heads[twin])
     check = np.flatnonzero(~odd[long] & (twin[long] != long))
@@ -91,7 +95,35 @@ class Encoder:
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.begin, self.size, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _add(self, pieces: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Remember distinct new pieces: how many ids each has, and all ids one after another."""
+        base, stop, used = len(self.known), len(self.known) + len(pieces), self.used + len(ids)
+        for array, need in (("flat", used), ("begin", stop), ("size", stop), ("uses", stop)):
+            held = getattr(self, array)
+            if need > len(held):
+                setattr(self, array, np.concatenate((held, np.zeros(max(need - len(held), len(held)), held.dtype))))
+        self.begin[base:stop] = self.used + np.cumsum(sizes) - sizes
+        self.size[base:stop] = sizes
+        self.uses[base:stop] = 0
+        self.flat[self.used:used] = ids
+        self.used = used
+        self.known.update(zip(pieces, range(base, stop)))
+
+    def _forget(self) -> None:
+        """Keep the pieces that several runs have asked for since the last time, unless they fill most of the memo."""
+        often = np.flatnonzero(self.uses[:len(self.known)] > 1)
+        pieces, index = list(self.known), often if len(often) <= _MEMO * 3 // 4 else often[:0]
+        sizes, ids = self.size[index], self._ids(index)
+        self._clear()
+        self._add([pieces[i] for i in index.tolist()], sizes, ids)
+
+    def _ids(self, index: np.ndarray) -> np.ndarray:
+        """The ids of remembered pieces, one after another."""
+        sizes = self.size[index]
+        stop = np.cumsum(sizes)
+        return self.flat[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.begin[index] - stop + sizes, sizes)]
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -171,25 +203,18 @@ class Encoder:
             place[other] = np.arange(len(keys), len(keys) + len(more))
             keys += more
         if len(self.known) + len(keys) > _MEMO:
-            self._clear()
+            self._forget()
         known = self.known
-        new = list(dict.fromkeys(k for k in keys if k not in known))
-        if new:
-            body = [k.decode("latin-1").translate(self.letters) for k in new]
-            found = [[t.id for t in self.model.tokenize(b)] for b in body]
+        index = np.fromiter(map(known.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            asked = [keys[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(asked))
+            found = [[t.id for t in self.model.tokenize(k.decode("latin-1").translate(self.letters))] for k in new]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            base, count = len(known), int(sizes.sum())
-            for array, need in (("flat", self.used + count), ("begin", base + len(new)), ("size", base + len(new))):
-                held = getattr(self, array)
-                if need > len(held):
-                    setattr(self, array, np.concatenate((held, np.zeros(max(need - len(held), len(held)), held.dtype))))
-            self.begin[base:base + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.size[base:base + len(new)] = sizes
-            self.flat[self.used:self.used + count] = np.fromiter(chain.from_iterable(found), np.uint32, count)
-            self.used += count
-            known.update(zip(new, range(base, base + len(new))))
-        index = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[place]
-        sizes = self.size[index]
-        total = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.flat[np.arange(total[-1]) - np.repeat(total[:-1], sizes) + np.repeat(self.begin[index], sizes)]
-        return ids, np.diff(total[first])
+            self._add(new, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
+            index[missing] = np.fromiter(map(known.__getitem__, asked), np.int64, len(asked))
+        self.uses[index] += 1
+        index = index[place]
+        total = np.concatenate(([0], np.cumsum(self.size[index])))
+        return self._ids(index), np.diff(total[first])

@@ -227,3 +227,22 @@ def test_ids_of_colliding_pieces():
         for text, found in zip(texts, np.split(ids, np.cumsum(counts)[:-1])):
             assert found.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert tokens.encoder_of(token_files.default_tokenizer()) is tokens.encoder_of(token_files.default_tokenizer())
+
+
+def test_memo_keeps_common_pieces(monkeypatch):
+    """A full memo forgets what one run alone has asked for; ids stay those of the library."""
+    import pyarrow as pa
+    from stackweave.llm import token_files, tokens
+    monkeypatch.setattr(tokens, "_MEMO", 60)
+    encoder = tokens.Encoder(token_files.default_tokenizer())
+    common = "shared words of every run"
+    for run in range(12):
+        text = common + "".join(f" rare{chr(97 + run)}{chr(97 + k)}qz" for k in range(12))
+        ids, _ = encoder.encode(pa.array([text, common, ""], pa.large_string()))
+        assert ids.tolist() == [i for t in (text, common) for i in encoder.tokenizer.encode(t, add_special_tokens=False).ids]
+        assert run == 0 or b" every" in encoder.known and len(encoder.known) <= 60
+    asked = []
+    model, encoder.model = encoder.model, type("Model", (), {"tokenize": lambda self, piece: asked.append(piece) or model.tokenize(piece)})()
+    for run in range(12):
+        encoder.encode(pa.array([common + f" new{chr(97 + run)}zq" * 2 + "".join(f" odd{chr(97 + run)}{chr(97 + k)}qz" for k in range(12))], pa.large_string()))
+    assert not any("every" in piece for piece in asked)
