@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -9,7 +10,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of at most `BATCH_ROWS`; a smaller setting of the session stays.
+
+    Whole texts make rows of kilobytes. At Spark's 10,000 rows a batch takes tens of MB, once in the JVM beside its
+    heap and once in each Python worker, which both keep what they have touched.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
@@ -19,6 +35,7 @@ def stored(df: DataFrame) -> DataFrame:
     The folder is `spark.checkpoint.dir`; a local session without one gets a folder beside its warehouse.
     """
     spark = df.sparkSession
+    small_batches(spark)
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -29,6 +46,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Freed memory goes back to the system: worker processes outlive their tasks and would keep it beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut batches into runs of rows with about `size` bytes of text (one row at least), with the texts; null texts are empty."""
     for batch in batches:
@@ -42,6 +67,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             held += int(length)
         if len(lengths) > start:
             yield batch.slice(start), texts.slice(start)
+        batch = texts = lengths = None  # not held while the next batch is read
+    release()
 
 
 def row_hash(text: Column) -> Column:

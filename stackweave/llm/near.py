@@ -47,6 +47,7 @@ PAIR_FROM, TRIPLE_FROM = 64, 4096  # repeats from which tokens are indexed as pa
 _FLUSH = 4 << 20
 BROADCAST_ROWS = 500_000
 LEADER_ROUNDS = 2
+PART_PAIRS = 64  # pairs of one set that are verified by one task in a row
 CELL_BITS, TABLE_BITS, CHUNK_BITS = 34, 28, 10  # cells that count signatures, bits that are broadcast, chunks of cells
 
 
@@ -383,26 +384,29 @@ def _room(a: int, b: int) -> str:
     return (f"(x_n + y_n - aggregate(zip_with(x_bits, y_bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)) * {a + b} >= {2 * a} * (x_n + y_n)")
 
 
-def token_table(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """(set, tokens): the token arrays of the chosen sets, each from its first document (d, r)."""
+def set_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(set, text): the text of each chosen set, that of its first document (d, r)."""
     count, copies = chosen.agg(F.count(F.lit(1)), F.max("copies")).first()
     few = count <= BROADCAST_ROWS  # 24 bytes each; beyond that the texts are shuffled
     place = chosen.select("set", "d", "r")
     texts = docs.select("doc_id", "text", row_hash(F.col("text")).alias("row"))
     named = texts.join(F.broadcast(place) if few else place, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r"))).select("set", "text")
+    return named.dropDuplicates(["set"]) if (copies or 0) > 1 else named
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array([s.tobytes() for s in shingle_sets(texts, size)], pa.binary())], ["set", "tokens"])
 
-    found = named.mapInArrow(find, "set long, tokens binary")
-    return stored(found.dropDuplicates(["set"]) if (copies or 0) > 1 else found)
+def dealt(pairs: DataFrame) -> DataFrame:
+    """(a, part, lead, set): the pairs of one set a in parts of about `PART_PAIRS`, a itself at the head of each part."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PART_PAIRS).alias("parts"))
+    cut = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
+    heads = cut.select("a", "part").distinct().select("a", "part", F.lit(True).alias("lead"), F.col("a").alias("set"))
+    return heads.unionByName(cut.select("a", "part", F.lit(False).alias("lead"), F.col("b").alias("set")))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose sets meet the threshold, as a stored table.
 
-    Pairs that the parity bits rule out go first; token arrays are fetched for the others only.
+    Pairs that the parity bits rule out go first. The texts of the others are shuffled once, to the part that compares them
+    (`dealt`); sets are made there, since eight random bytes a shingle are twice a packed text and more.
     """
     a, b = threshold
     pairs = stored(pairs)
@@ -415,21 +419,28 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, thre
 
     pairs = stored(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(_room(a, b)).select("a", "b"))
     left_over = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    tokens = token_table(docs, stored(chosen.join(left_over, "set", "left_semi")), size)
+    texts = set_texts(docs, stored(chosen.join(left_over, "set", "left_semi").drop("bits", "n")))
+    members = stored(dealt(pairs))
+    few = members.count() <= BROADCAST_ROWS
+    rows = texts.join(F.broadcast(members) if few else members, "set").select("a", "part", "lead", "set", "text")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        head = None
+        for batch, texts in pieces(batches):
             good = []
-            for x, y in zip(batch.column("ta"), batch.column("tb")):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                joined = np.sort(np.concatenate((x, y)), kind="stable")
+            for lead, tokens in zip(batch.column("lead").to_pylist(), shingle_sets(texts, size)):
+                if lead:
+                    head = tokens
+                    good.append(False)
+                    continue
+                joined = np.sort(np.concatenate((head, tokens)), kind="stable")
                 both = int((joined[1:] == joined[:-1]).sum())
                 good.append(b * both >= a * (len(joined) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            found = batch.select(["a", "set"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(found.columns, ["a", "b"])
 
-    left = tokens.select(F.col("set").alias("a"), F.col("tokens").alias("ta"))
-    right = tokens.select(F.col("set").alias("b"), F.col("tokens").alias("tb"))
-    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long"))
+    ordered = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("lead"), "set")
+    return stored(ordered.mapInArrow(check, "a long, b long"))
 
 
 def near_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] = (3, 4), frequent: int = 1 << 20,

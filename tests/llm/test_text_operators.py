@@ -5,9 +5,10 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 
-from stackweave.llm import decontaminate, licenses, near, personal, repeats
+from stackweave.llm import common, decontaminate, licenses, near, personal, repeats
 
 SPACE = r"[^\x20\x09-\x0D]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -220,3 +221,38 @@ def test_keep_one_of_each_with_repeated_ids(table):
     one, two, three = ("one two three four five six", "alpha beta gamma delta epsilon zeta", "red green blue black white grey")
     kept = near.keep_one_of_each(table([one, two, one, two, three, one, None], ids=[5, 5, 9, 8, 5, 5, 7])).collect()
     assert sorted((r.doc_id, r.text or "") for r in kept) == sorted([(5, one), (5, two), (5, three), (7, "")])
+
+
+def test_small_batches(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.range(0, 5000, 1, 1).write.parquet(f"{tmp_path}/t.parquet")
+        for make in (lambda: common.read(spark, str(tmp_path), "t"), lambda: common.stored(spark.range(0, 5000, 1, 1))):
+            spark.conf.set(key, "10000")
+            sizes = make().mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)])], ["n"]) for b in batches), "n long").collect()
+            assert sum(r.n for r in sizes) == 5000 and max(r.n for r in sizes) <= common.BATCH_ROWS
+        spark.conf.set(key, "7")
+        common.small_batches(spark)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_verified_shuffles_texts_once(table, monkeypatch):
+    """No table of token arrays is written; parts of a hot set, repeated rows and null ids are compared with its own text."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:i] + [f"x{i}"] + words[i + 1:]) for i in range(0, 60, 2)] + [" ".join(words), " ".join(words[:30]), None]
+    ids = [*range(30), 7, None, 8]
+    docs = table(texts + texts[:3], ids=ids + ids[:3]).select("doc_id", "text")
+    kept, keep = [], near.stored
+    monkeypatch.setattr(near, "stored", lambda df: kept.append(df.columns) or keep(df))
+    monkeypatch.setattr(near, "PART_PAIRS", 4)
+    monkeypatch.setattr(near, "BROADCAST_ROWS", 0)
+    sets = near.document_sets(docs, 5)
+    known = sets.select("set").distinct().filter("set != 0")
+    pairs = known.select(near.F.col("set").alias("a")).crossJoin(known.select(near.F.col("set").alias("b"))).filter("a < b")
+    found = {(r.a, r.b) for r in near.verified(pairs, docs, sets, 5, (3, 4)).collect()}
+    by = {near.set_id(s): set(s.tolist()) for s in near.shingle_sets(pa.array(texts[:-1], pa.large_string()), 5)}
+    assert found == {(x, y) for x in by for y in by if x < y and 4 * len(by[x] & by[y]) >= 3 * len(by[x] | by[y])} and found
+    assert not any({"tokens", "text"} & set(columns) for columns in kept)
