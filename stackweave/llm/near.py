@@ -384,6 +384,13 @@ def _room(a: int, b: int) -> str:
     return (f"(x_n + y_n - aggregate(zip_with(x_bits, y_bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)) * {a + b} >= {2 * a} * (x_n + y_n)")
 
 
+def set_bits(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """(set, bits) of the sets that occur in `rows`, each once."""
+    wanted = rows.select("set").distinct()
+    few = wanted.count() <= BROADCAST_ROWS  # 8 bytes each; beyond that the bits of all sets are shuffled
+    return sets.select("set", "bits").join(F.broadcast(wanted) if few else wanted, "set").dropDuplicates(["set"])
+
+
 def set_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(set, text): the text of each chosen set, that of its first document (d, r)."""
     count, copies = chosen.agg(F.count(F.lit(1)), F.max("copies")).first()
@@ -461,32 +468,29 @@ def near_components(docs: DataFrame, size: int = 5, threshold: tuple[int, int] =
     first = found.filter("leader IS NOT NULL").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
     links = verified(first, docs, sets, size, threshold)
     roots = stored(components(links))
-    lists = found.filter("sig IS NOT NULL").select("sig", "set", "n", "pos", "role").distinct()
-    wanted = sets.join(lists.select("set").distinct(), "set").dropDuplicates(["set"]).select("set", "bits")
-    lists = stored(lists.join(wanted, "set"))
+    lists = stored(found.filter("sig IS NOT NULL").select("sig", "set", "n", "pos", "role").distinct())
     a, b = threshold
     fits = (f"x_root != y_root AND least(x_n, y_n) * {b} >= {a} * greatest(x_n, y_n) AND "
-            f"(x_pos < 0 OR y_pos < 0 OR least(x_n - x_pos, y_n - y_pos) * {a + b} >= {a} * (x_n + y_n)) AND "
-            f"(x_n + y_n - aggregate(zip_with(x_bits, y_bits, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)) * {a + b} >= {2 * a} * (x_n + y_n)")
+            f"(x_pos < 0 OR y_pos < 0 OR least(x_n - x_pos, y_n - y_pos) * {a + b} >= {a} * (x_n + y_n))")
     ordered = "(x_n > y_n OR x_n = y_n AND x_set > y_set)"
 
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("sig", *[F.col(c).alias(f"{name}_{c}") for c in ("set", "n", "pos", "root", "bits")])
+    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        return rows.select("sig", *[F.col(c).alias(f"{name}_{c}") for c in ("set", "n", "pos", "root", *more)])
 
     for turn in range(LEADER_ROUNDS + 1):
-        marked = lists.join(roots, lists["set"] == roots["node"], "left").select("sig", "set", "n", "pos", "role", "bits", F.coalesce("root", "set").alias("root"))
-        split = marked.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("sig")
-        lists = stored(marked.join(split, "sig"))
-        if lists.isEmpty():
+        # Rows of one set side by side: what repeats in them takes little room in the shuffles by signature.
+        marked = stored(lists.join(roots, lists["set"] == roots["node"], "left").select(*lists.columns, F.coalesce("root", "set").alias("root")).sortWithinPartitions("set"))
+        leaders = stored(marked.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(
+            F.struct("set", "n", "pos", "root"), F.xxhash64("set", F.pmod("sig", F.lit(8)), F.lit(turn))).alias("one")).filter("low != high").select("sig", "one.*"))
+        if leaders.isEmpty():
             break
         if turn < LEADER_ROUNDS:  # a few leaders for the whole corpus: few different pairs for each member
-            chosen = lists.groupBy("sig").agg(F.min_by(F.struct("set", "n", "pos", "root", "bits"), F.xxhash64("set", F.pmod("sig", F.lit(8)), F.lit(turn))).alias("y"))
-            pairs = side(lists, "x").join(chosen.select("sig", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("set", "n", "pos", "root", "bits")]), "sig").filter(fits)
-        else:  # whatever still spans two components
-            pairs = side(lists.filter("role > 1"), "x").join(side(lists.filter("role != 2"), "y"), "sig").filter(f"{fits} AND {ordered}")
+            pairs = side(marked, "x").join(side(leaders, "y"), "sig").filter(fits)
+        else:  # whatever still spans two components; only here the parity bits travel with the rows
+            wide = marked.join(leaders.select("sig"), "sig", "left_semi").join(set_bits(sets, marked), "set")
+            pairs = side(wide.filter("role > 1"), "x", "bits").join(side(wide.filter("role != 2"), "y", "bits"), "sig").filter(f"{fits} AND {ordered} AND {_room(a, b)}")
         new = verified(pairs.select(F.least("x_set", "y_set").alias("a"), F.greatest("x_set", "y_set").alias("b")).distinct(), docs, sets, size, threshold)
         roots = stored(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)))
-        lists = lists.drop("root")
     named = sets.join(roots, sets["set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set"))
     smallest = named.filter("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least_doc"))
     return named.join(smallest, "root", "left").select("doc_id", "row", "n_shingles", "set", "root", F.when(F.col("n_shingles") > 0, F.col("least_doc")).otherwise(F.col("doc_id")).alias("component_id"))

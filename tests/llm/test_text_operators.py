@@ -256,3 +256,20 @@ def test_verified_shuffles_texts_once(table, monkeypatch):
     by = {near.set_id(s): set(s.tolist()) for s in near.shingle_sets(pa.array(texts[:-1], pa.large_string()), 5)}
     assert found == {(x, y) for x in by for y in by if x < y and 4 * len(by[x] & by[y]) >= 3 * len(by[x] | by[y])} and found
     assert not any({"tokens", "text"} & set(columns) for columns in kept)
+
+
+def test_long_lists_are_narrow(table, monkeypatch):
+    """Rows of long lists are written without parity bits; leaders, then all pairs that are left, give the components of the texts."""
+    passage = " ".join(f"p{i}" for i in range(100))
+    texts = [f"{passage} " + " ".join(f"g{g}w{i}" for i in range(22)) + f" c{c}" for g in range(12) for c in range(9)]
+    docs, kept, keep = table(texts), [], near.stored
+
+    def noted(df):
+        kept.append(keep(df))
+        return kept[-1]
+
+    monkeypatch.setattr(near, "stored", noted)
+    got = {r.doc_id: r.component_id for r in near.near_report(docs, pair_from=32, triple_from=1000).collect()}
+    assert got == {i: i // 9 * 9 for i in range(len(texts))}
+    lists = [t for t in kept if {"sig", "set", "root"} <= set(t.columns)]
+    assert not lists[0].isEmpty() and not any("bits" in t.columns for t in lists)
