@@ -33,7 +33,6 @@ from stackweave.llm.tokens import encoder_of
 U = np.uint64
 SCALE, LANES, CHECK, BLOCK = 20, 1024, 1 << 16, 1 << 17
 _LOW = U(1 << 31)
-_WORD = U(0xFFFFFFFF)
 
 
 def normalised(counts: np.ndarray) -> np.ndarray:
@@ -54,24 +53,29 @@ class Coder:
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(U)
         self.low = np.concatenate(([0], np.cumsum(freq)[:-1])).astype(U)
-        self.most = self.freq << U(63 - SCALE)
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
         """(states, payload, checkpoints) of one block; coded from the last id to the first."""
         x = np.full(LANES, _LOW, U)
         words, marks, total = [], [], 0
+        at = ids.astype(np.intp)
+        freqs, lows = self.freq.take(at), self.low.take(at)
+        rests, most = U(1 << SCALE) - freqs, freqs << U(63 - SCALE)
         for start in range((len(ids) - 1) // LANES * LANES if len(ids) else -1, -1, -LANES):
-            s = ids[start:start + LANES]
-            v = x[:len(s)]
-            full = v >= self.most[s]
-            if full.any():
-                words.append((v[full] & _WORD).astype(np.uint32))
-                total += len(words[-1])
-                v = np.where(full, v >> U(32), v)
-            f = self.freq[s]
+            part = slice(start, start + LANES)
+            f = freqs[part]
+            v = x[:len(f)]
+            full = np.flatnonzero(v >= most[part])
+            if len(full):
+                high = v.take(full)
+                words.append(high.astype(np.uint32))  # the low half
+                total += len(full)
+                v[full] = high >> U(32)
             q = v // f
-            x[:len(s)] = (q << U(SCALE)) + (v - q * f) + self.low[s]
+            q *= rests[part]
+            v += q  # (v // f << SCALE) + v % f
+            v += lows[part]
             if start and start % CHECK == 0:
                 marks.append((total, x.tobytes()))
         payload = np.concatenate(words[::-1]) if words else np.zeros(0, np.uint32)
@@ -88,13 +92,16 @@ class Coder:
             n = min(LANES, count - begin)
             v = x[:n]
             slot = v & slots
-            s = self.symbol[slot]
-            v = self.freq[s] * (v >> U(SCALE)) + slot - self.low[s]
+            s = self.symbol.take(slot.view(np.int64))
+            out[begin:begin + n] = s
+            s = s.astype(np.intp)
+            v >>= U(SCALE)
+            v *= self.freq.take(s)
+            v += slot
+            v -= self.low.take(s)
             need = np.flatnonzero(v < _LOW)
-            v[need] = (v[need] << U(32)) | words[at:at + len(need)]
+            v[need] = (v.take(need) << U(32)) | words[at:at + len(need)]
             at += len(need)
-            x[:n] = v
-            out[begin:begin + n] = s
         return out
 
     def decode_from(self, checkpoint: int, count: int, payload: bytes, checkpoints: bytes) -> np.ndarray:

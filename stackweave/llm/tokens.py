@@ -89,13 +89,14 @@ class Encoder:
             self.model = self.tokenizer.model
             plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
             other = [b for b in range(256) if b not in plain]
-            self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+            self.letters = np.arange(256, dtype="<u2")
+            self.letters[other] = 256 + np.arange(len(other))
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.size, self.uses = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.begin, self.size, self.uses = (np.zeros(1 << 14, kind) for kind in (np.int64, np.int32, np.int32))
 
     def _add(self, pieces: list[bytes], sizes: np.ndarray, ids: np.ndarray) -> None:
         """Remember distinct new pieces: how many ids each has, and all ids one after another."""
@@ -209,8 +210,12 @@ class Encoder:
         missing = np.flatnonzero(index < 0)
         if len(missing):
             asked = [keys[i] for i in missing.tolist()]
-            new = list(dict.fromkeys(asked))
-            found = [[t.id for t in self.model.tokenize(k.decode("latin-1").translate(self.letters))] for k in new]
+            new = dict(zip(asked, missing.tolist()))
+            written = self.letters[data].tobytes().decode("utf-16-le")  # one letter a byte
+            places = np.concatenate((sample, other))[list(new.values())]
+            tokenize = self.model.tokenize
+            found = [[t.id for t in tokenize(written[a:b])] for a, b in zip(starts[places].tolist(), ends[places].tolist())]
+            new = list(new)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             self._add(new, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
             index[missing] = np.fromiter(map(known.__getitem__, asked), np.int64, len(asked))

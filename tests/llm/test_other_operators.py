@@ -140,6 +140,26 @@ def test_coder_round_trip():
     assert token_files.crc_join(zlib.crc32(b"abc"), zlib.crc32(b"de"), 2) == zlib.crc32(b"abcde")
 
 
+def test_coder_looks_symbols_up_once_a_block():
+    asked = []
+
+    class Table(np.ndarray):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+        def take(self, *args, **options):
+            asked.append(args)
+            return np.asarray(self).take(*args, **options)
+
+    ids = np.random.default_rng(3).integers(0, 50, 20 * token_files.LANES + 7).astype(np.uint32)
+    coder = token_files.Coder(token_files.normalised(np.bincount(ids)))
+    coder.freq, coder.low = coder.freq.view(Table), coder.low.view(Table)
+    states, payload, _ = coder.encode(ids)
+    assert len(asked) == 2
+    assert (coder.decode(len(ids), states, payload) == ids).all()
+
+
 def test_encoder_is_the_librarys():
     encoder, r = Encoder(token_files.default_tokenizer()), random.Random(2)
     parts = ["a", "B", " ", "  ", "'", "s", "re", "ll", "1", "22", "\n", "\t", " ", "é", "²", "!", "’", "　", "漢", "<|endoftext|>", "_", "Σ", "\r\n"]
