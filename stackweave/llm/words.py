@@ -16,7 +16,7 @@ U = np.uint64
 _MASK = (1 << 64) - 1
 _M, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 _MI, _QI = pow(_M, -1, 1 << 64), pow(_Q, -1, 1 << 64)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 16  # bytes; each worker process keeps two tables of that many powers
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

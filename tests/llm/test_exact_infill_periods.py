@@ -246,3 +246,16 @@ def test_memo_keeps_common_pieces(monkeypatch):
     for run in range(12):
         encoder.encode(pa.array([common + f" new{chr(97 + run)}zq" * 2 + "".join(f" odd{chr(97 + run)}{chr(97 + k)}qz" for k in range(12))], pa.large_string()))
     assert not any("every" in piece for piece in asked)
+
+
+def test_hashes_need_short_tables(monkeypatch):
+    """Words of any length are hashed a short stretch at a time; a worker keeps no table of a run's length."""
+    from stackweave.llm import words as W
+    monkeypatch.setattr(W, "_tables", {})
+    data = np.frombuffer(b"some words " * 100_000 + b"x" * 300_000, np.uint8)
+    starts = np.append(np.arange(0, 1_100_000, 11), 1_100_000)
+    ends = np.append(starts[1:] - 1, len(data))
+    found = W.hash_bytes(data, starts, ends)
+    assert max(map(len, W._tables.values())) <= 1 << 17
+    monkeypatch.setattr(W, "_CHUNK", 1 << 20)
+    assert (found == W.hash_bytes(data, starts, ends)).all() and len(set(found.tolist())) == 2
