@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,6 +25,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs run inside send rows to Python in batches that end with the row that reaches `size` bytes.
+
+    For tables whose rows hold blocks of hundreds of KB: a batch of all rows of a task is held by the JVM beside its heap,
+    in a buffer that doubles as it grows, and again by the Python worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def local_table(spark: SparkSession, columns: dict[str, tuple[pa.DataType, list]]) -> DataFrame:
+    """A table of the driver's rows. They go to Spark as Arrow: for plain rows each executor starts a second set of Python workers."""
+    return spark.createDataFrame(pa.table({name: pa.array(values, kind, from_pandas=True) for name, (kind, values) in columns.items()}))
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stackweave.llm import words as W
-from stackweave.llm.common import pieces, row_hash, stored
+from stackweave.llm.common import local_table, pieces, row_hash, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 _LARGE = 500_000_000  # counts from which the normal limit is drawn
@@ -205,7 +205,7 @@ def mix(docs: DataFrame, block: int = 128, shard: int = 1024, seed: int = 202402
     docs = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     sized = stored(word_counts(docs))
     sources = source_table(sized, weights, repeat)
-    numbered = spark.createDataFrame([(s, i) for i, s in enumerate(sources["source"])], "s string, number int")
+    numbered = local_table(spark, {"s": (pa.string(), sources["source"].tolist()), "number": (pa.int32(), range(len(sources)))})
     streams = placed(sized).join(numbered, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     spread = streams.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))).withColumns({
         "first_word": F.greatest(F.col("block") * block - F.col("start"), F.lit(0)), "last_word": F.least((F.col("block") + 1) * block - F.col("start"), F.col("size"))})
@@ -220,7 +220,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     taken = found.groupBy("doc_id", "source", "row", "copy").agg(F.sum(F.col("last_word") - F.col("first_word")).alias("taken")).withColumnsRenamed(
         {"doc_id": "d", "source": "s", "row": "r", "copy": "c"})
-    table = spark.createDataFrame([(r.source, int(r.size_), float(r.target)) for r in sources.rename(columns={"size": "size_"}).itertuples()], "t string, source_size long, target double")
+    table = local_table(spark, {"t": (pa.string(), sources["source"].tolist()), "source_size": (pa.int64(), sources["size"]), "target": (pa.float64(), sources["target"])})
     joined = numbered_copies(sized).join(table, F.col("source").eqNullSafe(F.col("t")))
     joined = joined.join(taken, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("row") == F.col("r")) & (F.col("copy") == F.col("c")), "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -27,11 +27,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stackweave.llm.common import id_buckets, pieces, row_hash, stored
+from stackweave.llm.common import batch_bytes, id_buckets, local_table, pieces, row_hash, stored
 from stackweave.llm.tokens import encoder_of
 
 U = np.uint64
 SCALE, LANES, CHECK, BLOCK = 20, 1024, 1 << 16, 1 << 17
+BATCH = 1 << 21  # bytes of blocks that go to Python at once, and one block more
 _LOW = U(1 << 31)
 
 
@@ -191,7 +192,8 @@ def frequencies(blocks: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["symbol", "count"])
 
-    rows = blocks.select("ids", "n_ids").mapInArrow(count, "symbol int, count long").groupBy("symbol").agg(F.sum("count").alias("count")).toArrow()
+    with batch_bytes(blocks.sparkSession, BATCH):
+        rows = blocks.select("ids", "n_ids").mapInArrow(count, "symbol int, count long").groupBy("symbol").agg(F.sum("count").alias("count")).toArrow()
     symbols = rows["symbol"].to_numpy()
     counts = np.zeros(int(symbols.max()) + 1 if len(symbols) else 1, np.int64)
     counts[symbols] = rows["count"].to_numpy()
@@ -224,10 +226,11 @@ def write_token_files(docs: DataFrame, path: str, end: int = 0, rows_per_file: i
                                                  [*names, "states", "payload", "checkpoints", "crc"])
 
     kind, _ = _kind(docs)
-    blocks = stored(raw.mapInArrow(code, f"file int, block int, start long, n_ids int, docs array<{kind}>, lengths array<int>, skipped long, open boolean, "
-                                         "states binary, payload binary, checkpoints binary, crc long"))
+    with batch_bytes(spark, BATCH):
+        blocks = stored(raw.mapInArrow(code, f"file int, block int, start long, n_ids int, docs array<{kind}>, lengths array<int>, skipped long, open boolean, "
+                                             "states binary, payload binary, checkpoints binary, crc long"))
     seen = np.flatnonzero(freq)
-    table = stored(spark.createDataFrame(pd.DataFrame({"symbol": seen.astype(np.int32), "freq": freq[seen]}), "symbol int, freq long"))
+    table = stored(local_table(spark, {"symbol": (pa.int32(), seen), "freq": (pa.int64(), freq[seen])}))
     return blocks, table
 
 
@@ -297,7 +300,8 @@ def read_documents(blocks: DataFrame, table: DataFrame) -> DataFrame:
             return crc
         return parts.map(one)
 
-    found = stored(found)
+    with batch_bytes(spark, BATCH):
+        found = stored(found)
     # One row per block of a document that spans several.
     long = found.filter("NOT whole").groupBy("doc_id", "start").agg(F.sum("n_tokens").alias("n_tokens"), F.collect_list(F.struct("part", "n_tokens", "ids_crc32")).alias("parts"))
     return found.filter("whole").select("doc_id", "start", "n_tokens", "ids_crc32").unionByName(long.select("doc_id", "start", "n_tokens", joined("parts").alias("ids_crc32")))

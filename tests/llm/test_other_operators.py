@@ -238,3 +238,39 @@ def test_template_counts_against_brute_force(spark):
                 wanted.setdefault(host, set()).add(h)
     got = {x.host: set(x.templates) for x in pages.site_templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == wanted and wanted
+
+
+# ---- memory of executors ---------------------------------------------------------------------
+
+def test_blocks_travel_in_small_batches(spark, table, monkeypatch):
+    """Blocks go to Python a few at a time in every pass over them; texts go as the session says."""
+    from stackweave.llm import common
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    before, stored = spark.conf.get(key), token_files.stored
+
+    def noted(df):
+        seen[tuple(df.columns[-2:])] = spark.conf.get(key)
+        return stored(df)
+
+    monkeypatch.setattr(token_files, "stored", noted)
+    rows = token_files.token_report(table([f"text {i}" for i in range(20)] + [None, ""]), token_files.default_tokenizer()).collect()
+    assert len(rows) == 22 and spark.conf.get(key) == before
+    assert seen["open", "ids"] == before and seen["checkpoints", "crc"] == seen["part", "whole"] == str(token_files.BATCH)
+    blocks = common.stored(spark.range(0, 40, 1, 1).selectExpr("cast(repeat('x', 250000) AS binary) AS ids"))
+    with common.batch_bytes(spark, token_files.BATCH):
+        sizes = blocks.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([len(b)])], ["n"]) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 40 and max(r["n"] for r in sizes) <= 9
+
+
+def test_rows_of_the_driver_need_no_python_workers(spark, table, monkeypatch):
+    """Source and frequency tables reach Spark as local rows, nulls and empty tables included."""
+    from stackweave.llm import common
+    plans, stored = [], common.stored
+    monkeypatch.setattr(token_files, "stored", lambda df: plans.append(df._jdf.queryExecution().toString()) or stored(df))
+    token_files.token_report(stored(table(["a b", "c"])), token_files.default_tokenizer()).collect()
+    docs = stored(table(["one two three", "four five"], extra=False).unionByName(table(["six seven"], extra=False, ids=[9], source=None)))
+    for rows in (docs, docs.limit(0)):
+        mixed, report = mixing.mixed_documents(rows), mixing.mix_report(rows)
+        plans += [mixed._jdf.queryExecution().toString(), report._jdf.queryExecution().toString()]
+        assert report.count() == rows.count() and mixed.filter("source IS NULL").count() == (1 if rows is docs else 0)
+    assert not any("LogicalRDD" in p for p in plans)
