@@ -114,17 +114,30 @@ def rate_history_1m(rows: DataFrame, key: str, observed: str, rate: str,
     """Points, mean and peak of a key's rate over the minute up to each observation.
 
     Rows are copied to their own and the next minute, so the sliding window runs in one
-    (key, minute) group and a busy key spreads over its minutes.
+    (key, minute) group and a busy key spreads over its minutes. A row's window is the end of the minute
+    before, from the row's place in its own minute on, and its own minute up to there: two running
+    aggregates, so the cost does not grow with the number of rows in a window.
     """
     span = seconds * 1_000_000
     own = scans.whole(_micros(F.col(observed)), span)
-    copies = rows.withColumn("__own", own).withColumn(
+    copies = rows.withColumn("__own", own).withColumn("__place", _micros(F.col(observed)) - F.col("__own") * span).withColumn(
         "__bucket", F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
-    window = (Window.partitionBy(key, "__bucket").orderBy(F.unix_micros(F.col(observed)))
-              .rangeBetween(-span, 0))
-    return (copies.withColumns({"points": F.count(rate).over(window), "meanRate": F.avg(rate).over(window),
-                                "peakRate": F.max(rate).over(window)})
-            .filter("__own = __bucket").drop("__own", "__bucket"))
+    is_own = F.col("__own") == F.col("__bucket")
+    group = Window.partitionBy(key, "__bucket")
+
+    def running(value: Column, order: Column, name: str) -> dict[str, Column]:
+        window = group.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        total = value if rows.schema[rate].dataType.typeName() == "decimal" else value.cast("double")
+        return {f"__points{name}": F.count(value).over(window), f"__sum{name}": F.sum(total).over(window),
+                f"__peak{name}": F.max(value).over(window)}
+
+    both = copies.withColumns({**running(F.when(~is_own, F.col(rate)), F.col("__place").desc(), "Before"),
+                               **running(F.when(is_own, F.col(rate)), F.col("__place").asc(), "Own")}).filter(is_own)
+    points = F.col("__pointsBefore") + F.col("__pointsOwn")
+    total = F.coalesce("__sumBefore", F.lit(0)) + F.coalesce("__sumOwn", F.lit(0))
+    mean = F.when(points > 0, total / points).cast(rows.select(F.avg(rate)).schema[0].dataType)
+    return both.withColumns({"points": points, "meanRate": mean, "peakRate": F.greatest("__peakBefore", "__peakOwn")}).drop(
+        "__own", "__bucket", "__place", *[f"__{v}{n}" for v in ("points", "sum", "peak") for n in ("Before", "Own")])
 
 
 def file_status(files: DataFrame, observed: str = "observed") -> DataFrame:
