@@ -10,6 +10,8 @@ before each chunk come from a two-level scan (`scans.entry_states`) over chunks
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,13 +35,10 @@ def number_frames(frames: DataFrame, chunk_rows: int = scans.CHUNK_ROWS) -> Data
     return scans.track_numbers(frames, "startTime", frame_order(), "position", chunk_rows)
 
 
-def _open_frames(table: pa.Table, stack: list[tuple]) -> tuple[list[int], list[tuple]]:
-    """Depths of the frames in order, given the (endTime, endTrace) stack open before them."""
-    table = table.sort_by([("startTime", "ascending"), ("startTrace", "ascending"),
-                           ("endTime", "descending"), ("endTrace", "descending"), ("frameId", "ascending")])
-    columns = [table.column(c).to_numpy().tolist() for c in ("startTime", "startTrace", "endTime", "endTrace")]
+def _open_frames(ends: Iterable[tuple], stack: list[tuple]) -> tuple[list[int], list[tuple]]:
+    """Depths of frames (startTime, startTrace, endTime, endTrace) in order, given the (endTime, endTrace) stack open before them."""
     depths = []
-    for start, start_trace, end, end_trace in zip(*columns):
+    for start, start_trace, end, end_trace in ends:
         start_at, end_at = (start, start_trace), (end, end_trace)
         while stack and (stack[-1] <= start_at or stack[-1] < end_at):
             stack.pop()
@@ -48,11 +47,15 @@ def _open_frames(table: pa.Table, stack: list[tuple]) -> tuple[list[int], list[t
     return depths, stack
 
 
-def _local_stack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    _, stack = _open_frames(table, [])
-    flat = [v for end in stack for v in end]
-    return pa.table({"tid": [key[0]], "kind": pa.array([key[1].as_py()], pa.int32()),
-                     "chunk": pa.array([key[2].as_py()], pa.int64()), "ends": pa.array([flat], _PAIRS)})
+def _ends(table: pa.Table) -> list[tuple]:
+    return list(zip(*scans.lists(table, ["startTime", "startTrace", "endTime", "endTrace"])))
+
+
+def _local_stacks(table: pa.Table, borders: list[int]) -> pa.Table:
+    ends, at = _ends(table), borders[:-1]
+    flat = [[v for end in _open_frames(ends[a:b], [])[1] for v in end] for a, b in zip(borders, borders[1:])]
+    heads = table.select([*_KEYS, "chunk"]).take(pa.array(at, pa.int64()))
+    return heads.append_column("ends", pa.array(flat, _PAIRS))
 
 
 def _join_stacks(below: list[int] | None, own: list[int]) -> list[int]:
@@ -61,29 +64,35 @@ def _join_stacks(below: list[int] | None, own: list[int]) -> list[int]:
     return kept + own
 
 
-def _depths(key: tuple[pa.Scalar, ...], frames: pa.Table, entries: pa.Table) -> pa.Table:
-    flat = (entries.column("entry")[0].as_py() if entries.num_rows else None) or []
-    frames = frames.sort_by([("startTime", "ascending"), ("startTrace", "ascending"),
-                             ("endTime", "descending"), ("endTrace", "descending"), ("frameId", "ascending")])
-    depths, _ = _open_frames(frames, list(zip(flat[::2], flat[1::2])))
-    at = frames.schema.get_field_index("depth")
-    return frames.set_column(at, "depth", pa.array(depths, pa.int64())).drop_columns(["chunk"])
+def _depths(table: pa.Table, borders: list[int]) -> pa.Table:
+    """Frames with their depths; a chunk's open stack is the row before its frames, if there is one."""
+    ends, entries = _ends(table), table.column("entry")
+    opens = entries.is_valid().to_pylist()
+    depths: list[int | None] = []
+    for a, b in zip(borders, borders[1:]):
+        flat = entries[a].as_py() if opens[a] else []
+        first = a + opens[a]
+        depths += [None] * (first - a) + _open_frames(ends[first:b], list(zip(flat[::2], flat[1::2])))[0]
+    at = table.schema.get_field_index("depth")
+    return table.set_column(at, "depth", pa.array(depths, pa.int64())).filter(entries.is_null()).drop_columns(["chunk", "entry"])
 
 
 def normalize_depths(frames: DataFrame, chunk_rows: int = scans.CHUNK_ROWS, fan: int = scans.FAN) -> DataFrame:
     """Replace `depth` by the nesting level.
 
     Frames of (tid, kind) are cut along their start into chunks of at most `chunk_rows`; only those of several chunks
-    are scanned for the stacks open in between. A chunk is one Arrow group.
+    are scanned for the stacks open in between. A chunk is one group of rows in start order.
     """
     columns, on = frames.columns, [*_KEYS, "chunk"]
     cut = scans.time_chunks(frames, _KEYS, "startTime", chunk_rows)
-    local = (cut.filter("chunks > 1").groupBy(*on)
-             .applyInArrow(_local_stack, "tid long, kind int, chunk long, ends array<long>"))
+    local = scans.map_groups(cut.filter("chunks > 1").drop("chunks"), on, frame_order(), _local_stacks,
+                             "tid long, kind int, chunk long, ends array<long>")
     entries = scans.entry_states(local, _KEYS, "ends", _join_stacks, fan)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.schema.fields)
-    return (cut.select(*columns, "chunk").groupBy(*on).cogroup(entries.groupBy(*on))
-            .applyInArrow(_depths, schema))
+    rows = cut.select(*columns, "chunk", F.lit(None).cast("array<long>").alias("entry"))
+    opened = entries.select(*[F.col(c) if c in on else F.lit(0).cast(frames.schema[c].dataType).alias(c) for c in columns],
+                            "chunk", F.coalesce("entry", F.array().cast("array<long>")).alias("entry"))
+    return scans.map_groups(rows.unionByName(opened), on, [F.col("entry").isNull(), *frame_order()], _depths, schema)
 
 
 def frame_islands(frames: DataFrame, chunk_rows: int = scans.CHUNK_ROWS) -> DataFrame:

@@ -15,9 +15,10 @@ run is scanned, so that no task sees all chunks of a key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK_ROWS = 1 << 16
@@ -68,18 +69,21 @@ def _starts(cells: Column, most: int, bits: int) -> Column:
     return F.aggregate(F.array_sort(cells), nothing, step)["starts"]
 
 
-def time_splitters(df: DataFrame, keys: list[str], at: str, most: int = CHUNK_ROWS) -> DataFrame:
+def time_splitters(df: DataFrame, keys: list[str], at: str, most: int = CHUNK_ROWS, cell_bits: int = _CELL_BITS) -> DataFrame:
     """(keys, starts): where the chunks of every key with more than `most` rows begin, ascending.
 
-    Rows are counted per key and cell of 65 us, combined before the shuffle. Twice 2^12 cells are rolled up into one row
+    Keys are counted first, so that cells are made for the long ones only. Their rows are counted per key and cell of 65 us,
+    combined before the shuffle. Twice 2^12 cells are rolled up into one row
     of the cell above, with the starts found inside if it holds too many rows; on top, a key has one row per 18 minutes of
     the trace. A single cell may exceed `most`: more than 2^16 rows of one key within 65 us stay together.
     """
     def above(cell: str) -> Column:
         return F.shiftright(cell, _STEP_BITS).alias("upper")
 
-    rows = df.groupBy(*keys, F.shiftright(at, _CELL_BITS).alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
-    rows, bits = rows.withColumn("starts", F.lit(None).cast("array<bigint>")), _CELL_BITS
+    # At most one key in `most` rows is long, so a broadcast of them stays small.
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > most).select(*keys)
+    rows = df.join(F.broadcast(long), keys, "left_semi").groupBy(*keys, F.shiftright(at, cell_bits).alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
+    rows, bits = rows.withColumn("starts", F.lit(None).cast("array<bigint>")), cell_bits
     for level in range(3):
         last = level == 2
         cells = F.collect_list(F.struct("cell", "rows", "starts"))
@@ -96,14 +100,15 @@ def time_splitters(df: DataFrame, keys: list[str], at: str, most: int = CHUNK_RO
 def time_chunks(df: DataFrame, keys: list[str], at: str, most: int = CHUNK_ROWS, splitters: DataFrame | None = None) -> DataFrame:
     """Add `chunk`, numbered along `at` within each key, with at most `most` rows each (see `time_splitters`), and `chunks`.
 
-    A key with a third of all rows has its rows joined with one small row; Spark broadcasts or splits that join.
+    A key with a third of all rows has its rows joined with one small row. The splitters are broadcast: they hold no more than two
+    numbers for `most` rows of the table, and the rows need no shuffle for it.
     """
     splitters = time_splitters(df, keys, at, most) if splitters is None else splitters
     steps = F.array(*[F.lit(1 << b) for b in range(_SEARCH_BITS - 1, -1, -1)])
     # Number of starts at or before the row, bit by bit.
     found = F.aggregate(steps, F.lit(0), lambda low, step: F.when(
         (low + step <= F.size("starts")) & (F.get("starts", low + step - 1) <= F.col(at)), low + step).otherwise(low))
-    return (df.join(splitters, keys, "left")
+    return (df.join(F.broadcast(splitters), keys, "left")
             .withColumn("chunk", F.when(F.col("starts").isNull(), 0).otherwise(found).cast("long"))
             .withColumn("chunks", F.when(F.col("starts").isNull(), 1).otherwise(F.size("starts") + 1)).drop("starts"))
 
@@ -145,6 +150,54 @@ def entry_states(local: DataFrame, keys: list[str], state: str, fold: Callable,
         lambda table, start: entered(table, start.column("entry")[0].as_py() if start.num_rows else None), f"{head}, chunk long, entry {kind}")
 
 
+def _borders(table: pa.Table, keys: Sequence[str]) -> list[int]:
+    """Row numbers at which another group begins, without the first row, in a table sorted by `keys`."""
+    changed = None
+    for key in keys:
+        column = table.column(key).combine_chunks()
+        one, two = column.slice(0, len(column) - 1), column.slice(1)
+        if pa.types.is_nested(column.type):  # which Arrow does not compare
+            values = column.to_pylist()
+            other = pa.array([a != b for a, b in zip(values, values[1:])], pa.bool_())
+        else:
+            other = pc.or_(pc.fill_null(pc.not_equal(one, two), False), pc.xor(one.is_null(), two.is_null()))
+        changed = other if changed is None else pc.or_(changed, other)
+    return [at + 1 for at in pc.indices_nonzero(changed).to_pylist()]
+
+
+def map_groups(df: DataFrame, keys: list[str], order: Sequence[str | Column], function: Callable[[pa.Table, list[int]], pa.Table],
+               schema: str) -> DataFrame:
+    """What `groupBy(keys).applyInArrow` does, for many small groups: a group costs no Arrow stream of its own.
+
+    Rows are dealt by `keys` into all shuffle partitions (Python time, not bytes, is what counts), sorted by keys and `order`, and
+    come to `function` as a table of whole groups and their borders: group i is rows borders[i] to borders[i + 1]. No table holds
+    more than one batch and one group.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            borders = _borders(table, keys)
+            if borders:
+                yield from function(table.slice(0, borders[-1]).combine_chunks(), [0, *borders]).to_batches()
+                table = table.slice(borders[-1])
+            held = table
+        if held is not None:
+            yield from function(held.combine_chunks(), [0, held.num_rows]).to_batches()
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(parts, *keys).sortWithinPartitions(*keys, *_order(order))
+    return dealt.mapInArrow(run, schema)
+
+
+def lists(table: pa.Table, names: Sequence[str]) -> list[list]:
+    """Columns as Python lists, by way of numpy where no value is missing."""
+    return [c.to_pylist() if c.null_count else c.to_numpy().tolist() for c in map(table.column, names)]
+
+
 def _carry(summary: DataFrame, keys: list[str], value: str, join: Callable[[Column, Column], Column],
            all_of: Callable[[str], Column], before: Callable[[str], Column], fan: int) -> DataFrame:
     """(keys, chunk, __carry): `value` of all earlier chunks of the key.

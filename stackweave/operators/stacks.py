@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,7 +30,6 @@ _ROW, _LOSS, _STATE = 0, 1, 2
 CHUNK_FAN = 256
 
 
-
 def fold_columns() -> list[Column]:
     """Integer columns for the fold from classified rows, named as the helper names them."""
     action = (F.when(F.col("isCall") & F.col("isStackCall"), fold.CALL)
@@ -59,24 +59,34 @@ def _fill(name: str) -> Column:
     return (F.col(source) if source else F.lit(0).cast("long")).alias(name)
 
 
-def _split(table: pa.Table) -> tuple[list, list, list | None]:
-    """Sorted rows, losses and entry state of one chunk."""
-    table = table.sort_by([("tag", "ascending"), ("ord", "ascending")])
-    tags = table.column("tag").to_numpy()
-    row_count, loss_count = int((tags == _ROW).sum()), int((tags == _LOSS).sum())
-    rows = list(zip(*[table.column(name).slice(0, row_count).to_numpy().tolist()
-                      for name in ROW_FIELDS]))
-    losses = list(zip(*[table.column(name).slice(row_count, loss_count).to_numpy().tolist()
-                        for name in ("time", "cpu")]))
-    states = table.column("state").slice(row_count + loss_count).to_pylist()
-    return rows, losses, states[0] if states else None
+def _known(values: list) -> list:
+    """Missing values of a chunk's column as NaN, next to which all of its numbers are floats."""
+    return [float("nan") if v is None else float(v) for v in values] if None in values else values
+
+
+def _groups(table: pa.Table, borders: list[int]) -> Iterator[tuple[list, list, list | None]]:
+    """Rows, losses and entry state of each chunk; rows come by tag and order."""
+    tags, states = table.column("tag").to_numpy(), table.column("state")
+    columns = scans.lists(table, ROW_FIELDS)
+    time, cpu = columns[ROW_FIELDS.index("time")], columns[ROW_FIELDS.index("cpu")]
+    missing = any(table.column(name).null_count for name in ROW_FIELDS)
+    rows, losses = list(zip(*columns)), list(zip(time, cpu))
+    for a, b in zip(borders, borders[1:]):
+        own = tags[a:b]
+        lost, stated = a + int((own == _ROW).sum()), b - int((own == _STATE).sum())
+        state = states[stated].as_py() if stated < b else None
+        if missing:
+            yield list(zip(*[_known(c[a:lost]) for c in columns])), list(zip(_known(time[lost:stated]), _known(cpu[lost:stated]))), state
+        else:
+            yield rows[a:lost], losses[lost:stated], state
 
 
-def _summarise(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    rows, losses, _ = _split(table)
-    facts = fold.summarise_chunk(rows, losses)
-    facts.update(tid=key[0].as_py(), chunk=key[1].as_py(), lastChunk=key[2].as_py())
-    return _fact_table([facts])
+def _summarise(table: pa.Table, borders: list[int]) -> pa.Table:
+    heads = scans.lists(table.take(pa.array(borders[:-1], pa.int64())), ["tid", "chunk", "lastChunk"])
+    facts = [fold.summarise_chunk(rows, losses) for rows, losses, _ in _groups(table, borders)]
+    for fact, tid, chunk, last in zip(facts, *heads):
+        fact.update(tid=tid, chunk=chunk, lastChunk=last)
+    return _fact_table(facts)
 
 
 def _fact_table(facts: list[dict]) -> pa.Table:
@@ -85,23 +95,24 @@ def _fact_table(facts: list[dict]) -> pa.Table:
                      for name, kind in columns})
 
 
-def _combine(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    facts = fold.combine_summaries(table.sort_by("chunk").to_pylist())
-    facts.update(tid=key[0].as_py(), chunk=key[1].as_py(), lastChunk=0)
-    return _fact_table([facts])
-
-
-def _states(facts: list[dict], initial: list[int] | None) -> pa.Table:
-    numbers = {name: pa.array([f[name] for f in facts], pa.int64()) for name in ("tid", "chunk", "lastChunk")}
-    return pa.table({**numbers, "state": pa.array(list(fold.entry_states(facts, initial)), pa.list_(pa.int64()))})
-
+def _combine(table: pa.Table, borders: list[int]) -> pa.Table:
+    chunks, facts = table.to_pylist(), []
+    for a, b in zip(borders, borders[1:]):
+        facts.append(fold.combine_summaries(chunks[a:b]))
+        facts[-1].update(tid=chunks[a]["tid"], chunk=chunks[a]["run"], lastChunk=0)
+    return _fact_table(facts)
 
-def _entries(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    return _states(table.sort_by("chunk").to_pylist(), None)
 
-
-def _entries_from(key: tuple[pa.Scalar, ...], chunks: pa.Table, entries: pa.Table) -> pa.Table:
-    return _states(chunks.sort_by("chunk").to_pylist(), entries.column("state")[0].as_py())
+def _entries(table: pa.Table, borders: list[int]) -> pa.Table:
+    """Entry states of consecutive chunks; a row that brings a state, before its chunks, is what they begin with."""
+    chunks, found = table.to_pylist(), []
+    for a, b in zip(borders, borders[1:]):
+        initial, first = chunks[a].get("state"), a
+        if initial is not None:
+            first += 1
+        found += zip(chunks[first:b], fold.entry_states(chunks[first:b], initial))
+    numbers = {name: pa.array([f[name] for f, _ in found], pa.int64()) for name in ("tid", "chunk", "lastChunk")}
+    return pa.table({**numbers, "state": pa.array([state for _, state in found], pa.list_(pa.int64()))})
 
 
 def _chunk_states(summaries: DataFrame, fan: int) -> DataFrame:
@@ -112,36 +123,32 @@ def _chunk_states(summaries: DataFrame, fan: int) -> DataFrame:
     """
     schema = "tid long, chunk long, lastChunk long, state array<long>"
     summaries = durable(summaries.withColumn("run", scans.whole(F.col("chunk"), fan)))
-    runs = summaries.groupBy("tid", "run").applyInArrow(_combine, _SUMMARY_SCHEMA)
-    starts = runs.groupBy("tid").applyInArrow(_entries, schema).withColumnRenamed("chunk", "run")
-    return (summaries.groupBy("tid", "run").cogroup(starts.groupBy("tid", "run"))
-            .applyInArrow(_entries_from, schema))
-
-
-def _fold(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    rows, losses, state = _split(table)
-    counters = fold.Counters()
-    is_last = key[1].as_py() == key[2].as_py()
-    frames = fold.fold_chunk(rows, losses, fold.unpack_state(state) if state else None, is_last, counters)
-    count = len(frames)
-    columns = list(zip(*frames)) if frames else [()] * len(FRAME_FIELDS)
-    # Row 0 carries the chunk's counters, rows 1.. its frames in emission order.
-    data = {"tid": [key[0].as_py()] * (count + 1), "chunk": [key[1].as_py()] * (count + 1),
-            "n": range(count + 1)}
-    data.update({name: [None, *values] for name, values in zip(FRAME_FIELDS, columns)})
-    counts = [count, counters.skipped, counters.ignored, counters.resyncs, counters.dropped]
-    data.update({name: [value, *[None] * count] for name, value in zip(_COUNT_FIELDS, counts)})
+    runs = scans.map_groups(summaries, ["tid", "run"], ["chunk"], _combine, _SUMMARY_SCHEMA)
+    starts = scans.map_groups(runs, ["tid"], ["chunk"], _entries, schema).select(
+        "tid", F.col("chunk").alias("run"), F.lit(-1).cast("long").alias("chunk"), "state")
+    return scans.map_groups(summaries.unionByName(starts, allowMissingColumns=True), ["tid", "run"], ["chunk"], _entries, schema)
+
+
+def _fold(table: pa.Table, borders: list[int]) -> pa.Table:
+    tids, chunks, lasts = scans.lists(table.take(pa.array(borders[:-1], pa.int64())), ["tid", "chunk", "lastChunk"])
+    names = [*FRAME_FIELDS, *_COUNT_FIELDS]
+    data: dict[str, list] = {name: [] for name in ("tid", "chunk", "n", *names)}
+    none = (None,) * len(FRAME_FIELDS)
+    for (rows, losses, state), tid, chunk, last in zip(_groups(table, borders), tids, chunks, lasts):
+        counters = fold.Counters()
+        frames = fold.fold_chunk(rows, losses, fold.unpack_state(state) if state else None, chunk == last, counters)
+        count = len(frames)
+        # Row 0 carries the chunk's counters, rows 1.. its frames in emission order.
+        data["tid"] += [tid] * (count + 1)
+        data["chunk"] += [chunk] * (count + 1)
+        data["n"] += range(count + 1)
+        for name, values in zip(FRAME_FIELDS, zip(none, *frames)):
+            data[name] += values
+        for name, value in zip(_COUNT_FIELDS, (count, counters.skipped, counters.ignored, counters.resyncs, counters.dropped)):
+            data[name] += [value, *[None] * count]
     return pa.table({name: pa.array(values, pa.int64()) for name, values in data.items()})
 
 
-def _spread(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Shuffle on the group keys into all shuffle partitions.
-
-    The fold is bound by Python time, so partitions must not be merged by their size in bytes.
-    """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def fold_branches(branches: DataFrame, locations: DataFrame, losses: DataFrame,
                   chunk_rows: int = scans.CHUNK_ROWS, fan: int = CHUNK_FAN) -> DataFrame:
     """Raw fold output: per (tid, chunk) a counter row (n = 0) and the frames (n = 1..).
@@ -159,13 +166,12 @@ def fold_branches(branches: DataFrame, locations: DataFrame, losses: DataFrame,
     merged = durable(rows.unionByName(loss_rows))  # read twice: by the summaries of long threads and by the fold
 
     whole_group = ["tid", "chunk", "lastChunk"]
-    summaries = (_spread(merged.filter("lastChunk > 0"), whole_group).groupBy(*whole_group)
-                 .applyInArrow(_summarise, _SUMMARY_SCHEMA))
+    order = ["tag", F.col("ord").asc_nulls_last()]
+    summaries = scans.map_groups(merged.filter("lastChunk > 0"), whole_group, order, _summarise, _SUMMARY_SCHEMA)
     state_rows = _chunk_states(summaries, fan).select("tid", "chunk", "lastChunk", F.lit(_STATE).alias("tag"),
                                *[F.lit(0).cast("long").alias(name) for name in ("ord", *ROW_FIELDS)],
                                "state")
-    return (_spread(merged.unionByName(state_rows), whole_group).groupBy(*whole_group)
-            .applyInArrow(_fold, _RAW_SCHEMA))
+    return scans.map_groups(merged.unionByName(state_rows), whole_group, order, _fold, _RAW_SCHEMA)
 
 
 def frame_ids(raw: DataFrame) -> DataFrame:

@@ -94,3 +94,20 @@ def test_track_numbers(spark):
     rows = spark.createDataFrame([(rng.choice([1, 2, 70_000]), rng.randint(0, 1), rng.randrange(10 ** 8), i) for i in range(400)], "tid long, kind int, at long, n long")
     got = scans.track_numbers(rows, "at", ["at", "n"], "x", 20)
     same(got.withColumn("y", F.row_number().over(Window.orderBy("tid", "kind", "at", "n")).cast("long")), "x", "y")
+
+
+def test_map_groups(spark):
+    """Whole groups in order, also across Arrow batches and with missing keys, without an Arrow stream per group."""
+    import pyarrow as pa
+
+    def totals(table, borders):
+        k, v = table.column("k").to_pylist(), table.column("v").to_pylist()
+        return pa.table({"k": pa.array([k[a] for a in borders[:-1]], pa.int64()),
+                         "rows": pa.array([b - a for a, b in zip(borders, borders[1:])], pa.int64()),
+                         "sorted": pa.array([v[a:b] == sorted(v[a:b]) for a, b in zip(borders, borders[1:])])})
+
+    rows = spark.range(60_000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 WHEN id % 1001 > 0 THEN id % 1001 END AS k", "(id * 7919) % 60000 AS v")
+    found = scans.map_groups(rows, ["k"], ["v"], totals, "k long, rows long, sorted boolean")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert all(r.sorted for r in got) and {r.k: r.rows for r in got} == {r.k: r["count"] for r in rows.groupBy("k").count().collect()} and len(got) == 1001
