@@ -155,3 +155,16 @@ def test_frames_of_one_instant():
                 wanted[c["frameId"]] = min(up, key=order)["frameId"]
         at, found = S.parents(pa.Table.from_pylist(rows, schema=pa.schema([(n, pa.int64()) for n in S.FIELDS] + [("child", pa.string())])), [])
         assert {rows[i]["frameId"]: p for i, p in zip(at, found)} == wanted
+
+@pytest.mark.parametrize("chunk_rows", [4, 1 << 16])
+def test_first_holding_over_many_chunks(spark, chunk_rows):
+    """Long intervals cross many chunks: they are kept as one best each, and an interval's rows do not grow with its length."""
+    rng = random.Random(chunk_rows)
+    held = [("ab"[i % 2], lo, lo + rng.choice([0, 3, 40, 4000]) * 1000, i) for i, lo in enumerate(rng.randint(0, 4000) * 1000 for _ in range(120))]
+    asked = [(i, rng.choice("abc"), rng.randint(0, 5000) * 1000) for i in range(200)]
+    points = spark.createDataFrame(asked, "sampleId long, symbol string, time long")
+    intervals = spark.createDataFrame(held, "symbol string, lo long, hi long, id long").selectExpr("symbol", "lo", "hi", "struct(-id) AS best")
+    found = P._first_holding(points, intervals, ["symbol"], 2, chunk_rows)
+    wanted = {i: max(h[3] for h in held if h[0] == s and h[1] <= t <= h[2]) for i, s, t in asked if any(h[0] == s and h[1] <= t <= h[2] for h in held)}
+    assert {r.sampleId: -r.best[0] for r in found.collect()} == wanted and len(wanted) > 50
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
