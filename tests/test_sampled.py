@@ -168,3 +168,14 @@ def test_first_holding_over_many_chunks(spark, chunk_rows):
     wanted = {i: max(h[3] for h in held if h[0] == s and h[1] <= t <= h[2]) for i, s, t in asked if any(h[0] == s and h[1] <= t <= h[2] for h in held)}
     assert {r.sampleId: -r.best[0] for r in found.collect()} == wanted and len(wanted) > 50
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+def test_overlap_sweep():
+    """The sweep by itself, whole and from what an earlier stretch leaves behind, against all pairs."""
+    from stackweave.operators import frame_sweep as S
+    for seed in range(40):
+        rng = random.Random(seed)
+        rows = [(rng.choice([None, "x", "y", "z"]), rng.randint(0, 6), rng.randint(0, 20), rng.randint(0, 3)) for _ in range(30)]
+        wanted = {a[0] for i, a in enumerate(rows) if a[0] and any(o[0] is None and o[1] < a[1] and o[2:] >= a[2:] for o in rows[:i])}
+        early, late = rows[:15], rows[15:]
+        opened = S.join_ends(None, S.furthest_ends([r[1:] for r in early if r[0] is None]))
+        assert set(S.overlapping(rows, [])) == wanted == {*S.overlapping(early, []), *S.overlapping(late, opened)}
